@@ -23,7 +23,7 @@ def open_interest(positions: DataFrame, order: str = "offset") -> DataFrame:
     """Half of that: every contract has a long and a short holder."""
     return total_abs_net(positions, order).select(
         "contract_series",
-        (F.col("total_abs_net") / 2).cast("decimal(18,2)").alias("open_interest"),
+        (F.col("total_abs_net").cast("decimal(28,2)") / 2).cast("decimal(18,2)").alias("open_interest"),
     )
 
 
