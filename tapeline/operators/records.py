@@ -21,13 +21,19 @@ from tapeline.functions.fields import composite_key
 from tapeline.plans.prefix import dense_rank_by
 
 _COMPLEX = (ArrayType, MapType, StructType)
+# The default JSON formats stop at milliseconds.
+_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def _as_type(column: Column, have: DataType, want: DataType) -> Column:
     if have == want:
         return column
     if isinstance(want, StringType) and isinstance(have, (*_COMPLEX, VariantType)):
-        return F.to_json(column)
+        return F.to_json(column, _JSON)
     if isinstance(have, StringType) and isinstance(want, _COMPLEX):
         return F.from_json(column, want)
     return column.try_cast(want)
@@ -98,7 +104,7 @@ def encode_collections(df: DataFrame) -> DataFrame:
     """Array and map columns as JSON text."""
     return df.withColumns(
         {
-            f.name: F.to_json(f.name)
+            f.name: F.to_json(f.name, _JSON)
             for f in df.schema.fields
             if isinstance(f.dataType, (ArrayType, MapType))
         }
@@ -151,7 +157,7 @@ def to_topic(
     return df.select(
         F.lit(topic).alias("topic"),
         composite_key(*key).alias("_key"),
-        F.to_json(F.struct(*value), {"ignoreNullFields": "false"}).alias("value"),
+        F.to_json(F.struct(*value), _JSON).alias("value"),
         carried.cast("struct<partition:int,offset:bigint,timestamp:timestamp_ntz>").alias("_meta"),
     )
 
