@@ -136,17 +136,20 @@ def order_audit(
     )
 
 
-def history_inflation(positions: DataFrame, order: str = "offset") -> DataFrame:
+def history_inflation(
+    positions: DataFrame, order: str = "offset", by: Sequence[str] = ("contract_series",)
+) -> DataFrame:
     """Right total, signed history sum and absolute history sum, per series.
 
-    One aggregate per key carries all three; nothing is joined.
+    ``by`` may be other parts of the position key. One aggregate per key carries all
+    three sums; nothing is joined.
     """
     per_key = positions.groupBy(*POSITION_KEY).agg(
         F.max_by("net_quantity", order).alias("last"),
         F.sum("net_quantity").alias("signed"),
         F.sum(F.abs("net_quantity")).alias("absolute"),
     )
-    return per_key.groupBy("contract_series").agg(
+    return per_key.groupBy(*by).agg(
         F.sum(F.abs("last")).alias("total_abs_net"),
         F.sum("signed").alias("history_sum"),
         F.sum("absolute").alias("history_abs_sum"),

@@ -10,13 +10,16 @@ from tapeline.operators.state import current_net_positions
 _WHO = ("contract_series", "clearing_member_id")
 
 
+def total_of(current: DataFrame) -> DataFrame:
+    """Sum of |net| per series over positions that are already current."""
+    return current.groupBy("contract_series").agg(
+        F.sum(F.abs("net_quantity")).alias("total_abs_net")
+    )
+
+
 def total_abs_net(positions: DataFrame, order: str = "offset") -> DataFrame:
     """Sum of |net| over the current snapshot of each key, per series."""
-    return (
-        current_net_positions(positions, order=order)
-        .groupBy("contract_series")
-        .agg(F.sum(F.abs("net_quantity")).alias("total_abs_net"))
-    )
+    return total_of(current_net_positions(positions, order=order))
 
 
 def open_interest(positions: DataFrame, order: str = "offset") -> DataFrame:

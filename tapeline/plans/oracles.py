@@ -184,9 +184,9 @@ ORACLES: dict[str, str] = {
           CASE c.column_name WHEN 'series' THEN (SELECT COUNT(*) FROM raw WHERE series NOT IN
             ('view', 'click', 'purchase', 'signup', 'error')) ELSE 0 END AS outside_enum
         FROM n, (VALUES ('exec_id'), ('series'), ('price'), ('exec_time'), ('venue')) AS c(column_name)"""),
-    "encode_collections": """SELECT conv_id,
-        '[' || string_agg('"' || role || '"', ',' ORDER BY turn, role) || ']' AS roles
-        FROM conversations GROUP BY conv_id""",
+    "encode_collections": """SELECT page_id,
+        CAST(to_json(string_split(url, '/')) AS VARCHAR) AS parts,
+        '{"size":' || length(html) || '}' AS facts FROM pages""",
     "topic_counts": _with(_ALL_TOPICS, "SELECT topic, n_records, n_keys FROM counts"),
     "written_topic": _with(_ALL_TOPICS, "SELECT * FROM counts"),
     "encode_topic": _with(FILLS, """SELECT exec_id AS _key, order_id, series AS contract_series, side,
@@ -334,11 +334,19 @@ ORACLES: dict[str, str] = {
         CASE verdict WHEN 'PASS' THEN 'found the right value'
           WHEN 'FAIL' THEN 'matched distractor history_sum'
           ELSE 'right value not found' END AS result_detail FROM scored"""),
-    "score_groups": _with(CANDIDATES, """, n AS (SELECT condition, COUNT(*) AS groups,
+    "score_groups": _with(CURRENT, """, t AS (SELECT account, series, SUM(abs(net)) AS total
+          FROM current_state GROUP BY 1, 2),
+        h AS (SELECT account, series, SUM(net) AS hist, SUM(abs(net)) AS abs_hist
+          FROM positions GROUP BY 1, 2),
+        candidates AS (SELECT account, total, hist, c.condition, CASE c.condition
+            WHEN 'latest' THEN total WHEN 'history_sum' THEN hist ELSE abs_hist END AS answer
+          FROM t JOIN h USING (account, series),
+            (VALUES ('latest'), ('history_sum'), ('history_abs_sum')) AS c(condition)),
+        n AS (SELECT account, condition, COUNT(*) AS groups,
           COUNT(*) FILTER (answer = total OR answer = abs(total)) AS ok,
           COUNT(*) FILTER (answer <> total AND answer <> abs(total) AND answer = hist) AS wrong
-          FROM candidates GROUP BY condition)
-        SELECT 'by_series' AS id, condition, CASE WHEN ok = groups THEN 'PASS'
+          FROM candidates GROUP BY 1, 2)
+        SELECT account AS id, condition, CASE WHEN ok = groups THEN 'PASS'
             WHEN wrong > 0 THEN 'FAIL' ELSE 'REVIEW' END AS result_verdict,
           CASE WHEN ok = groups THEN 'all groups match'
             WHEN wrong > 0 THEN wrong || ' groups match the distractor'

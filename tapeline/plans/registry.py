@@ -109,13 +109,13 @@ def flatten_nested(spark, sf):
 
 
 def encode_collections(spark, sf):
-    turns = tables.table(spark, sf, "conversations")
-    roles = turns.groupBy("conv_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]
-        ).alias("roles")
+    """Array and map columns derived row by row from the pages."""
+    pages = tables.table(spark, sf, "pages").select(
+        "page_id",
+        F.split("url", "/").alias("parts"),
+        F.create_map(F.lit("size"), F.length("html")).alias("facts"),
     )
-    return records.encode_collections(roles)
+    return records.encode_collections(pages)
 
 
 def topic_counts(spark, sf):
@@ -266,14 +266,17 @@ def combine_verdicts(spark, sf):
     return _judged_documents(spark, sf).select("doc_id", "id", "condition", "verdict", "detail")
 
 
-def _candidates(spark, sf) -> DataFrame:
-    """Per series, three candidate totals as three conditions."""
-    per_series = audits.history_inflation(tables.positions(spark, sf))
+def _candidates(spark, sf, *by: str) -> DataFrame:
+    """Per series (and further key parts), three candidate totals as three conditions."""
+    per_series = audits.history_inflation(
+        tables.positions(spark, sf), by=["contract_series", *by]
+    )
     pairs = [
         F.struct(F.lit(c).alias("condition"), F.col(column).alias("value"))
         for c, column in zip(CANDIDATES, ("total_abs_net", "history_sum", "history_abs_sum"))
     ]
     return per_series.select(
+        *by,
         F.col("contract_series").alias("series"),
         F.col("total_abs_net").alias("truth"),
         F.col("history_sum").alias("distractor"),
@@ -300,8 +303,8 @@ def score_scalar(spark, sf):
 
 
 def score_groups(spark, sf):
-    """Each candidate as one answer with a row per series."""
-    rows = _candidates(spark, sf).withColumn("id", F.lit("by_series"))
+    """Per account, each candidate as one answer with a row per series."""
+    rows = _candidates(spark, sf, "account").withColumnRenamed("account", "id")
     runs = rows.select("id", "condition").distinct()
     answers = rows.select(
         "id", "condition", F.col("series").alias("grp"), F.lit(0).alias("pos"),

@@ -42,6 +42,8 @@ def local_session(app: str = "tapeline", cpus: str = "8", **extra: str) -> Spark
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # Call-site capture costs several round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
     )

@@ -24,7 +24,8 @@ ENVELOPE = (
 
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A stored log of envelopes (Parquet or JSON lines) as a snapshot."""
-    return spark.read.schema(ENVELOPE).format(fmt).load(path)
+    log = spark.read.schema(ENVELOPE).format(fmt).load(path)
+    return log.select("topic", "_key", "value", "_meta")
 
 
 def read_topic(spark: SparkSession, path: str, topic: str, fmt: str = "parquet") -> DataFrame:
