@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, TimestampType
 
 KEY_SEPARATOR = "|"
 
@@ -52,3 +52,27 @@ def week_start(as_of: datetime, dtype: DataType) -> Column:
 
 def days_before(as_of: datetime, days: int, dtype: DataType) -> Column:
     return instant(as_of, dtype) - F.make_dt_interval(F.lit(days))
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds from ``start`` to ``end``, independent of the session time zone."""
+    gap = end - start
+    seconds = (
+        F.extract(F.lit("DAY"), gap).cast("long") * 86400
+        + F.extract(F.lit("HOUR"), gap) * 3600
+        + F.extract(F.lit("MINUTE"), gap) * 60
+    )
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("long")
+
+
+def event_instant(column: str, dtype: DataType) -> Column:
+    """A TIMESTAMP for watermarks: zone-less times are read as UTC in any session."""
+    if isinstance(dtype, TimestampType):
+        return F.col(column)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(micros_between(epoch, F.col(column).cast("timestamp_ntz")))
+
+
+def utc_date(instant: Column) -> Column:
+    """Calendar date of a TIMESTAMP in UTC, in any session."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))

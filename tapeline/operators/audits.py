@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.fields import signed_quantity
+from tapeline.functions.fields import micros_between, signed_quantity
 from tapeline.operators.state import POSITION_KEY, current_net_positions
 from tapeline.plans.prefix import running_sum
 
@@ -175,18 +175,6 @@ def position_reconcile(positions: DataFrame, fills: DataFrame, order: str = "off
     )
 
 
-def lag_micros(business_time: str, log_time: str) -> Column:
-    """Log time less business time in microseconds, independent of the time zone."""
-    lag = F.col(log_time) - F.col(business_time)
-    seconds = (
-        F.extract(F.lit("DAY"), lag).cast("long") * 86400
-        + F.extract(F.lit("HOUR"), lag) * 3600
-        + F.extract(F.lit("MINUTE"), lag) * 60
-    )
-    micros = (F.extract(F.lit("SECOND"), lag) * 1_000_000).cast("long")
-    return seconds * 1_000_000 + micros
-
-
 def ingest_skew(
     df: DataFrame,
     business_time: str,
@@ -200,7 +188,7 @@ def ingest_skew(
     holds all lag values.
     """
     lags = df.select(
-        lag_micros(business_time, log_time).alias("lag_us"),
+        micros_between(F.col(business_time), F.col(log_time)).alias("lag_us"),
         (F.to_date(business_time) != F.to_date(log_time)).alias("other_date"),
     ).filter(F.col("lag_us").isNotNull())
     histogram = lags.groupBy("lag_us").agg(

@@ -149,6 +149,14 @@ SKEW = MOVED + """, lags AS (
  hist AS (SELECT lag, COUNT(*) AS n FROM lags GROUP BY lag),
  cum AS (SELECT lag, SUM(n) OVER (ORDER BY lag) AS c, SUM(n) OVER () AS total FROM hist)"""
 
+QUESTIONS = """, numbers AS (
+  SELECT 'q1_control_count' AS id, COUNT(*) AS truth, CAST(NULL AS BIGINT) AS distractor,
+    '' AS label FROM fills
+  UNION ALL SELECT 'q2_fanout_orders', COUNT(DISTINCT order_id), COUNT(*), 'count_star_fills' FROM fills
+  UNION ALL SELECT 'q3_emir_trade_count', COUNT(DISTINCT uti), COUNT(*), 'report_record_count' FROM reports
+  UNION ALL SELECT 'q4_live_trades', (SELECT COUNT(*) FROM live), COUNT(DISTINCT uti), 'all_utis' FROM reports
+  UNION ALL SELECT 'q8_event_time', COUNT(*), NULL, '' FROM fills WHERE CAST(ts AS DATE) = DATE '2024-01-15')"""
+
 _TOP = """ SELECT party, COUNT(DISTINCT uti) AS n_trades FROM sides {where}
   GROUP BY party ORDER BY n_trades DESC, party LIMIT 10"""
 
@@ -379,6 +387,36 @@ ORACLES: dict[str, str] = {
         MAX(verdict) FILTER (condition = 'history_sum') AS history_sum,
         MAX(verdict) FILTER (condition = 'history_abs_sum') AS history_abs_sum
         FROM scored GROUP BY id"""),
+    "question_truth": _with(LAST_ACTION, QUESTIONS + " SELECT id, truth, distractor FROM numbers"),
+    "benchmark_scorecard": _with(
+        LAST_ACTION + POSITIONS.removeprefix(FILLS) + CURRENT.removeprefix(POSITIONS)
+        + SHORT_NET + """, short_any AS (SELECT DISTINCT series, member FROM current_state WHERE net < 0)"""
+        + INFLATION.removeprefix(CURRENT) + SELLERS,
+        QUESTIONS + """, wanted AS (
+          SELECT member FROM short_any WHERE series = 'purchase'
+          UNION SELECT member FROM short_net WHERE series = 'purchase'), cells AS (
+          SELECT id, 'semantic' AS condition, 'PASS' AS v, 'found the right value' AS d FROM numbers
+          UNION ALL SELECT id, 'baseline', CASE WHEN distractor IS NULL OR distractor = truth THEN 'PASS'
+            ELSE 'FAIL' END, CASE WHEN distractor IS NULL OR distractor = truth
+            THEN 'found the right value' ELSE 'matched distractor ' || label END FROM numbers
+          UNION ALL SELECT 'q5_open_interest', 'semantic', 'PASS', 'all groups match'
+          UNION ALL SELECT 'q5_open_interest', 'baseline',
+            CASE WHEN ok = n THEN 'PASS' WHEN n > ok THEN 'FAIL' END,
+            CASE WHEN ok = n THEN 'all groups match'
+              ELSE (n - ok) || ' groups match the distractor' END
+            FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (hist = total OR hist = abs(total)) AS ok
+              FROM truth JOIN history USING (series))
+          UNION ALL SELECT 'q7_side_vs_direction', 'semantic', 'PASS', COUNT(*) || ' expected members'
+            FROM wanted
+          UNION ALL SELECT 'q7_side_vs_direction', 'baseline',
+            CASE WHEN extra > 0 THEN 'FAIL' ELSE 'PASS' END,
+            CASE WHEN extra > 0 THEN extra || ' unexpected members included'
+              ELSE found || ' expected members' END
+            FROM (SELECT COUNT(*) FILTER (member NOT IN (SELECT member FROM wanted)) AS extra,
+                COUNT(*) FILTER (member IN (SELECT member FROM wanted)) AS found
+              FROM sellers WHERE series = 'purchase'))
+        SELECT id, condition, v AS verdict, d AS detail, 'REVIEW' AS text_verdict,
+          v AS result_verdict FROM cells"""),
     "stream_latest": """SELECT user_id, event_id, event_type, ts FROM (SELECT *,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "stream_net_positions": _with(FILLS, """SELECT member AS clearing_member_id, account,

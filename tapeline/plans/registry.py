@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.fields import key_part
 from tapeline.functions.texts import numbers_in
-from tapeline.operators import audits, positions, records, scoring, state, trades
-from tapeline.plans.shared import fresh_path
+from tapeline.operators import audits, positions, questions, records, scoring, state, trades
+from tapeline.plans.shared import fresh_path, stored
 from tapeline.sources import tables, topics
 from tapeline.sources.contracts import EXECUTIONS, POSITIONS, text_schema
 from tapeline.streaming import continuous, tables as sinks
@@ -342,6 +342,54 @@ def scorecard_matrix(spark, sf):
     return scoring.scorecard_matrix(card, CANDIDATES)
 
 
+def question_truth(spark, sf):
+    """Right and known wrong numbers of the one-number questions."""
+    truth = questions.scalar_truth(tables.fills(spark, sf), tables.reports(spark, sf), TRADE_DATE)
+    return truth.select(
+        "id",
+        F.col("truth").cast("long").alias("truth"),
+        F.try_element_at("distractors", F.lit(1)).getField("value").cast("long").alias("distractor"),
+    )
+
+
+def benchmark_scorecard(spark, sf):
+    """A run answered twice: with the right values and with the known wrong ones."""
+    fills, reports, log = (read(spark, sf) for read in (tables.fills, tables.reports, tables.positions))
+    scalars = stored(questions.scalar_truth(fills, reports, TRADE_DATE), "truth")
+    groups = stored(questions.group_truth(log), "truth")
+    members = stored(questions.member_truth(log, SERIES), "truth")
+
+    wrong = F.coalesce(F.try_element_at("distractors", F.lit(1)).getField("value"), F.col("truth"))
+    sellers = positions.sell_side_members(trades.series_fills(fills, SERIES)).select(
+        F.lit(questions.MEMBER_ID).alias("id"), F.col("clearing_member_id").alias("member")
+    )
+
+    def both(right: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
+        return right.select("id", F.lit("semantic").alias("condition"), *columns).unionByName(
+            other.select("id", F.lit("baseline").alias("condition"), *columns)
+        )
+
+    def as_numbers(df: DataFrame, value) -> DataFrame:
+        return df.withColumn("numbers", F.array(value)).withColumn("pos", F.lit(0))
+
+    asked = [*questions.SCALAR_IDS, questions.GROUP_ID, questions.MEMBER_ID]
+    cells = fills.agg((F.count("*") > 0).alias("executed")).select(
+        F.explode(F.array(*[F.lit(q) for q in asked])).alias("id"), "executed", F.lit("").alias("sql")
+    )
+    return questions.judge(
+        both(cells, cells, "sql", "executed"),
+        both(as_numbers(scalars, F.col("truth")), as_numbers(scalars, wrong), "numbers"),
+        both(
+            as_numbers(groups, F.col("truth")), as_numbers(groups, F.col("distractor")),
+            "grp", "pos", "numbers",
+        ),
+        both(members, sellers, "member"),
+        scalars,
+        groups,
+        members,
+    )
+
+
 # --- streams ----------------------------------------------------------------------
 
 def _event_stream(spark, sf) -> DataFrame:
@@ -375,8 +423,7 @@ def stream_dedup(spark, sf):
     fills = tables.fills_from(_event_stream(spark, sf))
     sent_twice = fills.select("exec_id", "exec_time", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     once = continuous.dedup_stream(sent_twice, ["exec_id"], "exec_time", "1 day", spread_by="copy")
-    kept = sinks.append_table(spark, once, "stream-dedup")
-    return kept.select("exec_id", F.col("exec_time").cast("timestamp_ntz").alias("exec_time"))
+    return sinks.append_table(spark, once, "stream-dedup").select("exec_id", "exec_time")
 
 
 def stream_state_table(spark, sf):
@@ -489,6 +536,8 @@ QUERIES: dict[str, Query] = {
         _judged_documents(spark, sf), "src1", "src2"
     ),
     "scorecard_matrix": scorecard_matrix,
+    "question_truth": question_truth,
+    "benchmark_scorecard": benchmark_scorecard,
     # streams
     "stream_latest": stream_latest,
     "stream_net_positions": stream_net_positions,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _local_fallback: str | None = None
@@ -27,3 +27,15 @@ def shared_base(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_base(spark)}/tapeline/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For a result that several later steps need: they read the table instead of
+    computing it again, and losing an executor costs at most a re-read.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,10 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.fields import signed_quantity
+from tapeline.functions.fields import event_instant, signed_quantity, utc_date
 from tapeline.operators.state import POSITION_KEY
 
 
+_EVENT_TIME = "__event_time"
+
+
+def _timed(stream: DataFrame, time: str, lateness: str) -> DataFrame:
+    """The stream with a watermark on a TIMESTAMP copy of its business time."""
+    instant = event_instant(time, stream.schema[time].dataType)
+    return stream.withColumn(_EVENT_TIME, instant).withWatermark(_EVENT_TIME, lateness)
+
+
 def latest_stream(
     stream: DataFrame, keys: Sequence[str], values: Sequence[str], order: str = "offset"
 ) -> DataFrame:
@@ -39,12 +48,11 @@ def fills_by_date_stream(
     In append mode a day is emitted once the watermark has passed it, and later rows
     are dropped; in complete mode every row counts.
     """
-    timed = fills.withColumn(time, F.col(time).cast("timestamp"))
     return (
-        timed.withWatermark(time, lateness)
-        .groupBy(F.window(time, "1 day"))
+        _timed(fills, time, lateness)
+        .groupBy(F.window(_EVENT_TIME, "1 day"))
         .agg(F.count("*").alias("n_fills"))
-        .select(F.to_date("window.start").alias("trade_date"), "n_fills")
+        .select(utc_date(F.col("window.start")).alias("trade_date"), "n_fills")
     )
 
 
@@ -63,12 +71,13 @@ def dedup_stream(
     offset) a first stage drops copies within ``spread`` slices of each key and the
     second stage sees at most ``spread`` of them.
     """
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    timed = _timed(stream, time, lateness)
     if spread_by is None:
-        return timed.dropDuplicatesWithinWatermark(list(key))
+        return timed.dropDuplicatesWithinWatermark(list(key)).drop(_EVENT_TIME)
     sliced = timed.withColumn("__slice", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
     return (
         sliced.dropDuplicatesWithinWatermark([*key, "__slice"])
         .drop("__slice")
         .dropDuplicatesWithinWatermark(list(key))
+        .drop(_EVENT_TIME)
     )
