@@ -275,13 +275,14 @@ def _candidates(spark, sf, *by: str) -> DataFrame:
         F.struct(F.lit(c).alias("condition"), F.col(column).alias("value"))
         for c, column in zip(CANDIDATES, ("total_abs_net", "history_sum", "history_abs_sum"))
     ]
-    return per_series.select(
+    rows = per_series.select(
         *by,
         F.col("contract_series").alias("series"),
         F.col("total_abs_net").alias("truth"),
         F.col("history_sum").alias("distractor"),
         F.inline(F.array(*pairs)),
     )
+    return stored(rows, "candidates")
 
 
 def score_scalar(spark, sf):
@@ -327,14 +328,14 @@ def score_members(spark, sf):
             F.col("clearing_member_id").alias("member"),
         )
 
-    short = positions.short_members_any(log)
-    answers = (
-        answer(short, "latest")
+    answers = stored(
+        answer(positions.short_members_any(log), "latest")
         .unionByName(answer(positions.sell_side_members(fills), "sell_side"))
-        .unionByName(answer(positions.short_anytime_members(log), "anytime"))
+        .unionByName(answer(positions.short_anytime_members(log), "anytime")),
+        "answers",
     )
     runs = answers.select("id", "condition").distinct()
-    return scoring.score_members(runs, answers, answer(short, "latest"))
+    return scoring.score_members(runs, answers, answers.filter(F.col("condition") == "latest"))
 
 
 def scorecard_matrix(spark, sf):

@@ -121,37 +121,35 @@ def test_questions_as_sql_over_a_stored_log(spark, stored_log):
     def number(sql):
         return spark.sql(sql).first()[0]
 
-    assert number("SELECT COUNT(*) FROM `etd.executions`") == 1000
-    assert number("SELECT COUNT(DISTINCT uti) FROM `emir.trade-reports`") == 1000
-    assert number("SELECT COUNT(*) FROM `emir.trade-reports`") == 2300
-    assert number("""
-        SELECT COUNT(DISTINCT uti) FROM (
-            SELECT uti, action_type, ROW_NUMBER() OVER (
-                PARTITION BY uti ORDER BY reporting_timestamp DESC) AS rn
-            FROM `emir.trade-reports`)
-        WHERE rn = 1 AND action_type NOT IN ('EROR', 'TERM')""") == 900
-    assert number("""
-        SELECT COUNT(DISTINCT uti) FROM `emir.trade-reports`
-        WHERE (uti, reporting_timestamp) IN (
-            SELECT uti, MAX(reporting_timestamp) FROM `emir.trade-reports` GROUP BY uti)
-        AND action_type NOT IN ('EROR', 'TERM')""") == 900
-    totals = spark.sql("""
-        SELECT contract_series, SUM(ABS(net_quantity)) AS total FROM (
-            SELECT contract_series, net_quantity, ROW_NUMBER() OVER (
-                PARTITION BY _key, _meta.partition ORDER BY _meta.offset DESC) AS rn
-            FROM `etd.positions`)
-        WHERE rn = 1 GROUP BY contract_series""").collect()
-    assert {r.contract_series: int(r.total) for r in totals}["purchase"] == 5356
-    assert {r.contract_series: int(r.total) for r in totals}["click"] == 5567
-    assert number("""
-        SELECT COUNT(*) FROM `etd.executions` WHERE exec_time >= TIMESTAMP('2024-01-15 00:00:00')
-        AND exec_time < TIMESTAMP('2024-01-16 00:00:00')""") == tables.fills(spark, SF_SMALL).filter(
-            "to_date(exec_time) = '2024-01-15'").count()
-    top = spark.sql("""
-        SELECT lei, COUNT(DISTINCT uti) AS n FROM (
-            SELECT counterparty_1 AS lei, uti FROM `emir.trade-reports`
-            UNION ALL SELECT counterparty_2, uti FROM `emir.trade-reports`)
-        GROUP BY lei ORDER BY n DESC, lei LIMIT 1""").first()
+    fills, reports = "`etd.executions`", "`emir.trade-reports`"
+    assert number(f"SELECT count(*) FROM {fills}") == 1000
+    assert number(f"SELECT count(DISTINCT uti) FROM {reports}") == 1000
+    assert number(f"SELECT count(*) FROM {reports}") == 2300
+    # Last action per trade: by window and by a pair of values in a subquery.
+    assert number(f"""
+        WITH acts AS (SELECT *, row_number() OVER w AS back FROM {reports}
+                      WINDOW w AS (PARTITION BY uti ORDER BY reporting_timestamp DESC))
+        SELECT count(*) FROM acts WHERE back = 1 AND action_type NOT IN ('TERM', 'EROR')""") == 900
+    assert number(f"""
+        WITH ends AS (SELECT uti, max(reporting_timestamp) FROM {reports} GROUP BY ALL)
+        SELECT count(DISTINCT uti) FROM {reports}
+        WHERE action_type NOT IN ('TERM', 'EROR')
+          AND (uti, reporting_timestamp) IN (SELECT * FROM ends)""") == 900
+    totals = {
+        r.contract_series: int(r.total)
+        for r in spark.sql("""
+            WITH now AS (SELECT contract_series, max_by(net_quantity, _meta.offset) AS net
+                         FROM `etd.positions` GROUP BY _key, contract_series)
+            SELECT contract_series, sum(abs(net)) AS total FROM now GROUP BY ALL""").collect()
+    }
+    assert (totals["purchase"], totals["click"]) == (5356, 5567)
+    on_day = tables.fills(spark, SF_SMALL).filter("to_date(exec_time) = '2024-01-15'").count()
+    assert number(f"""SELECT count(*) FROM {fills}
+        WHERE exec_time >= timestamp('2024-01-15') AND exec_time < timestamp('2024-01-16')""") == on_day
+    top = spark.sql(f"""
+        SELECT party, count(DISTINCT uti) AS n
+        FROM {reports} LATERAL VIEW explode(array(counterparty_1, counterparty_2)) p AS party
+        GROUP BY party ORDER BY n DESC, party LIMIT 1""").first()
     assert tuple(top) == ("LEI-M4", 226)
 
 
