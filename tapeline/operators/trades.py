@@ -228,14 +228,18 @@ def notional_by_underlying(
     )
 
 
-def reports_with_fills(reports: DataFrame, fills: DataFrame) -> DataFrame:
+def reports_with_fills(
+    reports: DataFrame, fills: DataFrame, spread_by: str | None = "report_id"
+) -> DataFrame:
     """Reports with the fill they are about; a report without one is kept."""
-    return left_lookup(reports, fills, "exec_id", spread_by="report_id")
+    return left_lookup(reports, fills, "exec_id", spread_by)
 
 
-def clearing_with_fills(events: DataFrame, fills: DataFrame) -> DataFrame:
+def clearing_with_fills(
+    events: DataFrame, fills: DataFrame, spread_by: str | None = "event_id"
+) -> DataFrame:
     """Clearing events with the fill they are about, where there is one."""
-    return left_lookup(events, fills, "exec_id", spread_by="event_id")
+    return left_lookup(events, fills, "exec_id", spread_by)
 
 
 def pair_transfers(events: DataFrame) -> DataFrame:

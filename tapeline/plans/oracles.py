@@ -201,6 +201,9 @@ ORACLES: dict[str, str] = {
         qty AS quantity, price, member AS executing_member, ts AS exec_time FROM fills"""),
     "assign_offsets": _with(LOG, """SELECT position_key, off AS sent, part_no AS log_partition,
         part_off AS log_offset FROM position_log"""),
+    "field_drift": """SELECT field, COUNT(*) * 2 AS n_records, field <> 'version' AS declared
+        FROM part, (VALUES ('contract_series'), ('product_type'), ('underlying'),
+          ('contract_multiplier'), ('expiry_date'), ('version')) AS f(field) GROUP BY field""",
     "split_position_key": _with(POSITIONS, """SELECT DISTINCT position_key, member, account, series
         FROM positions"""),
     "both_sides": _with(REPORTS + SIDES, "SELECT report_id, uti, party FROM sides"),

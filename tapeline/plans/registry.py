@@ -13,7 +13,7 @@ from tapeline.functions.texts import numbers_in
 from tapeline.operators import audits, positions, questions, records, scoring, state, trades
 from tapeline.plans.shared import fresh_path, stored
 from tapeline.sources import tables, topics
-from tapeline.sources.contracts import EXECUTIONS, POSITIONS, text_schema
+from tapeline.sources.contracts import CONTRACTS_REF, EXECUTIONS, POSITIONS, text_schema
 from tapeline.streaming import continuous, tables as sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,12 @@ def written_topic(spark, sf):
     )
 
 
+def field_drift(spark, sf):
+    """Reference data as sent, with a field its contract does not know."""
+    reference = records.to_topic(tables.refdata(spark, sf), CONTRACTS_REF.topic, CONTRACTS_REF.key)
+    return topics.field_drift(reference, CONTRACTS_REF)
+
+
 def split_position_key(spark, sf):
     keys = tables.positions(spark, sf).select("position_key").distinct()
     return keys.select(
@@ -451,6 +457,7 @@ QUERIES: dict[str, Query] = {
     "encode_topic": encode_topic,
     "assign_offsets": assign_offsets,
     "written_topic": written_topic,
+    "field_drift": field_drift,
     "split_position_key": split_position_key,
     # projections and filters
     "both_sides": _reports(lambda r: trades.both_sides(r, "report_id", "uti")),

@@ -120,6 +120,45 @@ def write_log(envelopes: DataFrame, path: str, mode: str = "append") -> None:
     envelopes.write.mode(mode).partitionBy("topic").parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """A decoded topic as a table bucketed and sorted by a join key.
+
+    Two tables with equal buckets join on that key without a shuffle, as often as
+    they are joined. Rows are sent to their bucket first, so that there is one file
+    per bucket and not one per task and bucket.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .mode("overwrite")
+        .saveAsTable(table)
+    )
+
+
+def field_drift(envelopes: DataFrame, contract: Contract) -> DataFrame:
+    """Payload fields against the declared ones, over all records of a topic.
+
+    One row per field with the number of records that carry it. A field nobody
+    declared has ``declared`` false; a declared field nobody sends has zero records.
+    """
+    seen = envelopes.select(
+        F.explode(F.json_object_keys("value")).alias("field"),
+        F.lit(1).cast("long").alias("n"),
+        F.lit(False).alias("d"),
+    )
+    names = F.array(*[F.lit(n) for n in contract.schema.names])
+    declared = envelopes.sparkSession.range(1).select(
+        F.explode(names).alias("field"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("d")
+    )
+    return (
+        seen.unionByName(declared)
+        .groupBy("field")
+        .agg(F.sum("n").alias("n_records"), F.bool_or("d").alias("declared"))
+    )
+
+
 def register_topics(topics: Mapping[str, DataFrame]) -> None:
     """Makes decoded topics queryable under their own names.
 

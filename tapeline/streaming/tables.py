@@ -85,49 +85,58 @@ def append_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
 class StateTable:
     """The current state of a compacted topic, kept up to date by a stream.
 
-    Each batch reduces its records to the last per key, merges them with the previous
-    version and writes a new one; a row in ``commits`` then makes it the current
-    version. Batch ``n`` always starts from the last version below ``n``, so running
-    it again gives the same table. Readers see a version only once it is complete.
+    A batch writes only its own last record per key, as a delta; every
+    ``merge_every``-th batch merges state and deltas into a new full version, so the
+    cost of a batch does not grow with the state. A row in ``commits`` makes a delta
+    or version visible once it is complete.
+
+    Batch ``n`` reads nothing but commits below ``n`` and overwrites its own folder,
+    so running it again gives the same table.
     """
 
     def __init__(
         self, spark: SparkSession, base: str, schema: str, keys: Sequence[str],
-        order: str = "offset",
+        order: str = "offset", merge_every: int = 16,
     ):
         self.spark, self.base, self.schema = spark, base, schema
-        self.keys, self.order = list(keys), order
+        self.keys, self.order, self.merge_every = list(keys), order, merge_every
 
     def create(self) -> None:
-        empty = self.spark.createDataFrame([], self.schema)
-        empty.write.mode("overwrite").parquet(self._version(-1))
-        self._commit(-1)
+        self._write(self.spark.createDataFrame([], self.schema), -1, whole=True)
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.base}/versions/{batch_id}"
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.base}/batches/{batch_id}"
 
-    def _commit(self, batch_id: int) -> None:
-        row = self.spark.range(1).select(F.lit(batch_id).cast("long").alias(BATCH))
-        row.write.mode("append").parquet(f"{self.base}/commits")
+    def _write(self, rows: DataFrame, batch_id: int, whole: bool) -> None:
+        rows.write.mode("overwrite").parquet(self._folder(batch_id))
+        commit = self.spark.range(1).select(
+            F.lit(batch_id).cast("long").alias(BATCH), F.lit(whole).alias("whole")
+        )
+        commit.write.mode("append").parquet(f"{self.base}/commits")
 
-    def _last_commit(self, below: int | None = None) -> int:
-        spark = self.spark
-        commits = spark.read.schema(f"{BATCH} long").parquet(f"{self.base}/commits")
+    def _visible(self, below: int | None) -> list[str]:
+        """Folders of the last full version and the deltas after it: a short list."""
+        commits = self.spark.read.schema(f"{BATCH} long, whole boolean").parquet(
+            f"{self.base}/commits"
+        )
         if below is not None:
             commits = commits.filter(F.col(BATCH) < below)
-        return commits.agg(F.max(BATCH)).first()[0]
+        start = commits.filter("whole").agg(F.max(BATCH)).first()[0]
+        later = commits.filter(F.col(BATCH) >= start).select(BATCH).distinct().collect()
+        return [self._folder(r[BATCH]) for r in later]
 
     def read(self, below: int | None = None) -> DataFrame:
-        path = self._version(self._last_commit(below))
-        return self.spark.read.schema(self.schema).parquet(path)
+        rows = self.spark.read.schema(self.schema).parquet(*self._visible(below))
+        return latest_per_key(rows, self.keys, [self.order])
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         news = latest_per_key(batch, self.keys, [self.order])
-        merged = latest_per_key(
-            self.read(below=batch_id).unionByName(news), self.keys, [self.order]
-        )
-        merged.write.mode("overwrite").parquet(self._version(batch_id))
-        self._commit(batch_id)
+        whole = (batch_id + 1) % self.merge_every == 0
+        if whole:
+            news = latest_per_key(
+                self.read(below=batch_id).unionByName(news), self.keys, [self.order]
+            )
+        self._write(news, batch_id, whole)
 
     def follow(self, stream: DataFrame, checkpoint: str) -> None:
         """Applies everything the stream holds now."""

@@ -74,6 +74,25 @@ def test_lookup_is_broadcast_only_below_its_bound(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_bucketed_topics_join_without_a_shuffle(spark, tmp_path):
+    from tapeline.sources import topics
+
+    fills = tables.fills(spark, SF_SMALL).select("exec_id", "side")
+    reports = tables.reports(spark, SF_SMALL).select("exec_id", "report_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        topics.save_bucketed(fills, "bucketed_fills", str(tmp_path / "f"), "exec_id", 4)
+        topics.save_bucketed(reports, "bucketed_reports", str(tmp_path / "r"), "exec_id", 4)
+        joined = trades.reports_with_fills(
+            spark.table("bucketed_reports"), spark.table("bucketed_fills"), spread_by=None
+        )
+        assert "Exchange" not in plan(joined)
+        assert joined.filter("side IS NOT NULL").count() == 2300
+        assert len(list((tmp_path / "f").glob("*.parquet"))) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture
 def small_skew_limits(spark):
     limits = {

@@ -68,8 +68,10 @@ def test_records_sent_again_are_dropped(spark, tmp_path, spread_by):
     assert sorted(r.id for r in rows) == sorted([f"r{i}" for i in range(20)] + ["hot"])
 
 
-def test_state_table_follows_and_survives_a_repeated_batch(spark, tmp_path):
-    table = sinks.StateTable(spark, fresh_path(spark, "test-state"), "k string, offset bigint, v string", ["k"])
+@pytest.mark.parametrize("merge_every", [1, 2, 16])
+def test_state_table_follows_and_survives_a_repeated_batch(spark, merge_every):
+    table = sinks.StateTable(spark, fresh_path(spark, "test-state"), "k string, offset bigint, v string",
+                             ["k"], merge_every=merge_every)
     table.create()
     assert table.read().count() == 0
 
@@ -86,7 +88,7 @@ def test_state_table_follows_and_survives_a_repeated_batch(spark, tmp_path):
     table.upsert(second, 1)
     assert held() == {"a": "a2", "b": "b5", "c": "c1"}
     # A batch that died before its commit is not visible and can run again.
-    batch(("zzz", 9, "half")).write.parquet(table._version(2))
+    batch(("zzz", 9, "half")).write.parquet(table._folder(2))
     assert "zzz" not in held()
     table.upsert(batch(("a", 3, "a3")), 2)
     assert held() == {"a": "a3", "b": "b5", "c": "c1"}
@@ -95,7 +97,7 @@ def test_state_table_follows_and_survives_a_repeated_batch(spark, tmp_path):
 def test_state_table_of_a_stream(spark, fill_stream):
     base = fresh_path(spark, "test-follow")
     schema = "clearing_member_id string, account string, contract_series string, exec_id string, offset bigint"
-    table = sinks.StateTable(spark, f"{base}/t", schema, list(state.POSITION_KEY))
+    table = sinks.StateTable(spark, f"{base}/t", schema, list(state.POSITION_KEY), merge_every=3)
     table.create()
     table.follow(fill_stream.select(*state.POSITION_KEY, "exec_id", "offset"), f"{base}/c")
     want = state.latest_per_key(
@@ -103,7 +105,8 @@ def test_state_table_of_a_stream(spark, fill_stream):
         list(state.POSITION_KEY),
     )
     assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, want.collect()))
-    assert table._last_commit() == 4
+    # Batches 0 to 4 in a cycle of three: a full version at 2, deltas at 3 and 4.
+    assert sorted(p.rsplit("/", 1)[1] for p in table._visible(None)) == ["2", "3", "4"]
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -92,6 +92,17 @@ def test_collections_as_json(spark):
     assert tuple(records.encode_collections(df).first()) == ('["a",null]', '{"k":1}', 5)
 
 
+def test_drift_shows_unknown_and_unsent_fields(spark):
+    envelopes = _envelopes(spark, "refdata.contracts", REFERENCE)
+    few = envelopes.filter("_key = 'FDAX'")
+    rows = {r.field: (r.n_records, r.declared) for r in
+            topics.field_drift(few, contracts.CONTRACTS_REF).collect()}
+    assert rows["version"] == (1, False) and rows["underlying"] == (2, True)
+    fills = {r.field: (r.n_records, r.declared) for r in
+             topics.field_drift(envelopes, contracts.EXECUTIONS).collect()}
+    assert fills["side"] == (0, True) and fills["underlying"] == (3, False)
+
+
 def test_envelope_round_trip_keeps_nulls_and_microseconds(spark):
     df = spark.createDataFrame(
         [("M1", "A1", None, datetime(2026, 7, 20, 1, 2, 3, 456789))],
