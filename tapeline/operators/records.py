@@ -18,7 +18,7 @@ from pyspark.sql.types import (
 )
 
 from tapeline.functions.fields import composite_key
-from tapeline.plans.prefix import dense_rank_by
+from tapeline.plans.prefix import BLOCK_BITS, dense_rank_by
 
 _COMPLEX = (ArrayType, MapType, StructType)
 # The default JSON formats stop at milliseconds.
@@ -173,7 +173,7 @@ def assign_offsets(
     order: str,
     partitions: int = 3,
     partition: Column | None = None,
-    block_bits: int = 20,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Adds ``partition`` and a dense 0-based ``offset`` inside it, in send order.
 

@@ -17,13 +17,14 @@ from pyspark.sql.types import (
 )
 
 from tapeline.functions.fields import signed_quantity
-from tapeline.plans.prefix import running_sum
+from tapeline.plans.prefix import BLOCK_BITS, running_sum
 
 POSITION_KEY = ("clearing_member_id", "account", "contract_series")
 _FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
-def _fixed_width(dtype: DataType) -> bool:
+def fixed_width(dtype: DataType) -> bool:
+    """True for types a hash aggregate can update in place."""
     return isinstance(dtype, _FIXED_WIDTH)
 
 
@@ -50,7 +51,7 @@ def latest_per_key(
     types = {f.name: f.dataType for f in df.schema.fields}
     rest = [c for c in df.columns if c not in keys]
     if method is None:
-        flat = len(order) == 1 and order[0] in types and all(_fixed_width(types[c]) for c in rest)
+        flat = len(order) == 1 and order[0] in types and all(fixed_width(types[c]) for c in rest)
         method = "aggregate" if flat else "window"
     if method == "aggregate":
         by = order[0]
@@ -70,7 +71,7 @@ def running_positions(
     fills: DataFrame,
     keys: Sequence[str] = POSITION_KEY,
     order: str = "offset",
-    block_bits: int = 20,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """The position log: every fill with its key's signed sum so far, in log order."""
     signed = fills.withColumn("__signed", signed_quantity())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.fields import event_instant, signed_quantity, utc_date
-from tapeline.operators.state import POSITION_KEY
+from tapeline.operators.state import POSITION_KEY, fixed_width
 
 
 _EVENT_TIME = "__event_time"
@@ -23,14 +23,17 @@ def _timed(stream: DataFrame, time: str, lateness: str) -> DataFrame:
 def latest_stream(
     stream: DataFrame, keys: Sequence[str], values: Sequence[str], order: str = "offset"
 ) -> DataFrame:
-    """Last record of each key; run in update mode. Ordered by offset, so business
-    time may arrive in any order."""
-    last = F.max_by(F.struct(*values), order)
-    return (
-        stream.groupBy(*keys)
-        .agg(F.max(order).alias(order), last.alias("__v"))
-        .select(*keys, order, "__v.*")
-    )
+    """Last record of each key; run in update mode.
+
+    Ordered by offset, so business time may arrive in any order. Fixed-width values
+    stay single columns, which keeps the hash aggregate.
+    """
+    types = stream.select(*values).schema
+    grouped, newest = stream.groupBy(*keys), F.max(order).alias(order)
+    if all(fixed_width(f.dataType) for f in types):
+        return grouped.agg(newest, *[F.max_by(v, order).alias(v) for v in values])
+    last = F.max_by(F.struct(*values), order).alias("__v")
+    return grouped.agg(newest, last).select(*keys, order, "__v.*")
 
 
 def net_positions_stream(fills: DataFrame, keys: Sequence[str] = POSITION_KEY) -> DataFrame:

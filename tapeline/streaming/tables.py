@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tapeline.operators.state import latest_per_key
 from tapeline.plans.shared import fresh_path
@@ -37,13 +38,13 @@ def run_available(
 def changelog_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Update-mode output as a table: the rows each batch changed, with its id."""
     base = fresh_path(spark, name)
-    schema = stream.schema
+    schema = StructType([*stream.schema.fields, StructField(BATCH, LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/log/{BATCH}={batch_id}")
 
     run_available(stream, write, "update", f"{base}/checkpoint")
-    return spark.read.schema(schema.add(BATCH, "long")).parquet(f"{base}/log")
+    return spark.read.schema(schema).parquet(f"{base}/log")
 
 
 def current_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
