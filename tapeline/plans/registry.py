@@ -400,9 +400,8 @@ def benchmark_scorecard(spark, sf):
 # --- streams ----------------------------------------------------------------------
 
 def _event_stream(spark, sf) -> DataFrame:
-    schema = tables.table(spark, sf, "events").schema
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(tables.SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")
         .option("maxBytesPerTrigger", str(64 << 30))
         .parquet(sf)
