@@ -1,20 +1,47 @@
-"""A training corpus in stages. Every stage is written as Parquet and read by the next."""
+"""A training corpus in four stages: toxic documents go, documents of low quality go, one
+document of each SimHash group stays, and what is left is packed.
+
+Every stage is written as Parquet to the shared folder and read again by the next one, so
+its decisions hold for all that follows and no stage is computed twice. The models are
+learned from the labels of the documents that a stage is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import packing
+from tapeline.llm import byte_cnn, packing, simhash, toxicity
 from tapeline.llm.queries import TOKENIZER
 from tapeline.llm.shared import fresh
 from tapeline.llm.tables import read
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fitted = toxicity.model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, fitted, carry=True)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fitted = byte_cnn.model(docs, read(spark, sf_dir, "labels"))
+    return byte_cnn.score(docs, fitted, carry=True)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER, with_ids=False)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", of_quality),
+    ("simhash", one_of_each_group),
+    ("packing", packed),
+]
+
+# Models and fingerprints are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
