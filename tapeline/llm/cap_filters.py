@@ -196,17 +196,17 @@ def near_duplicates(
         paired.groupBy("filter", "left", "right").applyInArrow(
             _compare(codes, least), "u bigint, v bigint, n bigint"), "links")
     links = found.filter("n > 0").groupBy(F.col("u").alias("number")).agg(F.sum("n").alias("links"))
-    id_of = numbered.select("number", "id")
-    edges = (
-        found.filter("n = 0").select("u", "v").distinct()
-        .join(id_of.toDF("u", "a"), "u").join(id_of.toDF("v", "b"), "v")
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
+    edges = found.filter("n = 0").select("u", "v").distinct()
+    rooted = written(
+        numbered.select("number", "class", "id", "copies")
+        .join(components(edges), F.col("number") == F.col("node"), "left")
+        .select("number", "class", "id", "copies",
+                F.coalesce("component", "number").alias("root")), "vector-roots")
+    least_id = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = (
-        numbered.join(links, "number", "left")
-        .join(components(edges).withColumnRenamed("node", "id"), "id", "left")
+        rooted.join(links, "number", "left").join(least_id, "root")
         .select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("component", "id").alias("component_id"))
+                "component_id")
     )
     of_class = written(of_class, "vector-components")
     linked = (

@@ -115,7 +115,7 @@ def _best(k: int) -> Callable:
 
 def nearest(
     table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding",
-    k: int = 20, dims: int = 64, tables: int = 12, probes: int = 6,
+    k: int = 20, dims: int = 64, tables: int = 16, probes: int = 8,
     block_rows: int = 1024, block_queries: int = 512, seed: int = 11,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each row

@@ -204,11 +204,11 @@ def near_duplicates(
     prints = written(fingerprints(docs, key, text), "fingerprints")
     groups = written(prints.groupBy("bits").agg(F.min(key).alias("id")), "groups")
     pairs = near_pairs(groups.select("bits"), most, **search)
-    ids = groups.filter(F.col("id").isNotNull())
-    edges = pairs.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(
-        F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = groups.join(components(edges), F.col("id") == F.col("node"), "left").select(
-        "bits", F.coalesce("component", "id").alias("component_id"))
+    rooted = groups.join(components(pairs), F.col("bits") == F.col("node"), "left").select(
+        "bits", "id", F.coalesce("component", "bits").alias("root"))
+    rooted = written(rooted, "roots")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = rooted.join(least, "root").select("bits", "component_id")
     labels = written(labels, "labels")
     return prints.join(labels, "bits").select(
         key, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,0 +1,121 @@
+"""Vector operators against brute force."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tapeline.llm import cap_filters, cross_polytope
+
+DIMS = 64
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    """Random vectors, near copies down to a cosine of 0.9, a large group, equal ones."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, DIMS))
+    near = x[:60] + rng.normal(size=(60, DIMS)) * 0.3
+    hot = x[100] + rng.normal(size=(150, DIMS)) * 0.05
+    x = np.concatenate([x, near, hot, x[:20], 2 * x[20:30]])
+    return x.astype(np.float32)
+
+
+@pytest.fixture(scope="module")
+def table(spark, vectors):
+    rows = [(i, [float(v) for v in row], "mine") for i, row in enumerate(vectors)]
+    odd = [None, [], [0.0] * DIMS, [float("nan")] * DIMS, [float("inf")] + [1.0] * (DIMS - 1),
+           [None] + [1.0] * (DIMS - 1), [1.0] * 3]
+    rows += [(10_000 + i, v, "odd") for i, v in enumerate(odd)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, links string").cache()
+
+
+def components(adjacent: np.ndarray) -> np.ndarray:
+    label = np.arange(len(adjacent))
+    while True:
+        new = np.array([min([label[i], *label[adjacent[i]]]) for i in range(len(label))])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def test_links_and_components(table, vectors):
+    x = vectors.astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    adjacent = unit @ unit.T >= 0.9
+    np.fill_diagonal(adjacent, False)
+    label = components(adjacent)
+    found = {r["vec_id"]: r for r in cap_filters.near_duplicates(table, block_rows=64).collect()}
+    assert len(found) == len(x) + 7
+    assert [found[i]["n_links"] for i in range(len(x))] == adjacent.sum(1).tolist()
+    assert [found[i]["component_id"] for i in range(len(x))] == label.tolist()
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
+    assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(10_000, 10_007))
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(2000, DIMS))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    codes = cap_filters.ProductCodes(DIMS, 64, 15.0, 4, 7)
+    keys = [r * 10**6 + f for r, f in (codes.passed(a), codes.passed(b))]
+    assert len(np.unique(np.intersect1d(*keys) // 10**6)) >= 0.998 * len(a)
+
+
+def test_list_decoding_finds_every_filter():
+    codes = cap_filters.ProductCodes(16, 8, 4.0, 1, 1)
+    unit = cap_filters.unit_rows(np.random.default_rng(1).normal(size=(50, 16)))
+    left, right = codes.tables[0]
+    full = (unit @ left)[:, :, None] + (unit @ right)[:, None, :]
+    rows, filters = codes.passed(unit)
+    for i in range(50):
+        own = set(np.flatnonzero(full[i].ravel() >= codes.threshold)) or {int(full[i].argmax())}
+        assert set(filters[rows == i]) == own | {int(full[i].argmax())}
+
+
+def test_empty_vector_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert cap_filters.near_duplicates(empty).count() == 0
+    assert cross_polytope.nearest(empty, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_against_brute_force(table, vectors):
+    x = vectors.astype(float)
+    found = cross_polytope.nearest(
+        table, F.col("vec_id") % 20 == 0, block_rows=50, block_queries=7).collect()
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        own = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        scores = (x * x[q]).sum(1)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -scores))[:20]
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+        pairs = [(-r["score"], r["vec_id"]) for r in own]
+        assert pairs == sorted(pairs) and len(own) == 20
+        assert np.allclose([r["score"] for r in own], scores[[r["vec_id"] for r in own]], atol=1e-9)
+        hits += len(set(best) & {r["vec_id"] for r in own})
+        total += 20
+    assert hits >= 0.9 * total
+    assert not {r["query_id"] for r in found} & set(range(10_000, 10_007))
+
+
+def test_ties_and_few_candidates(spark):
+    one = [1.0] + [0.0] * (DIMS - 1)
+    rows = [(i, one) for i in (0, 5, 3, 9, 7)] + [(20, one), (20, one)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = cross_polytope.nearest(table, F.col("vec_id") == 20, k=3).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (1, 0, 1.0), (2, 3, 1.0), (3, 5, 1.0)]
+    found = cross_polytope.nearest(table, F.col("vec_id") == 20).collect()
+    assert sorted(r["vec_id"] for r in found) == [0, 3, 5, 7, 9]
+
+
+def test_hadamard_keeps_products():
+    x = np.random.default_rng(3).normal(size=(5, 32))
+    y = cross_polytope.hadamard(x)
+    assert np.allclose(x @ x.T, y @ y.T)
+    assert np.allclose(cross_polytope.hadamard(y), x)
