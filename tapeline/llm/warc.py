@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tapeline.llm.shared import fresh
+from tapeline.llm.shared import fresh, written
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, "
@@ -326,10 +326,11 @@ def as_records(
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("target_uri"),
                         payload.alias("payload")).select(
         "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
-    first = (
+    # Written, so that the join below is planned by the table's real size: few repeated
+    # payloads go to every task, and no payload is shuffled; many are joined by a shuffle.
+    first = written(
         rows.filter(F.col("bytes") >= least).groupBy("digest")
-        .agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    )
+        .agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "digests")
     revisit = F.coalesce(~F.col("page").eqNullSafe(F.col("first")) & F.col("first").isNotNull(),
                          F.lit(False))
     name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
