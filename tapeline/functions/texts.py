@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a number, a comment and white space in an answer.
 NUMBER = r"-?\d+(?:\.\d+)?"
+COMMENT, BLANK = r"--[^\n]*", r"\s+"
+
+# A whole word of an answer, such as a member code.
+WORD = r"[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*"
 
 
 def normalise(text: Column) -> Column:
     """Drop ``--`` comments, collapse white space, lower the case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"--[^\n]*", " "), r"\s+", " "))
+    return F.lower(F.regexp_replace(F.regexp_replace(text, COMMENT, " "), BLANK, " "))
 
 
 def numbers_in(text: Column) -> Column:

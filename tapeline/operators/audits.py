@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeline.functions.fields import micros_between, signed_quantity
 from tapeline.operators.state import POSITION_KEY, current_net_positions
-from tapeline.plans.prefix import running_sum
 
-# Lag values are numbered in blocks of 2**22 microseconds, about 4 seconds.
-_LAG_BLOCK_BITS = 22
+# A percentile is looked for in cells of 2**40 microseconds (13 days), of 2**20 (1 second),
+# and of one microsecond.
+CELL_BITS = 20
 
 
 def grain_audit(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -49,11 +50,16 @@ def fanout_audit(parents: DataFrame, children: DataFrame, key: str) -> DataFrame
     )
 
 
-def homonym_audit(left: DataFrame, left_column: str, right: DataFrame, right_column: str) -> DataFrame:
+def homonym_audit(
+    left: DataFrame, left_column: str, right: DataFrame, right_column: str,
+    least_share: float = 0.01,
+) -> DataFrame:
     """Do two columns hold the same identifiers?
 
-    Distinct values of each side, values in common, and ``unlike`` when there are
-    none: joining such columns joins two different things.
+    Distinct values of each side, values in common, their share of the smaller side's
+    values (null if a side has none), and ``unlike`` when the share is below
+    ``least_share``: joining such columns joins two different things, whatever stray value
+    they have in common.
     """
     flagged = left.select(
         F.col(left_column).cast("string").alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")
@@ -66,11 +72,14 @@ def homonym_audit(left: DataFrame, left_column: str, right: DataFrame, right_col
         F.max("l").alias("l"), F.max("r").alias("r")
     )
     common = (F.col("l") == 1) & (F.col("r") == 1)
+    smaller = F.least(F.count_if(F.col("l") == 1), F.count_if(F.col("r") == 1))
+    share = F.try_divide(F.count_if(common).cast("double"), smaller)
     return values.agg(
         F.count_if(F.col("l") == 1).alias("n_left"),
         F.count_if(F.col("r") == 1).alias("n_right"),
         F.count_if(common).alias("n_common"),
-        (F.count_if(common) == 0).alias("unlike"),
+        share.alias("share"),
+        F.coalesce(share < least_share, F.lit(True)).alias("unlike"),
     )
 
 
@@ -159,7 +168,7 @@ def history_inflation(
 def position_reconcile(positions: DataFrame, fills: DataFrame, order: str = "offset") -> DataFrame:
     """Last snapshot against the signed sum of fills, over all keys of either."""
     current = current_net_positions(positions, order=order)
-    none = F.lit(0).cast("long")
+    none = F.lit(0).cast(current.schema["net_quantity"].dataType)
     both = current.select(
         *POSITION_KEY, F.col("net_quantity").alias("snapshot"), none.alias("filled")
     ).unionByName(
@@ -171,10 +180,47 @@ def position_reconcile(positions: DataFrame, fills: DataFrame, order: str = "off
     return per_key.agg(
         F.count("*").alias("n_keys"),
         F.count_if(F.col("difference") != 0).alias("n_different"),
-        F.coalesce(F.sum(F.abs("difference")), F.lit(0)).cast("long").alias("total_difference"),
+        F.coalesce(F.sum(F.abs("difference")), F.lit(0)).alias("total_difference"),
     )
 
 
+def _cells_of(counted: DataFrame) -> DataFrame:
+    """Per percentile, the first cell in which it is reached, and the rows before that cell.
+
+    ``counted``: ``p``, ``cell``, ``n``, ``before`` (rows before all these cells), ``total``.
+    """
+    up_to = W.partitionBy("p").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    covered = counted.withColumn("covered", F.col("before") + F.sum("n").over(up_to))
+    reached = covered.filter(F.col("covered") * 100 >= F.col("total") * F.col("p"))
+    first = F.min(F.struct("cell", (F.col("covered") - F.col("n")).alias("before"), "total"))
+    return reached.groupBy("p").agg(first.alias("f")).select("p", "f.*")
+
+
+def exact_percentiles(rows: DataFrame, value: str, percents: Sequence[int]) -> DataFrame:
+    """``p`` and ``value``: the smallest value that covers at least ``p`` % of the rows.
+
+    By three histograms, each combined map-side: of coarse cells, of finer ones inside the
+    cells that hold a percentile, and of single values inside those. A window sees the
+    cells of one percentile, at most ``2**CELL_BITS`` below the coarsest.
+    """
+    own = F.col(value).cast("long")
+    cell = F.shiftright(own, 2 * CELL_BITS).alias("cell")
+    asked = F.explode(F.array(*[F.lit(p) for p in percents])).alias("p")
+    coarse = rows.groupBy(cell).agg(F.count("*").alias("n")).select("*", asked)
+    whole = W.partitionBy("p")
+    found = _cells_of(coarse.withColumns(
+        {"before": F.lit(0).cast("long"), "total": F.sum("n").over(whole)}))
+    for bits in (CELL_BITS, 0):
+        # One row for each percentile: the bound of this broadcast.
+        parents = F.broadcast(found.withColumnRenamed("cell", "parent"))
+        inner = rows.select(
+            F.shiftright(own, bits).alias("cell"), F.shiftright(own, bits + CELL_BITS).alias("parent"))
+        found = _cells_of(
+            inner.join(parents, "parent").groupBy("p", "cell", "before", "total")
+            .agg(F.count("*").alias("n")))
+    return found.select("p", F.col("cell").alias("value"))
+
+
 def ingest_skew(
     df: DataFrame,
     business_time: str,
@@ -184,29 +230,21 @@ def ingest_skew(
     """How far log time is from business time, and rows it would date otherwise.
 
     Percentiles are exact: the smallest lag that covers at least p % of the rows.
-    They come from a distributed histogram of lags and its running count; no task
-    holds all lag values.
     """
     lags = df.select(
         micros_between(F.col(business_time), F.col(log_time)).alias("lag_us"),
         (F.to_date(business_time) != F.to_date(log_time)).alias("other_date"),
     ).filter(F.col("lag_us").isNotNull())
-    histogram = lags.groupBy("lag_us").agg(
-        F.count("*").alias("n"), F.count_if("other_date").alias("n_other")
-    )
-    covered = running_sum(histogram, [], "lag_us", "n", "covered", _LAG_BLOCK_BITS)
-    total = histogram.agg(F.sum("n")).scalar()
-    rows = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
-    weighted = F.sum(F.col("lag_us").cast("decimal(20,0)") * F.col("n"))
-    return covered.withColumn("total", total).agg(
-        rows.alias("n_rows"),
-        F.coalesce(F.sum("n_other"), F.lit(0)).cast("long").alias("n_other_date"),
-        F.floor(weighted / F.sum("n")).cast("long").alias("avg_lag_us"),
+    weighted = F.sum(F.col("lag_us").cast("decimal(20,0)"))
+    whole = lags.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if("other_date").alias("n_other_date"),
+        F.floor(weighted / F.count("*")).cast("long").alias("avg_lag_us"),
         F.max("lag_us").alias("max_lag_us"),
-        *[
-            F.min(
-                F.when(F.col("covered") * 100 >= F.col("total") * p, F.col("lag_us"))
-            ).alias(f"p{p}_lag_us")
-            for p in percents
-        ],
     )
+    reached = exact_percentiles(lags, "lag_us", percents).agg(*[
+        F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}_lag_us") for p in percents
+    ])
+    # Both are one row; together they are two half-empty ones.
+    both = whole.unionByName(reached, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

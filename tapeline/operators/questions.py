@@ -6,7 +6,6 @@ so the scoring joins stay small whatever the size of the topics.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -106,18 +105,22 @@ def judge(
 ) -> DataFrame:
     """The scorecard of a run whose answers are tables already.
 
-    ``runs``: id, condition, sql, ``executed``; ``numbers``: id, condition, numbers;
+    ``runs``: id, condition, sql, ``executed``; ``numbers``: id, condition, numbers (also
+    of a grouped answer, for the case that it has no rows);
     ``rows``: id, condition, grp, pos, numbers; ``named``: id, condition, member.
     """
     done = runs.filter("executed").select("id", "condition")
+    grouped = done.filter(F.col("id") == GROUP_ID).join(
+        numbers.filter(F.col("id") == GROUP_ID), ["id", "condition"], "left")
     results = (
         scoring.score_scalar(numbers, scalars)
-        .unionByName(scoring.score_groups(done.filter(F.col("id") == GROUP_ID), rows, groups))
+        .unionByName(scoring.score_groups(grouped, rows, groups))
         .unionByName(scoring.score_members(done.filter(F.col("id") == MEMBER_ID), named, members))
     )
     texts = scoring.score_text(runs).select("id", "condition", "text_verdict", "text_detail")
     return scoring.combine_verdicts(texts.join(results, ["id", "condition"], "left")).select(
-        "id", "condition", "verdict", "detail", "text_verdict", "result_verdict"
+        "id", "condition", "verdict", "detail", "text_verdict", "text_detail", "result_verdict",
+        "result_detail",
     )
 
 
@@ -126,19 +129,19 @@ def score_runs(
     scalars: DataFrame,
     groups: DataFrame,
     members: DataFrame,
-    codes: Sequence[str],
+    codes: DataFrame,
     group_field: str = "contract_series",
     measure: str | None = None,
 ) -> DataFrame:
     """The scorecard of a run as it is stored.
 
     ``runs``: id, condition, sql, result (array of JSON texts, null if not executed).
-    ``codes`` are all member codes there are.
+    ``codes`` has all member codes there are, in column ``member``.
     """
     answered = runs.filter(F.col("result").isNotNull())
     return judge(
         runs.withColumn("executed", F.col("result").isNotNull()),
-        scoring.answer_numbers(answered.filter(F.col("id").isin(*SCALAR_IDS))),
+        scoring.answer_numbers(answered.filter(F.col("id").isin(*SCALAR_IDS, GROUP_ID))),
         scoring.answer_rows(answered.filter(F.col("id") == GROUP_ID), group_field, measure),
         scoring.answer_members(answered.filter(F.col("id") == MEMBER_ID), codes),
         scalars,

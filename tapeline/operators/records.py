@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import keyword
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,10 +64,22 @@ def many_types_to_string(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def flat_name(path: Sequence[str]) -> str:
-    """Column name of a nested path: parts joined by ``_``, made a plain identifier."""
-    name = re.sub(r"\W", "_", "_".join(path))
-    return f"f_{name}" if keyword.iskeyword(name) or name.startswith("_") else name
+def flat_names(paths: Sequence[Sequence[str]], taken: Sequence[str] = ()) -> list[str]:
+    """A column name for each nested path, all different.
+
+    The dotted path with everything but letters and digits as ``_``; a name that is taken
+    gets the next free number at its end.
+    """
+    used, names = {t.lower() for t in taken}, []
+    for path in paths:
+        plain = "".join(c if c.isalnum() else "_" for c in ".".join(path))
+        name, number = plain, 1
+        while name.lower() in used:
+            number += 1
+            name = f"{plain}_{number}"
+        used.add(name.lower())
+        names.append(name)
+    return names
 
 
 def leaf_paths(schema: StructType, prefix: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -88,15 +98,11 @@ def flatten(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     The dotted path of a leaf stays in the column's metadata under ``path``.
     """
-    out, names = [F.col(name) for name in keep], list(keep)
-    for path in leaf_paths(df.drop(*keep).schema):
-        name = flat_name(path)
+    out = [F.col(name) for name in keep]
+    paths = leaf_paths(df.drop(*keep).schema)
+    for path, name in zip(paths, flat_names(paths, keep)):
         quoted = ".".join(f"`{part}`" for part in path)
         out.append(F.col(quoted).alias(name, metadata={"path": ".".join(path)}))
-        names.append(name)
-    twice = sorted({n for n in names if names.count(n) > 1})
-    if twice:
-        raise ValueError(f"flattened names collide: {twice}")
     return df.select(*out)
 
 

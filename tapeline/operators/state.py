@@ -71,7 +71,7 @@ def running_positions(
     fills: DataFrame,
     keys: Sequence[str] = POSITION_KEY,
     order: str = "offset",
-    block_bits: int = BLOCK_BITS,
+    block_bits: int | None = BLOCK_BITS,
 ) -> DataFrame:
     """The position log: every fill with its key's signed sum so far, in log order."""
     signed = fills.withColumn("__signed", signed_quantity())

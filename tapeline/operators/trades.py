@@ -134,10 +134,22 @@ def trades_per_party(reports: DataFrame) -> DataFrame:
 def live_trades_per_party(
     reports: DataFrame, order: Sequence[str] = ("reporting_timestamp", "offset")
 ) -> DataFrame:
-    """As above, only trades whose last action is not terminal."""
-    pairs = both_sides(reports, "uti").distinct()
+    """As above, only trades whose last action is not terminal.
+
+    One pass: a trade keeps its last action and the few parties that reported it.
+    """
+    parties = F.array_union(
+        F.collect_set("counterparty_1"), F.collect_set("counterparty_2")
+    )
+    nobody = F.count_if(F.col("counterparty_1").isNull() | F.col("counterparty_2").isNull()) > 0
+    per_trade = reports.groupBy("uti").agg(
+        F.max_by("action_type", F.struct(*order)).alias("action_type"),
+        F.when(nobody, F.array_append(parties, F.lit(None).cast("string")))
+        .otherwise(parties).alias("parties"),
+    )
     return (
-        pairs.join(live_utis(reports, order), "uti", "left_semi")
+        per_trade.filter(is_live() & F.col("uti").isNotNull())
+        .select(F.explode("parties").alias("party"))
         .groupBy("party")
         .agg(F.count("*").alias("n_trades"))
     )
@@ -204,15 +216,20 @@ def current_contracts(refdata: DataFrame, order: str = "version") -> DataFrame:
 def fill_notionals(
     fills: DataFrame, refdata: DataFrame, order: str = "version"
 ) -> DataFrame:
-    """Fills with underlying and notional = price x multiplier x lots, to 2 decimals."""
+    """Fills with underlying and notional = price x multiplier x lots, rounded once to 2
+    decimals. Prices count with up to 6 decimals, multipliers and lots with up to 2.
+    """
     ref = current_contracts(
         refdata.select("contract_series", "underlying", "contract_multiplier", order), order
     ).drop(order)
-    joined = lookup_join(fills, ref, "contract_series", bounded_by=refdata)
-    price = F.col("price").cast("decimal(18,2)")
-    product = price * F.col("contract_multiplier").cast("decimal(18,2)")
-    lots = F.col("quantity").cast("decimal(18,2)")
-    return joined.withColumn("notional", F.round(product * lots, 2).cast("decimal(28,2)"))
+    joined = lookup_join(fills, ref, "contract_series")
+    # 17 + 11 + 10 digits: the product is exact, and only it is rounded.
+    exact = (
+        F.col("price").cast("decimal(17,6)")
+        * F.col("contract_multiplier").cast("decimal(10,2)")
+        * F.col("quantity").cast("decimal(9,2)")
+    )
+    return joined.withColumn("notional", F.round(exact, 2).cast("decimal(28,2)"))
 
 
 def notional_by_underlying(

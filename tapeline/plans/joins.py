@@ -5,38 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may have. At a few hundred bytes per reference row this
-# stays well under 100 MB per executor.
-BROADCAST_ROWS = 200_000
 NULL_SPREAD = 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows.
-
-    Give it the *stored* table, before any aggregation: a columnless count reads
-    file footers only, sends one number per task, and bounds whatever is derived.
-    """
-    return df.count() <= max_rows
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: str,
-    how: str = "inner",
-    bounded_by: DataFrame | None = None,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Joins facts to a lookup side.
 
-    The lookup is broadcast only if ``bounded_by`` (its stored source) passes the
-    size check. Otherwise both sides are shuffled on the key: a hot key is split
-    by the adaptive skew join, which may split the fact side for inner and left
-    joins.
+    No side is hinted: adaptive execution broadcasts the lookup if its bytes, as measured
+    after its own stages, are below the session's threshold. Otherwise both sides are
+    shuffled on the key, and a hot key of the fact side is split by the skew join.
     """
-    if bounded_by is not None and fits_broadcast(bounded_by, max_rows):
-        return facts.join(F.broadcast(lookup), on, how)
     return facts.join(lookup, on, how)
 
 

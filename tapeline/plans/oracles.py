@@ -111,16 +111,16 @@ JUDGED = r"""clean AS (
         WHEN es_wrong AND NOT es_right THEN 'FAIL' ELSE 'REVIEW' END END AS text_verdict,
     CASE id
       WHEN 'en' THEN CASE WHEN (http OR copyright) AND NOT en_good
-          THEN 'failure pattern: /' || CASE WHEN http THEN 'http' ELSE 'copyright' END || '/'
-        WHEN en_good THEN 'correct SQL pattern present' ELSE 'no known pattern matched' END
+          THEN 'wrong pattern: /' || CASE WHEN http THEN 'http' ELSE 'copyright' END || '/'
+        WHEN en_good THEN 'right pattern found' ELSE 'no pattern found' END
       WHEN 'de' THEN CASE WHEN http AND NOT contains(t, 'und ') THEN 'trap pattern'
-        WHEN de_good THEN 'correct SQL pattern present' ELSE 'no known pattern matched' END
+        WHEN de_good THEN 'right pattern found' ELSE 'no pattern found' END
       WHEN 'fr' THEN CASE WHEN fr_right AND NOT fr_wrong THEN 'right sense'
         WHEN fr_wrong AND NOT fr_right THEN 'wrong sense'
-        WHEN fr_right THEN 'both senses' ELSE 'could not classify interpretation' END
+        WHEN fr_right THEN 'both senses' ELSE 'neither sense' END
       ELSE CASE WHEN es_right AND NOT es_wrong THEN 'right sense'
         WHEN es_wrong AND NOT es_right THEN 'wrong sense'
-        WHEN es_right THEN 'both senses' ELSE 'could not classify interpretation' END
+        WHEN es_right THEN 'both senses' ELSE 'neither sense' END
       END AS text_detail
   FROM flags),
  labelled AS (
@@ -157,6 +157,63 @@ QUESTIONS = """, numbers AS (
   UNION ALL SELECT 'q4_live_trades', (SELECT COUNT(*) FROM live), COUNT(DISTINCT uti), 'all_utis' FROM reports
   UNION ALL SELECT 'q8_event_time', COUNT(*), NULL, '' FROM fills WHERE CAST(ts AS DATE) = DATE '2024-01-15')"""
 
+# The texts of the runs, by number.
+QUERY_TEXTS = """texts AS (SELECT * FROM (VALUES
+  (0, 'SELECT COUNT(*) FROM f'), (1, 'SELECT count( DISTINCT  order_id ) FROM f'),
+  (2, 'SELECT COUNT(order_id), COUNT(DISTINCT uti) FROM r'),
+  (3, 'SELECT uti FROM r WHERE action NOT IN (''EROR'', ''TERM'')'),
+  (4, 'SELECT SUM(ABS(net_quantity)) FROM p'),
+  (5, 'SELECT SUM(net_quantity) FROM p WHERE _meta.offset = 3'),
+  (6, 'SELECT counterparty_1 FROM `emir.trade-reports`'),
+  (7, 'SELECT clearing_member_id FROM `etd.clearing-events` JOIN `emir.trade-reports` ON counterparty_1 = 1'),
+  (8, 'SELECT m FROM p WHERE net_quantity < 0 AND side = ''SELL'''),
+  (9, 'SELECT m FROM f WHERE side = ''SELL'' AND _meta.timestamp > 1'),
+  (10, 'SELECT 1 FROM f WHERE exec_time > 1 -- COUNT(*)'),
+  (11, 'SELECT clearing_member_id, row_number() OVER w FROM p'), (12, NULL)) AS t(i, x))"""
+
+# Verdict and detail of a text for its question, from the rules as they are described.
+TEXT_VERDICTS = r"""norm AS (
+  SELECT *, lower(regexp_replace(regexp_replace(coalesce(sql, ''), '--[^\n]*', ' ', 'g'), '\s+', ' ', 'g')) AS t
+  FROM runs),
+ seen AS (
+  SELECT *, regexp_matches(t, 'count\s*\(\s*\*\s*\)') AS stars,
+    regexp_matches(t, 'count\s*\(\s*distinct\s+order_id') AS d_order,
+    regexp_matches(t, 'count\s*\(\s*order_id\s*\)') AS c_order,
+    regexp_matches(t, 'count\s*\(\s*distinct\s+uti') AS d_uti,
+    regexp_matches(t, 'count\s*\(\s*report_id') AS c_report,
+    contains(t, '_meta.offset') OR contains(t, 'latest') OR contains(t, 'row_number') AS newest,
+    regexp_matches(t, 'sum\s*\(\s*(abs\s*\(\s*)?net_quantity') AS sums_up,
+    contains(t, 'emir.trade-reports') AND contains(t, 'counterparty') AS parties,
+    contains(t, 'clearing_member_id') OR contains(t, 'etd.clearing-events') AS members,
+    regexp_matches(t, 'net_quantity\s*<\s*0') AS negative, regexp_matches(t, 'side\s*=\s*''sell''') AS sell
+  FROM norm),
+ texted AS (
+  SELECT *, CASE id
+    WHEN 'q1_control_count' THEN CASE WHEN regexp_matches(t, 'count\s*\(') THEN 'PASS|right pattern found'
+      ELSE 'REVIEW|no pattern found' END
+    WHEN 'q2_fanout_orders' THEN CASE WHEN d_order THEN 'PASS|right pattern found'
+      WHEN stars THEN 'FAIL|wrong pattern: /count\s*\(\s*\*\s*\)/'
+      WHEN c_order THEN 'FAIL|wrong pattern: /count\s*\(\s*order_id\s*\)/' ELSE 'REVIEW|no pattern found' END
+    WHEN 'q3_emir_trade_count' THEN CASE WHEN d_uti THEN 'PASS|right pattern found'
+      WHEN stars THEN 'FAIL|wrong pattern: /count\s*\(\s*\*\s*\)/'
+      WHEN c_report THEN 'FAIL|wrong pattern: /count\s*\(\s*report_id/' ELSE 'REVIEW|no pattern found' END
+    WHEN 'q4_live_trades' THEN CASE WHEN contains(t, 'eror') OR regexp_matches(t, 'not\s+in\s*\(')
+      THEN 'PASS|right pattern found' ELSE 'REVIEW|no pattern found' END
+    WHEN 'q5_open_interest' THEN CASE
+      WHEN sums_up AND NOT (newest OR regexp_matches(t, 'max\s*\(')) THEN 'FAIL|adds up superseded snapshots'
+      WHEN newest OR regexp_matches(t, 'max\s*\(\s*_meta') THEN 'PASS|right pattern found'
+      ELSE 'REVIEW|no pattern found' END
+    WHEN 'q6_counterparty_homonym' THEN CASE WHEN parties AND NOT members THEN 'PASS|reads the reported parties'
+      WHEN members AND NOT parties THEN 'FAIL|reads clearing members as parties'
+      WHEN parties THEN 'REVIEW|reads reported parties and members: see whether it joins them'
+      ELSE 'REVIEW|reads neither' END
+    WHEN 'q7_side_vs_direction' THEN CASE WHEN negative THEN 'PASS|right pattern found'
+      WHEN sell THEN 'FAIL|wrong pattern: /side\s*=\s*''sell''/' ELSE 'REVIEW|no pattern found' END
+    ELSE CASE WHEN contains(t, 'exec_time') THEN 'PASS|right pattern found'
+      WHEN contains(t, '_meta.timestamp') THEN 'FAIL|wrong pattern: /_meta\.timestamp/'
+      ELSE 'REVIEW|no pattern found' END END AS v
+  FROM seen)"""
+
 _TOP = """ SELECT party, COUNT(DISTINCT uti) AS n_trades FROM sides {where}
   GROUP BY party ORDER BY n_trades DESC, party LIMIT 10"""
 
@@ -197,6 +254,11 @@ ORACLES: dict[str, str] = {
         '{"size":' || length(html) || '}' AS facts FROM pages""",
     "topic_counts": _with(_ALL_TOPICS, "SELECT topic, n_records, n_keys FROM counts"),
     "written_topic": _with(_ALL_TOPICS, "SELECT * FROM counts"),
+    "fields_as_text": """SELECT page_id, CAST(length(html) AS VARCHAR) AS size,
+        CAST(to_json(string_split(url, '/')) AS VARCHAR) AS parts,
+        '{"size":' || length(html) || '}' AS facts FROM pages""",
+    "topic_sql": _with(LAST_ACTION, """SELECT series AS contract_series, COUNT(*) AS n_live
+        FROM live JOIN (SELECT 'UTI' || off AS uti, series FROM fills) USING (uti) GROUP BY 1"""),
     "encode_topic": _with(FILLS, """SELECT exec_id AS _key, order_id, series AS contract_series, side,
         qty AS quantity, price, member AS executing_member, ts AS exec_time FROM fills"""),
     "assign_offsets": _with(LOG, """SELECT position_key, off AS sent, part_no AS log_partition,
@@ -286,7 +348,8 @@ ORACLES: dict[str, str] = {
         qty AS quantity, price, exec_time, o_custkey AS account, o_orderdate AS submitted_at
         FROM lines l JOIN orders ON order_id = o_orderkey"""),
     "notional_by_underlying": _with(LINES + ", " + REFDATA, """SELECT underlying, COUNT(*) AS n_fills,
-        CAST(SUM(price * multiplier * qty) AS DECIMAL(38,2)) AS notional
+        CAST(SUM(CAST(round((CAST(price AS DECIMAL(17,6)) + line * 0.0005) * multiplier * qty, 2)
+          AS DECIMAL(28,2))) AS DECIMAL(38,2)) AS notional
         FROM lines JOIN refdata USING (series) GROUP BY underlying"""),
     "reports_with_fills": _with(REPORTS, """SELECT r.exec_id, report_id, uti, action AS action_type,
         f.side, f.qty AS quantity, f.series AS contract_series
@@ -310,13 +373,20 @@ ORACLES: dict[str, str] = {
           COALESCE(MAX(n) FILTER (p.k IS NOT NULL), 0) AS max_children
         FROM p FULL JOIN c ON p.k = c.k""",
     "homonym_audit": _with(REPORTS + SIDES, """SELECT (SELECT COUNT(DISTINCT party) FROM sides) AS n_left,
-          (SELECT COUNT(DISTINCT member) FROM fills) AS n_right, c.n AS n_common, c.n = 0 AS unlike,
+          (SELECT COUNT(DISTINCT member) FROM fills) AS n_right, c.n AS n_common,
+          CAST(c.n AS DOUBLE) / least((SELECT COUNT(DISTINCT party) FROM sides),
+            (SELECT COUNT(DISTINCT member) FROM fills)) AS share, c.n = 0 AS unlike,
           'party/member' AS pair
         FROM (SELECT COUNT(DISTINCT party) AS n FROM sides WHERE party IN (SELECT member FROM fills)) c
-        UNION ALL SELECT COUNT(DISTINCT member), COUNT(DISTINCT member), COUNT(DISTINCT member),
-          COUNT(DISTINCT member) = 0, 'member/member' FROM fills"""),
+        UNION ALL SELECT COUNT(DISTINCT member), COUNT(DISTINCT member), COUNT(DISTINCT member), 1.0,
+          COUNT(DISTINCT member) = 0, 'member/member' FROM fills
+        UNION ALL SELECT o, e, k, CAST(k AS DOUBLE) / least(o, e), CAST(k AS DOUBLE) / least(o, e) < 0.01,
+          'order/execution' FROM (SELECT COUNT(DISTINCT order_id) AS o,
+            COUNT(DISTINCT CASE WHEN off = 7 THEN 'ORD1' ELSE exec_id END) AS e,
+            COUNT(DISTINCT CASE WHEN off = 7 THEN 'ORD1' END) AS k FROM fills)"""),
     "dual_side_audit": _with(REPORTS, """, g AS (SELECT uti, action, COUNT(*) AS n,
-          MIN(cp1) AS a, MAX(cp1) AS b, MIN(cp2) AS c, MAX(cp2) AS d FROM reports GROUP BY 1, 2)
+          MIN(cp1) AS a, MAX(cp1) AS b, MIN(cp2) AS c, MAX(cp2) AS d
+          FROM reports WHERE roff % 160 <> 21 GROUP BY 1, 2)
         SELECT action AS action_type, COUNT(*) AS n_groups,
           COUNT(*) FILTER (n = 2 AND a = c AND b = d AND a <> b) AS n_mirrored,
           COUNT(*) FILTER (NOT (n = 2 AND a = c AND b = d AND a <> b)) AS n_unmirrored
@@ -330,10 +400,12 @@ ORACLES: dict[str, str] = {
     "history_inflation": _with(INFLATION, """SELECT series AS contract_series, total AS total_abs_net,
         hist AS history_sum, abs_hist AS history_abs_sum FROM truth JOIN history USING (series)"""),
     "position_reconcile": _with(CURRENT, """, s AS (SELECT member, account, series,
-          SUM(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) AS filled FROM fills GROUP BY 1, 2, 3)
+          SUM(CASE WHEN side = 'BUY' THEN more ELSE -more END) AS filled FROM (SELECT *,
+            qty + CASE WHEN off % 50 = 0 THEN 0.25 ELSE 0.00 END AS more FROM fills) GROUP BY 1, 2, 3)
         SELECT COUNT(*) AS n_keys,
           COUNT(*) FILTER (COALESCE(net, 0) <> COALESCE(filled, 0)) AS n_different,
-          CAST(COALESCE(SUM(abs(COALESCE(net, 0) - COALESCE(filled, 0))), 0) AS BIGINT) AS total_difference
+          CAST(COALESCE(SUM(abs(COALESCE(net, 0) - COALESCE(filled, 0))), 0) AS DECIMAL(38,2))
+            AS total_difference
         FROM current_state FULL JOIN s USING (member, account, series)"""),
     "ingest_skew": _with(SKEW, """SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (other) AS n_other_date,
         CAST(SUM(lag) // COUNT(*) AS BIGINT) AS avg_lag_us, MAX(lag) AS max_lag_us,
@@ -391,35 +463,81 @@ ORACLES: dict[str, str] = {
         MAX(verdict) FILTER (condition = 'history_abs_sum') AS history_abs_sum
         FROM scored GROUP BY id"""),
     "question_truth": _with(LAST_ACTION, QUESTIONS + " SELECT id, truth, distractor FROM numbers"),
+    "question_text_scores": "WITH " + QUERY_TEXTS + """, runs AS (
+          SELECT p_partkey, list_extract(['q1_control_count', 'q2_fanout_orders', 'q3_emir_trade_count',
+              'q4_live_trades', 'q5_open_interest', 'q6_counterparty_homonym', 'q7_side_vs_direction',
+              'q8_event_time'], CAST(p_partkey % 8 + 1 AS BIGINT)) AS id,
+            texts.x || ' -- ' || p_name || ' exec_time' AS sql
+          FROM part JOIN texts ON texts.i = (p_partkey * 7 + p_size) % 13), """ + TEXT_VERDICTS + """
+        SELECT p_partkey, id, split_part(v, '|', 1) AS text_verdict, split_part(v, '|', 2) AS text_detail
+        FROM texted""",
     "benchmark_scorecard": _with(
         LAST_ACTION + POSITIONS.removeprefix(FILLS) + CURRENT.removeprefix(POSITIONS)
         + SHORT_NET + """, short_any AS (SELECT DISTINCT series, member FROM current_state WHERE net < 0)"""
         + INFLATION.removeprefix(CURRENT) + SELLERS,
-        QUESTIONS + """, wanted AS (
+        QUESTIONS + ", " + QUERY_TEXTS + """, wanted AS (
           SELECT member FROM short_any WHERE series = 'purchase'
-          UNION SELECT member FROM short_net WHERE series = 'purchase'), cells AS (
-          SELECT id, 'semantic' AS condition, 'PASS' AS v, 'found the right value' AS d FROM numbers
-          UNION ALL SELECT id, 'baseline', CASE WHEN distractor IS NULL OR distractor = truth THEN 'PASS'
-            ELSE 'FAIL' END, CASE WHEN distractor IS NULL OR distractor = truth
-            THEN 'found the right value' ELSE 'matched distractor ' || label END FROM numbers
-          UNION ALL SELECT 'q5_open_interest', 'semantic', 'PASS', 'all groups match'
-          UNION ALL SELECT 'q5_open_interest', 'baseline',
-            CASE WHEN ok = n THEN 'PASS' WHEN n > ok THEN 'FAIL' END,
-            CASE WHEN ok = n THEN 'all groups match'
-              ELSE (n - ok) || ' groups match the distractor' END
-            FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (hist = total OR hist = abs(total)) AS ok
-              FROM truth JOIN history USING (series))
-          UNION ALL SELECT 'q7_side_vs_direction', 'semantic', 'PASS', COUNT(*) || ' expected members'
-            FROM wanted
-          UNION ALL SELECT 'q7_side_vs_direction', 'baseline',
-            CASE WHEN extra > 0 THEN 'FAIL' ELSE 'PASS' END,
-            CASE WHEN extra > 0 THEN extra || ' unexpected members included'
-              ELSE found || ' expected members' END
-            FROM (SELECT COUNT(*) FILTER (member NOT IN (SELECT member FROM wanted)) AS extra,
-                COUNT(*) FILTER (member IN (SELECT member FROM wanted)) AS found
-              FROM sellers WHERE series = 'purchase'))
-        SELECT id, condition, v AS verdict, d AS detail, 'REVIEW' AS text_verdict,
-          v AS result_verdict FROM cells"""),
+          UNION SELECT member FROM short_net WHERE series = 'purchase'),
+        kinds AS (SELECT * FROM (VALUES (0, 'right'), (1, 'wrong'), (2, 'both'), (3, 'none'),
+          (4, 'bare'), (5, 'silent')) AS k(c, condition)),
+        asked AS (SELECT * FROM (VALUES (0, 'q1_control_count'), (1, 'q2_fanout_orders'),
+          (2, 'q3_emir_trade_count'), (3, 'q4_live_trades'), (4, 'q5_open_interest'),
+          (5, 'q6_counterparty_homonym'), (6, 'q7_side_vs_direction'), (7, 'q8_event_time')) AS a(q, id)),
+        runs AS (SELECT id, condition, texts.x AS sql FROM asked CROSS JOIN kinds
+          JOIN texts ON texts.i = (q * 6 + c) % 13), """ + TEXT_VERDICTS + """,
+        given AS (
+          SELECT id, truth, distractor, label, condition, CASE condition WHEN 'right' THEN [truth]
+            WHEN 'wrong' THEN [coalesce(distractor, truth + 1)]
+            WHEN 'both' THEN [truth, coalesce(distractor, truth + 1)] ELSE [-1] END AS nums
+          FROM numbers, kinds WHERE condition IN ('right', 'wrong', 'both', 'none')),
+        flagged AS (SELECT *, list_contains(nums, truth) AS hit,
+            coalesce(distractor <> truth AND list_contains(nums, distractor), false) AS tripped FROM given),
+        by_series AS (
+          SELECT condition, total, hist, CASE condition WHEN 'right' THEN total WHEN 'wrong' THEN hist
+            WHEN 'both' THEN CASE WHEN series = 'purchase' THEN total ELSE hist END ELSE -1 END AS answer
+          FROM truth JOIN history USING (series), kinds WHERE condition IN ('right', 'wrong', 'both', 'none')),
+        grouped AS (
+          SELECT condition, COUNT(*) AS n, COUNT(*) FILTER (answer = total OR answer = abs(total)) AS ok,
+            COUNT(*) FILTER (NOT (answer = total OR answer = abs(total)) AND answer = hist) AS wrong
+          FROM by_series GROUP BY condition),
+        named AS (
+          SELECT 'right' AS condition, member FROM wanted
+          UNION SELECT 'wrong', member FROM sellers WHERE series = 'purchase'
+          UNION SELECT 'both', member FROM wanted
+          UNION SELECT 'both', member FROM sellers WHERE series = 'purchase'),
+        counted AS (
+          SELECT k.condition, COUNT(*) FILTER (member IN (SELECT member FROM wanted)) AS found,
+            COUNT(*) FILTER (member NOT IN (SELECT member FROM wanted)) AS extra
+          FROM kinds k LEFT JOIN named n ON n.condition = k.condition
+          WHERE k.condition <> 'silent' GROUP BY k.condition),
+        results AS (
+          SELECT id, condition, CASE WHEN hit AND NOT tripped THEN 'PASS|found the right value'
+            WHEN tripped AND NOT hit THEN 'FAIL|matched distractor ' || label
+            WHEN hit AND tripped THEN 'REVIEW|both truth and distractor present'
+            ELSE 'REVIEW|right value not found' END AS r FROM flagged
+          UNION ALL SELECT 'q5_open_interest', condition, CASE WHEN ok = n THEN 'PASS|all groups match'
+            WHEN wrong > 0 THEN 'FAIL|' || wrong || ' groups match the distractor'
+            ELSE 'REVIEW|' || ok || '/' || n END FROM grouped
+          UNION ALL SELECT 'q5_open_interest', 'bare', 'PASS|sum over the groups matches'
+            FROM (SELECT SUM(total) AS t FROM truth) a JOIN (SELECT SUM(abs(net)) AS t FROM current_state) b
+            ON a.t = b.t
+          UNION ALL SELECT 'q7_side_vs_direction', condition,
+            CASE WHEN extra > 0 THEN 'FAIL|' || extra || ' unexpected members included'
+              WHEN found > 0 THEN 'PASS|' || found || ' expected members'
+              ELSE 'REVIEW|no known member in the answer' END FROM counted),
+        parts AS (
+          SELECT t.id, t.condition, split_part(v, '|', 1) AS text_verdict, split_part(v, '|', 2) AS text_detail,
+            nullif(split_part(r, '|', 1), '') AS result_verdict,
+            CASE WHEN r IS NOT NULL THEN split_part(r, '|', 2) END AS result_detail
+          FROM texted t LEFT JOIN results USING (id, condition))
+        SELECT id, condition, CASE WHEN result_verdict IS NULL
+              OR (result_verdict = 'REVIEW' AND text_verdict <> 'REVIEW') THEN text_verdict
+            ELSE result_verdict END AS verdict,
+          CASE WHEN result_verdict IS NULL THEN text_detail
+            WHEN result_verdict = 'REVIEW' AND text_verdict <> 'REVIEW'
+            THEN text_detail || ' (result inconclusive: ' || result_detail || ')'
+            ELSE result_detail END AS detail,
+          text_verdict, text_detail, result_verdict, result_detail FROM parts"""),
     "stream_latest": """SELECT user_id, event_id, event_type, ts FROM (SELECT *,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "stream_net_positions": _with(FILLS, """SELECT member AS clearing_member_id, account,

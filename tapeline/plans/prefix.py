@@ -8,11 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BLOCK, _CARRY, _VALUE = "__block", "__carry", "__value"
+_BLOCK, _CARRY, _VALUE, _GROUP = "__block", "__carry", "__value", "__group"
 
-# Order values per block, as a power of two. Blocks of 2**14 to 2**18 measure alike;
-# with 2**17 a key of 10**12 rows has some 8 million block totals to sum up in order.
+# Order values per block, as a power of two. Blocks of 2**14 to 2**18 measure alike.
 BLOCK_BITS = 17
+# Blocks per group of blocks, as a power of two. A key of 10**12 rows has some 8 million
+# blocks of 2**17 rows, but only some 2,000 groups.
+GROUP_BITS = 12
+
+
+def _carries(totals: DataFrame, keys: list[str], total_type) -> DataFrame:
+    """What each block starts with: the groups of blocks before its own, and the blocks
+    before it in its group. No task sees all blocks of a key."""
+    grouped = totals.withColumn(_GROUP, F.shiftright(_BLOCK, GROUP_BITS))
+    earlier_groups = W.partitionBy(*keys).orderBy(_GROUP).rowsBetween(W.unboundedPreceding, -1)
+    before = grouped.groupBy(*keys, _GROUP).agg(F.sum(_VALUE).alias(_VALUE)).select(
+        *keys, _GROUP, F.sum(_VALUE).over(earlier_groups).alias(_VALUE), F.lit(None).alias(_BLOCK)
+    ).filter(F.col(_VALUE).isNotNull())
+    inside = W.partitionBy(*keys, _GROUP).orderBy(F.col(_BLOCK).asc_nulls_first()).rowsBetween(
+        W.unboundedPreceding, -1)
+    return (
+        grouped.unionByName(before.select(*grouped.columns))
+        .withColumn(_CARRY, F.sum(_VALUE).over(inside).cast(total_type))
+        .filter(F.col(_BLOCK).isNotNull() & F.col(_CARRY).isNotNull())
+        .select(*keys, _BLOCK, F.col(_CARRY).alias(_VALUE), F.lit(0).alias(_CARRY))
+    )
 
 
 def running_sum(
@@ -21,33 +41,30 @@ def running_sum(
     order: str,
     value: str,
     out: str,
-    block_bits: int = BLOCK_BITS,
+    block_bits: int | None = BLOCK_BITS,
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of a key up to this one.
 
-    ``order`` is an integral column, unique inside a key. Each key is cut into
-    blocks of ``2**block_bits`` order values, which bounds the rows of a block
-    however hot the key is:
+    ``order`` is an integral column, unique inside a key; ``keys`` may not be empty. The
+    caller says which kind of log it is, and the answer is the same:
 
-    1. block totals, combined map-side before the shuffle;
-    2. a window over the block totals gives what each block starts with;
-    3. that carry joins its block as one extra leading row (a union, no join), and
-       a window inside the block adds the rest.
-
-    Only step 3 shuffles the rows themselves, and it shuffles them once.
+    * ``block_bits=None``: many keys, none with more rows than a task can sort. One window.
+    * else few or very hot keys. Each is cut into blocks of ``2**block_bits`` order values,
+      which bounds the rows of a block however hot the key is: block totals, combined
+      map-side; what each block starts with, summed up in two levels; and that carry joins
+      its block as one extra leading row (a union, no join) for a window inside the block.
+      Only this last step shuffles the rows themselves, and it shuffles them once.
     """
+    if not keys:
+        raise ValueError("a running sum needs a key")
     total_type = df.select(F.sum(value).alias("s")).schema["s"].dataType
+    keys = list(keys)
+    if block_bits is None:
+        so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(out, F.sum(F.col(value).cast(total_type)).over(so_far).cast(total_type))
     blocked = df.withColumn(_BLOCK, F.shiftright(F.col(order).cast("long"), block_bits))
-
     totals = blocked.groupBy(*keys, _BLOCK).agg(F.sum(value).alias(_VALUE))
-    earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys,
-        _BLOCK,
-        F.sum(_VALUE).over(earlier).cast(total_type).alias(_VALUE),
-        F.lit(0).alias(_CARRY),
-    ).filter(F.col(_VALUE).isNotNull())
-
+    carry = _carries(totals, keys, total_type)
     rows = blocked.withColumn(_VALUE, F.col(value).cast(total_type)).withColumn(_CARRY, F.lit(1))
     inside = W.partitionBy(*keys, _BLOCK).orderBy(_CARRY, order).rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -61,9 +78,9 @@ def running_sum(
 
 
 def dense_rank_by(
-    df: DataFrame, keys: Sequence[str], order: str, out: str, block_bits: int = BLOCK_BITS
+    df: DataFrame, keys: Sequence[str], order: str, out: str, block_bits: int | None = BLOCK_BITS
 ) -> DataFrame:
-    """Adds ``out``: 0, 1, 2, ... in ``order`` inside each key, by the same blocks."""
+    """Adds ``out``: 0, 1, 2, ... in ``order`` inside each key, by the same forms."""
     ones = df.withColumn("__one", F.lit(1).cast("long"))
     counted = running_sum(ones, keys, order, "__one", out, block_bits)
     return counted.withColumn(out, F.col(out) - 1).drop("__one")

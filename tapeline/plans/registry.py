@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.fields import key_part
 from tapeline.functions.texts import numbers_in
 from tapeline.operators import audits, positions, questions, records, scoring, state, trades
-from tapeline.plans.shared import fresh_path, stored
+from tapeline.plans.shared import fresh_path
 from tapeline.sources import tables, topics
 from tapeline.sources.contracts import CONTRACTS_REF, EXECUTIONS, POSITIONS, text_schema
 from tapeline.streaming import continuous, tables as sinks
@@ -31,6 +32,23 @@ DOCUMENT_RULES = {
     "es": scoring.SenseRule(right=("el ",), wrong=("los ", "@")),
 }
 CANDIDATES = ("latest", "history_sum", "history_abs_sum")
+# Kinds of answers: right, known wrong, both, neither, without rows, not executed.
+ANSWERS = ("right", "wrong", "both", "none", "bare", "silent")
+QUERY_TEXTS = (
+    "SELECT COUNT(*) FROM f",
+    "SELECT count( DISTINCT  order_id ) FROM f",
+    "SELECT COUNT(order_id), COUNT(DISTINCT uti) FROM r",
+    "SELECT uti FROM r WHERE action NOT IN ('EROR', 'TERM')",
+    "SELECT SUM(ABS(net_quantity)) FROM p",
+    "SELECT SUM(net_quantity) FROM p WHERE _meta.offset = 3",
+    "SELECT counterparty_1 FROM `emir.trade-reports`",
+    "SELECT clearing_member_id FROM `etd.clearing-events` JOIN `emir.trade-reports` ON counterparty_1 = 1",
+    "SELECT m FROM p WHERE net_quantity < 0 AND side = 'SELL'",
+    "SELECT m FROM f WHERE side = 'SELL' AND _meta.timestamp > 1",
+    "SELECT 1 FROM f WHERE exec_time > 1 -- COUNT(*)",
+    "SELECT clearing_member_id, row_number() OVER w FROM p",
+    None,
+)
 
 
 def _fills(q) -> Query:
@@ -49,12 +67,19 @@ def _lines(q) -> Query:
     return lambda spark, sf: q(tables.line_fills(spark, sf))
 
 
+def _stored_log(spark, sf) -> str:
+    """Where all topics lie as a log."""
+    path = fresh_path(spark, "log")
+    topics.write_log(tables.topic_log(spark, sf), path)
+    return path
+
+
 # --- records ----------------------------------------------------------------------
 
 def topic_snapshot(spark, sf):
-    """The position topic as read from a log, decoded, with its metadata."""
-    log = tables.topic_log(spark, sf).filter(F.col("topic") == POSITIONS.topic)
-    decoded = topics.decode_topic(log, POSITIONS)
+    """The position topic as read from a stored log, decoded, with its metadata."""
+    stored = topics.read_topic(spark, _stored_log(spark, sf), POSITIONS.topic)
+    decoded = topics.decode_topic(stored, POSITIONS)
     return decoded.select(
         "_key",
         F.col("_meta.partition").cast("long").alias("log_partition"),
@@ -119,10 +144,40 @@ def encode_collections(spark, sf):
 
 
 def topic_counts(spark, sf):
-    log = tables.topic_log(spark, sf)
-    return log.groupBy("topic").agg(
-        F.count("*").alias("n_records"), F.count_distinct("_key").alias("n_keys")
+    """Each topic of the log by itself."""
+    counted = [
+        envelopes.agg(
+            F.lit(topic).alias("topic"), F.count("*").alias("n_records"),
+            F.count_distinct("_key").alias("n_keys"),
+        )
+        for topic, envelopes in topics.split_topics(tables.topic_log(spark, sf)).items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def fields_as_text(spark, sf):
+    """A number, an array and a map column, as fields that arrive in several types."""
+    pages = tables.table(spark, sf, "pages").select(
+        "page_id",
+        F.length("html").cast("long").alias("size"),
+        F.split("url", "/").alias("parts"),
+        F.create_map(F.lit("size"), F.length("html")).alias("facts"),
     )
+    return records.many_types_to_string(pages, ["size", "parts", "facts"])
+
+
+def topic_sql(spark, sf):
+    """Live trades per series, asked in SQL under the topics' own names."""
+    topics.register_topics(topics.open_topics(topics.read_log(spark, _stored_log(spark, sf))))
+    return spark.sql("""
+        WITH acts AS (
+          SELECT uti, exec_id, action_type, row_number() OVER (
+            PARTITION BY uti ORDER BY reporting_timestamp DESC, _meta.offset DESC) AS back
+          FROM `emir.trade-reports`)
+        SELECT contract_series, count(*) AS n_live
+        FROM acts JOIN `etd.executions` USING (exec_id)
+        WHERE back = 1 AND action_type NOT IN ('EROR', 'TERM')
+        GROUP BY contract_series""")
 
 
 def encode_topic(spark, sf):
@@ -149,9 +204,7 @@ def assign_offsets(spark, sf):
 
 def written_topic(spark, sf):
     """All topics written as a partitioned log and read back."""
-    path = fresh_path(spark, "log")
-    topics.write_log(tables.topic_log(spark, sf), path)
-    return topics.read_log(spark, path).groupBy("topic").agg(
+    return topics.read_log(spark, _stored_log(spark, sf)).groupBy("topic").agg(
         F.count("*").alias("n_records"),
         F.count_distinct("_key").alias("n_keys"),
         F.max("_meta.offset").alias("last_offset"),
@@ -205,7 +258,10 @@ def fills_with_orders(spark, sf):
 
 
 def notional_by_underlying(spark, sf):
-    return trades.notional_by_underlying(tables.line_fills(spark, sf), tables.refdata(spark, sf))
+    """Prices with a tax of a few thousandths on them, so that cents do not hold them."""
+    taxed = F.col("price") + (F.col("line") * F.lit(0.0005).cast("decimal(18,6)"))
+    fills = tables.line_fills(spark, sf).withColumn("price", taxed.cast("decimal(18,6)"))
+    return trades.notional_by_underlying(fills, tables.refdata(spark, sf))
 
 
 def reports_with_fills(spark, sf):
@@ -236,11 +292,30 @@ def homonym_audit(spark, sf):
     fills, log = tables.fills(spark, sf), tables.positions(spark, sf)
     unlike = audits.homonym_audit(parties, "party", fills, "clearing_member_id")
     alike = audits.homonym_audit(log, "clearing_member_id", fills, "executing_member")
-    return unlike.withColumn("pair", F.lit("party/member")).unionByName(
-        alike.withColumn("pair", F.lit("member/member"))
+    # Execution ids that hold one order id by mistake are still execution ids.
+    stray = fills.select(
+        F.when(F.col("offset") == 7, "ORD1").otherwise(F.col("exec_id")).alias("exec_id"))
+    almost = audits.homonym_audit(fills, "order_id", stray, "exec_id")
+    return (
+        unlike.withColumn("pair", F.lit("party/member"))
+        .unionByName(alike.withColumn("pair", F.lit("member/member")))
+        .unionByName(almost.withColumn("pair", F.lit("order/execution")))
     )
 
 
+def dual_side_audit(spark, sf):
+    """Reports of which some lack their mirrored row."""
+    return audits.dual_side_audit(tables.reports(spark, sf).filter("offset % 160 <> 21"))
+
+
+def position_reconcile(spark, sf):
+    """The log against fills of which some have a quarter of a lot more."""
+    more = F.when(F.col("offset") % 50 == 0, 0.25).otherwise(0).cast("decimal(18,2)")
+    fills = tables.fills(spark, sf).withColumn("quantity", F.col("quantity") + more)
+    found = audits.position_reconcile(tables.positions(spark, sf), fills)
+    return found.withColumn("total_difference", F.col("total_difference").cast("decimal(38,2)"))
+
+
 # --- scoring ----------------------------------------------------------------------
 
 def _document_runs(spark, sf) -> DataFrame:
@@ -288,7 +363,7 @@ def _candidates(spark, sf, *by: str) -> DataFrame:
         F.col("history_sum").alias("distractor"),
         F.inline(F.array(*pairs)),
     )
-    return stored(rows, "candidates")
+    return rows
 
 
 def score_scalar(spark, sf):
@@ -334,11 +409,10 @@ def score_members(spark, sf):
             F.col("clearing_member_id").alias("member"),
         )
 
-    answers = stored(
+    answers = (
         answer(positions.short_members_any(log), "latest")
         .unionByName(answer(positions.sell_side_members(fills), "sell_side"))
-        .unionByName(answer(positions.short_anytime_members(log), "anytime")),
-        "answers",
+        .unionByName(answer(positions.short_anytime_members(log), "anytime"))
     )
     runs = answers.select("id", "condition").distinct()
     return scoring.score_members(runs, answers, answers.filter(F.col("condition") == "latest"))
@@ -359,53 +433,96 @@ def question_truth(spark, sf):
     )
 
 
-def benchmark_scorecard(spark, sf):
-    """A run answered twice: with the right values and with the known wrong ones."""
-    fills, reports, log = (read(spark, sf) for read in (tables.fills, tables.reports, tables.positions))
-    scalars = stored(questions.scalar_truth(fills, reports, TRADE_DATE), "truth")
-    groups = stored(questions.group_truth(log), "truth")
-    members = stored(questions.member_truth(log, SERIES), "truth")
+def _query_text(number) -> F.Column:
+    """One of the texts of runs, by a number; the last one is missing."""
+    texts = F.array(*[F.lit(t).cast("string") for t in QUERY_TEXTS])
+    return F.element_at(texts, (F.pmod(number, F.lit(len(QUERY_TEXTS))) + 1).cast("int"))
 
-    wrong = F.coalesce(F.try_element_at("distractors", F.lit(1)).getField("value"), F.col("truth"))
-    sellers = positions.sell_side_members(trades.series_fills(fills, SERIES)).select(
-        F.lit(questions.MEMBER_ID).alias("id"), F.col("clearing_member_id").alias("member")
-    )
 
-    def both(right: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
-        return right.select("id", F.lit("semantic").alias("condition"), *columns).unionByName(
-            other.select("id", F.lit("baseline").alias("condition"), *columns)
-        )
+def question_text_scores(spark, sf):
+    """A query text for each part, judged by the rules of one of the eight questions."""
+    ids = F.array(*[F.lit(i) for i in scoring.QUESTION_RULES])
+    text = _query_text(F.col("p_partkey") * 7 + F.col("p_size"))
+    runs = tables.table(spark, sf, "part").select(
+        "p_partkey",
+        F.element_at(ids, (F.col("p_partkey") % 8 + 1).cast("int")).alias("id"),
+        F.concat(text, F.lit(" -- "), "p_name", F.lit(" exec_time")).alias("sql"),
+    )
+    return scoring.score_text(runs).drop("sql")
 
-    def as_numbers(df: DataFrame, value) -> DataFrame:
-        return df.withColumn("numbers", F.array(value)).withColumn("pos", F.lit(0))
 
-    asked = [*questions.SCALAR_IDS, questions.GROUP_ID, questions.MEMBER_ID]
-    cells = fills.agg((F.count("*") > 0).alias("executed")).select(
-        F.explode(F.array(*[F.lit(q) for q in asked])).alias("id"), "executed", F.lit("").alias("sql")
-    )
-    return questions.judge(
-        both(cells, cells, "sql", "executed"),
-        both(as_numbers(scalars, F.col("truth")), as_numbers(scalars, wrong), "numbers"),
-        both(
-            as_numbers(groups, F.col("truth")), as_numbers(groups, F.col("distractor")),
-            "grp", "pos", "numbers",
-        ),
-        both(members, sellers, "member"),
-        scalars,
-        groups,
-        members,
+def benchmark_scorecard(spark, sf):
+    """A run with answers of every kind, found another way than the truth they are held to."""
+    fills, reports, log = (read(spark, sf) for read in (tables.fills, tables.reports, tables.positions))
+    scalars = questions.scalar_truth(fills, reports, TRADE_DATE)
+    groups, members = questions.group_truth(log), questions.member_truth(log, SERIES)
+
+    by_day = trades.fills_by_date(fills)
+    on_day = by_day.filter(F.col("trade_date") == F.to_date(F.lit(TRADE_DATE)))
+    counts = {
+        "q1_control_count": by_day.agg(F.sum("n_fills").alias("n")),
+        "q2_fanout_orders": fills.groupBy("order_id").count().agg(F.count("*").alias("n")),
+        "q3_emir_trade_count": trades.count_trades(reports).toDF("n"),
+        "q4_live_trades": trades.live_trades_anti(reports).toDF("n"),
+        "q8_event_time": on_day.agg(F.coalesce(F.sum("n_fills"), F.lit(0)).alias("n")),
+    }
+    found = reduce(DataFrame.unionByName, [
+        df.select(F.lit(question).alias("id"), F.col("n").cast("double").alias("found"))
+        for question, df in counts.items()
+    ])
+    first = F.try_element_at("distractors", F.lit(1)).getField("value")
+    known = found.join(
+        scalars.select("id", F.coalesce(first, F.col("truth") + 1).alias("wrong")), "id")
+
+    nets = state.net_from_fills(fills)
+    totals = nets.groupBy(F.col("contract_series").alias("grp")).agg(
+        F.sum(F.abs("net_quantity")).cast("double").alias("found"))
+    history = positions.history_sum(log).select(
+        F.col("contract_series").alias("grp"), F.col("history_sum").cast("double").alias("wrong"))
+
+    def answers(df: DataFrame, *keep, **kinds) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("condition"), v.alias("numbers")) for c, v in kinds.items()]
+        return df.select(*keep, F.inline(F.array(*pairs)))
+
+    group_id = F.lit(questions.GROUP_ID).alias("id")
+    neither = F.array(F.lit(-1.0))
+    numbers = answers(
+        known, "id", right=F.array("found"), wrong=F.array("wrong"), both=F.array("found", "wrong"),
+        none=neither,
+    ).unionByName(
+        answers(totals.agg(F.sum("found").alias("found")), group_id, bare=F.array("found")))
+    mixed = F.when(F.col("grp") == SERIES, F.col("found")).otherwise(F.col("wrong"))
+    rows = answers(
+        totals.join(history, "grp"), group_id, "grp", right=F.array("found"), wrong=F.array("wrong"),
+        both=F.array(mixed), none=neither,
+    ).withColumn("pos", F.lit(0))
+
+    per_member = nets.filter(F.col("contract_series") == SERIES).groupBy(
+        F.col("clearing_member_id").alias("member")
+    ).agg(((F.min("net_quantity") < 0) | (F.sum("net_quantity") < 0)).alias("short"))
+    short = per_member.filter("short").select("member")
+    sellers = positions.sell_side_members(trades.series_fills(fills, SERIES)).select(
+        F.col("clearing_member_id").alias("member"))
+    named = reduce(DataFrame.unionByName, [
+        df.select(F.lit(questions.MEMBER_ID).alias("id"), F.lit(c).alias("condition"), "member")
+        for c, df in (("right", short), ("wrong", sellers), ("both", short.union(sellers)))
+    ])
+
+    asked = F.posexplode(F.array(*[F.lit(q) for q in scoring.QUESTION_RULES])).alias("q", "id")
+    kinds = F.posexplode(F.array(*[F.lit(c) for c in ANSWERS])).alias("c", "condition")
+    cells = fills.agg((F.count("*") > 0).alias("any")).select("any", asked).select("*", kinds)
+    runs = cells.select(
+        "id", "condition", _query_text(F.col("q") * len(ANSWERS) + F.col("c")).alias("sql"),
+        (F.col("any") & (F.col("condition") != "silent")).alias("executed"),
     )
+    return questions.judge(runs, numbers, rows, named, scalars, groups, members)
 
 
 # --- streams ----------------------------------------------------------------------
 
 def _event_stream(spark, sf) -> DataFrame:
-    return (
-        spark.readStream.schema(tables.SCHEMAS["events"])
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxBytesPerTrigger", str(64 << 30))
-        .parquet(sf)
-    )
+    """The table as a stream of its files, be it one file or a folder of them."""
+    return spark.readStream.schema(tables.SCHEMAS["events"]).parquet(f"{sf}/events.parquet*")
 
 
 def stream_latest(spark, sf):
@@ -428,7 +545,7 @@ def stream_dedup(spark, sf):
     """Every fill sent twice; each is kept once."""
     fills = tables.fills_from(_event_stream(spark, sf))
     sent_twice = fills.select("exec_id", "exec_time", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    once = continuous.dedup_stream(sent_twice, ["exec_id"], "exec_time", "1 day", spread_by="copy")
+    once = continuous.dedup_stream(sent_twice, ["exec_id"], spread_by="copy")
     return sinks.append_table(spark, once, "stream-dedup").select("exec_id", "exec_time")
 
 
@@ -453,6 +570,8 @@ QUERIES: dict[str, Query] = {
     "conformance_report": conformance,
     "encode_collections": encode_collections,
     "topic_counts": topic_counts,
+    "fields_as_text": fields_as_text,
+    "topic_sql": topic_sql,
     "encode_topic": encode_topic,
     "assign_offsets": assign_offsets,
     "written_topic": written_topic,
@@ -521,14 +640,12 @@ QUERIES: dict[str, Query] = {
         tables.orders(spark, sf), tables.line_fills(spark, sf), "order_id"
     ),
     "homonym_audit": homonym_audit,
-    "dual_side_audit": _reports(audits.dual_side_audit),
+    "dual_side_audit": dual_side_audit,
     "order_audit": lambda spark, sf: audits.order_audit(
         _shuffled_time(spark, sf), POSITION_KEY, "business_time"
     ),
     "history_inflation": _positions(audits.history_inflation),
-    "position_reconcile": lambda spark, sf: audits.position_reconcile(
-        tables.positions(spark, sf), tables.fills(spark, sf)
-    ),
+    "position_reconcile": position_reconcile,
     "ingest_skew": lambda spark, sf: audits.ingest_skew(
         _shuffled_time(spark, sf), "business_time", "exec_time"
     ),
@@ -544,6 +661,7 @@ QUERIES: dict[str, Query] = {
     ),
     "scorecard_matrix": scorecard_matrix,
     "question_truth": question_truth,
+    "question_text_scores": question_text_scores,
     "benchmark_scorecard": benchmark_scorecard,
     # streams
     "stream_latest": stream_latest,

@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_local_fallback: str | None = None
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only for a local master."""
-    global _local_fallback
-    base = spark.conf.get(SETTING, None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder all executors share")
-    if _local_fallback is None:
-        _local_fallback = tempfile.mkdtemp(prefix="tapeline-")
-    return _local_fallback
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the one given to
+    ``setCheckpointDir``, else the warehouse."""
+    named = spark.conf.get(SETTING, None)
+    if not named:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = given.get() if given.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_base(spark)}/tapeline/{purpose}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    For a result that several later steps need: they read the table instead of
-    computing it again, and losing an executor costs at most a re-read.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

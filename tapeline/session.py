@@ -15,7 +15,7 @@ ADAPTIVE = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
 }
 
-# For stream state larger than the executor heap.
+# Stream state outside the executor heap.
 ROCKSDB_STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -32,16 +32,19 @@ def cluster_settings(executors: int, cores_per_executor: int) -> dict[str, str]:
         "spark.sql.shuffle.partitions": str(parallelism),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parallelism),
         "spark.sql.files.maxPartitionBytes": "256m",
+        **ROCKSDB_STATE,
     }
 
 
-def local_session(app: str = "tapeline", cpus: str = "8", **extra: str) -> SparkSession:
+def local_session(
+    app: str = "tapeline", cpus: str = "8", driver_memory: str = "6g", **extra: str
+) -> SparkSession:
     """A single-process session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", driver_memory)
         # Call-site capture costs several round trips per column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -120,15 +120,21 @@ def write_log(envelopes: DataFrame, path: str, mode: str = "append") -> None:
     envelopes.write.mode(mode).partitionBy("topic").parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+def save_bucketed(
+    df: DataFrame, table: str, path: str, key: str, buckets: int, files_per_bucket: int = 4
+) -> None:
     """A decoded topic as a table bucketed and sorted by a join key.
 
     Two tables with equal buckets join on that key without a shuffle, as often as
-    they are joined. Rows are sent to their bucket first, so that there is one file
-    per bucket and not one per task and bucket.
+    they are joined. Rows are sent to ``files_per_bucket`` tasks for each bucket, so a hot
+    or null key is written by several tasks. Such a join cannot be split, though: join a
+    table with a very hot key unbucketed, where the adaptive skew join applies.
     """
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(files_per_bucket))
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
     (
-        df.repartition(buckets, key)
+        df.repartition(buckets * files_per_bucket, bucket, part)
         .write.bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)

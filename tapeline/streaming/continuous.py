@@ -26,7 +26,8 @@ def latest_stream(
     """Last record of each key; run in update mode.
 
     Ordered by offset, so business time may arrive in any order. Fixed-width values
-    stay single columns, which keeps the hash aggregate.
+    stay single columns, which keeps the hash aggregate. A deletion marker is a last record
+    like any other here; drop it where the changes are folded (``current_table``).
     """
     types = stream.select(*values).schema
     grouped, newest = stream.groupBy(*keys), F.max(order).alias(order)
@@ -62,25 +63,29 @@ def fills_by_date_stream(
 def dedup_stream(
     stream: DataFrame,
     key: Sequence[str],
-    time: str,
-    lateness: str,
+    log_time: str | None = None,
+    lateness: str = "1 day",
     spread_by: str | None = None,
     spread: int = 32,
 ) -> DataFrame:
-    """Drops records sent again with the same primary key.
+    """Drops records sent again with the same primary key; run in append mode.
+
+    Without ``log_time`` every key stays in the state, so no record is ever dropped for
+    being late, in whatever order files are replayed; keep the state in RocksDB. With
+    ``log_time``, the time of *arrival* (``_meta.timestamp``), keys are forgotten
+    ``lateness`` after it. It must follow the order of arrival: business time does not.
 
     Deduplication has no map-side step, so all copies of one record would meet in one
     task. With ``spread_by`` (a column that differs between copies, such as the log
     offset) a first stage drops copies within ``spread`` slices of each key and the
     second stage sees at most ``spread`` of them.
     """
-    timed = _timed(stream, time, lateness)
-    if spread_by is None:
-        return timed.dropDuplicatesWithinWatermark(list(key)).drop(_EVENT_TIME)
-    sliced = timed.withColumn("__slice", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
-    return (
-        sliced.dropDuplicatesWithinWatermark([*key, "__slice"])
-        .drop("__slice")
-        .dropDuplicatesWithinWatermark(list(key))
-        .drop(_EVENT_TIME)
-    )
+    timed = _timed(stream, log_time, lateness) if log_time else stream
+
+    def once(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.dropDuplicatesWithinWatermark(columns) if log_time else rows.dropDuplicates(columns)
+
+    if spread_by is not None:
+        sliced = timed.withColumn("__slice", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
+        timed = once(sliced, [*key, "__slice"]).drop("__slice")
+    return once(timed, list(key)).drop(_EVENT_TIME)

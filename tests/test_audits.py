@@ -26,10 +26,25 @@ def test_fanout(spark, book):
 def test_homonyms(book):
     parties = trades.both_sides(book.reports)
     assert one(audits.homonym_audit(parties, "party", book.fills, "clearing_member_id")) == {
-        "n_left": 4, "n_right": 2, "n_common": 0, "unlike": True,
+        "n_left": 4, "n_right": 2, "n_common": 0, "share": 0.0, "unlike": True,
     }
     same = one(audits.homonym_audit(book.fills, "executing_member", book.positions, "clearing_member_id"))
-    assert same["n_common"] == 2 and not same["unlike"]
+    assert same["n_common"] == 2 and same["share"] == 1.0 and not same["unlike"]
+
+
+def test_a_stray_common_value_does_not_make_columns_alike(spark):
+    left, right = spark.range(2000).toDF("a"), spark.range(1999, 4000).toDF("b")
+    row = one(audits.homonym_audit(left, "a", right, "b"))
+    assert row["n_common"] == 1 and row["share"] == 1 / 2000 and row["unlike"]
+    assert not one(audits.homonym_audit(left, "a", right, "b", least_share=1e-4))["unlike"]
+    assert one(audits.homonym_audit(left.limit(0), "a", right, "b"))["share"] is None
+
+
+def test_reconcile_keeps_fractions(spark, book):
+    half = book.fills.withColumn("quantity", F.col("quantity").cast("decimal(18,2)") + F.when(
+        F.col("offset") == 5, F.lit(0.5).cast("decimal(18,2)")).otherwise(0))
+    row = one(audits.position_reconcile(book.positions, half))
+    assert row["n_different"] == 1 and float(row["total_difference"]) == 0.5
 
 
 def test_dual_sides(book):

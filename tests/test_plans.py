@@ -4,8 +4,8 @@ import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from tapeline.operators import positions, trades
-from tapeline.plans import joins
+from tapeline.operators import audits, positions, trades
+from tapeline.plans import joins, prefix
 from tapeline.plans.registry import QUERIES
 from tapeline.sources import tables
 
@@ -60,20 +60,56 @@ def test_no_query_uses_a_cross_join_or_python(spark):
             raise AssertionError(name)
 
 
-def test_lookup_is_broadcast_only_below_its_bound(spark):
+def test_lookups_are_not_hinted(spark):
+    """The session's byte threshold decides, and no job runs while a plan is made."""
     facts = spark.range(1000).selectExpr("id % 10 AS k", "id")
     lookup = spark.range(10).selectExpr("id AS k", "id * 2 AS v")
+    small = joins.lookup_join(facts, lookup, "k")
+    assert "BroadcastHashJoin" in plan(small)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small = joins.lookup_join(facts, lookup, "k", bounded_by=lookup)
-        large = joins.lookup_join(facts, lookup, "k", bounded_by=lookup, max_rows=9)
-        assert "BroadcastHashJoin" in plan(small)
+        large = joins.lookup_join(facts, lookup, "k")
         assert "SortMergeJoin" in plan(large)
         assert sorted(small.collect()) == sorted(large.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+# These keep a log, a table or a stream's state in the shared folder.
+WRITING = {"topic_snapshot", "written_topic", "topic_sql"}
+
+
+def test_plans_are_made_without_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for name, query in QUERIES.items():
+        if name.startswith("stream_") or name in WRITING:
+            continue
+        group = f"planning-{name}"
+        spark.sparkContext.setJobGroup(group, name)
+        query(spark, SF_SMALL)
+        assert not tracker.getJobIdsForGroup(group), name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_running_sums_have_bounded_windows(spark):
+    """Carries come in two levels, and every window has a key."""
+    rows = spark.range(5000).selectExpr("id % 3 AS k", "id AS o", "id % 7 AS v")
+    blocked = prefix.running_sum(rows, ["k"], "o", "v", "s", block_bits=4)
+    plain = prefix.running_sum(rows, ["k"], "o", "v", "s", block_bits=None)
+    text, simple = plan(blocked), plan(plain)
+    assert "__group" in text and "SinglePartition" not in text
+    # A log of many keys: no block totals, one shuffle.
+    assert simple.count("Exchange hashpartitioning") == 1 and "__block" not in simple
+    assert sorted(blocked.collect()) == sorted(plain.collect())
+    with pytest.raises(ValueError):
+        prefix.running_sum(rows, [], "o", "v", "s")
+    skew = audits.ingest_skew(
+        spark.range(100).selectExpr("timestamp_ntz '2024-01-01 00:00:00' AS b",
+                                    "timestamp_ntz '2024-01-02 00:00:00' AS l"), "b", "l")
+    windows = [line for line in plan(skew).splitlines() if "Window [" in line]
+    assert windows and all("], [p#" in line for line in windows)
+
+
 def test_bucketed_topics_join_without_a_shuffle(spark, tmp_path):
     from tapeline.sources import topics
 
@@ -88,7 +124,10 @@ def test_bucketed_topics_join_without_a_shuffle(spark, tmp_path):
         )
         assert "Exchange" not in plan(joined)
         assert joined.filter("side IS NOT NULL").count() == 2300
-        assert len(list((tmp_path / "f").glob("*.parquet"))) == 4
+        assert 4 <= len(list((tmp_path / "f").glob("*.parquet"))) <= 16
+        hot = spark.range(4000).selectExpr("CAST(NULL AS string) AS exec_id", "id AS report_id")
+        topics.save_bucketed(hot, "bucketed_hot", str(tmp_path / "h"), "exec_id", 4)
+        assert len(list((tmp_path / "h").glob("*.parquet"))) > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

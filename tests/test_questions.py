@@ -99,7 +99,7 @@ def test_scorecard_of_a_stored_run(spark, book):
         questions.scalar_truth(book.fills, book.reports, "2026-07-21"),
         questions.group_truth(book.positions),
         questions.member_truth(book.positions, "FDAX"),
-        ["M1", "M2", "M3"],
+        spark.createDataFrame([("M1",), ("M2",), ("M3",)], "member string"),
         measure="total",
     )
     got = {(r.id, r.condition): r.verdict for r in card.collect()}

@@ -1,9 +1,12 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from trades_fixture import as_dict
 
 from tapeline.operators import state, trades
+from tapeline.plans.registry import QUERIES
 from tapeline.plans.shared import fresh_path, shared_base
 from tapeline.sources import tables
 from tapeline.streaming import continuous
@@ -88,7 +91,7 @@ def test_state_table_follows_and_survives_a_repeated_batch(spark, merge_every):
     table.upsert(second, 1)
     assert held() == {"a": "a2", "b": "b5", "c": "c1"}
     # A batch that died before its commit is not visible and can run again.
-    batch(("zzz", 9, "half")).write.parquet(table._folder(2))
+    batch(("zzz", 9, "half")).write.parquet(f"{table.base}/batches/2-died")
     assert "zzz" not in held()
     table.upsert(batch(("a", 3, "a3")), 2)
     assert held() == {"a": "a3", "b": "b5", "c": "c1"}
@@ -106,7 +109,75 @@ def test_state_table_of_a_stream(spark, fill_stream):
     )
     assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, want.collect()))
     # Batches 0 to 4 in a cycle of three: a full version at 2, deltas at 3 and 4.
-    assert sorted(p.rsplit("/", 1)[1] for p in table._visible(None)) == ["2", "3", "4"]
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in table._visible(None)] == ["2", "3", "4"]
+
+
+def test_readers_survive_repeated_batches_and_commits_stay_few(spark, tmp_path):
+    table = sinks.StateTable(spark, str(tmp_path / "t"), "k string, offset bigint, v string", ["k"],
+                             merge_every=2, drop_deleted="v")
+    table.create()
+    rows = lambda *r: spark.createDataFrame(r, "k string, offset bigint, v string")
+    table.upsert(rows(("a", 1, "a1"), ("b", 1, "b1")), 0)
+    reading = table.read()
+    for _ in range(2):
+        table.upsert(rows(("a", 1, "a1"), ("b", 1, "b1")), 0)
+    assert sorted(r.v for r in reading.collect()) == ["a1", "b1"]
+    # A deletion marker outlives a merge: an older record does not bring the key back.
+    table.upsert(rows(("b", 5, None)), 1)
+    table.upsert(rows(("b", 4, "late")), 2)
+    assert [r.k for r in table.read().collect()] == ["a"]
+    for batch in range(3, 12):
+        table.upsert(rows(("c", batch, f"c{batch}")), batch)
+    assert sorted(r.v for r in table.read().collect()) == ["a1", "c11"]
+    assert len(list((tmp_path / "t/commits").glob("period=*"))) <= 2
+
+
+def test_deletion_markers_in_a_folded_stream(spark, tmp_path):
+    schema = "k string, offset bigint, v bigint"
+    for rows in ([("a", 1, 1), ("b", 2, 2)], [("b", 3, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    latest = continuous.latest_stream(stream, ["k"], ["v"])
+    kept = sinks.current_table(spark, latest, ["k"], "marked", drop_deleted="v")
+    assert [tuple(r) for r in kept.select("k", "v").collect()] == [("a", 1)]
+
+
+STREAMS = ("stream_latest", "stream_net_positions", "stream_fills_by_date", "stream_dedup",
+           "stream_state_table")
+
+
+@pytest.fixture(scope="module")
+def one_file(spark):
+    return {name: sorted(map(repr, QUERIES[name](spark, SF_SMALL).collect())) for name in STREAMS}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_a_table_of_several_files_newest_day_first(spark, tmp_path, one_file, name):
+    events = tables.table(spark, SF_SMALL, "events")
+    for day in range(4, -1, -1):
+        events.filter(F.pmod(F.dayofmonth("ts"), F.lit(5)) == day).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "events.parquet"))
+    assert sorted(map(repr, QUERIES[name](spark, str(tmp_path)).collect())) == one_file[name]
+
+
+def test_no_record_is_late_for_deduplication(spark, tmp_path):
+    """1,000 fills in five batches, newest day first."""
+    path = str(tmp_path / "events")
+    days = tables.table(spark, SF_SMALL, "events").withColumn("d", F.ntile(5).over(W.orderBy("ts")))
+    schema = tables.table(spark, SF_SMALL, "events").schema
+    for d in range(5, 0, -1):
+        days.filter(F.col("d") == d).drop("d").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    fills = tables.fills_from(stream).select("exec_id", "exec_time", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    for spread_by in (None, "copy"):
+        once = continuous.dedup_stream(fills, ["exec_id"], spread_by=spread_by)
+        assert sinks.append_table(spark, once, "late").select("exec_id").distinct().count() == 1000
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_without_input(spark, tmp_path, name):
+    tables.table(spark, SF_SMALL, "events").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
 def test_shared_folder_comes_from_the_session(spark):

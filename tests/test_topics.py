@@ -75,16 +75,17 @@ def test_conform_adds_missing_and_encodes_many_typed_fields(spark):
     assert records.many_types_to_string(variant, ["v"]).first().v == '{"a":1}'
 
 
-def test_flatten_names_paths_and_refuses_collisions(spark):
+def test_flatten_names_paths_and_resolves_collisions(spark):
     df = spark.sql("""SELECT 'k' AS _key, 1 AS `class`, named_struct('initial', 2.5D, 'ccy', 'EUR',
         'deep', named_struct('x-y', 3)) AS margin, array(1) AS tags""")
     flat = records.flatten(df, keep=["_key"])
-    assert flat.columns == ["_key", "f_class", "margin_initial", "margin_ccy", "margin_deep_x_y", "tags"]
+    assert flat.columns == ["_key", "class", "margin_initial", "margin_ccy", "margin_deep_x_y", "tags"]
     assert flat.schema["margin_deep_x_y"].metadata == {"path": "margin.deep.x-y"}
     assert flat.first()[1:5] == (1, 2.5, "EUR", 3)
-    assert records.flatten(df.select("_key")).columns == ["f__key"]
-    with pytest.raises(ValueError):
-        records.flatten(df.withColumn("margin_ccy", F.lit(1)))
+    assert records.flatten(df.select("_key")).columns == ["_key"]
+    twice = records.flatten(df.withColumn("margin_ccy", F.lit(1)))
+    assert [c for c in twice.columns if c.startswith("margin_ccy")] == ["margin_ccy", "margin_ccy_2"]
+    assert twice.schema["margin_ccy_2"].metadata == {"path": "margin_ccy"}
 
 
 def test_collections_as_json(spark):
