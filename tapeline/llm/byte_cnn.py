@@ -101,11 +101,16 @@ def probability(w: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(
-    texts: list[str], labels: list[int], epochs: int = 6, batch: int = 32, rate: float = 0.01,
-    seed: int = 2,
+    texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 800,
+    most_epochs: int = 100, batch: int = 32, rate: float = 0.01, seed: int = 2,
 ) -> bytes:
-    """Trained weights as bytes: logistic loss, Adam, in a fixed order."""
+    """Trained weights as bytes: logistic loss, Adam, in a fixed order.
+
+    A sample is seen ``epochs`` times, a small one more often: as often as ``least_steps``
+    need, but at most ``most_epochs`` times.
+    """
     w = first_weights(seed)
+    epochs = max(epochs, min(most_epochs, -(-least_steps * batch // max(1, len(texts)))))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     raws = [t.encode("utf-8", "replace") for t in texts]
     rng = np.random.default_rng(seed)

@@ -100,9 +100,15 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(
     texts: list[str], labels: list[int], alpha: float = 0.6, beta: float = 1.0,
-    l1: float = 15.0, l2: float = 1.0, rounds: int = 3, seed: int = 3,
+    l1: float = 15.0, l2: float = 1.0, rounds: int = 3, least_examples: int = 3000,
+    most_rounds: int = 12, seed: int = 3,
 ) -> bytes:
-    """Coordinates and weights other than zero, and the bias, as bytes."""
+    """Coordinates and weights other than zero, and the bias, as bytes.
+
+    A sample is seen ``rounds`` times, a small one more often: until ``least_examples``
+    were seen, but at most ``most_rounds`` times.
+    """
+    rounds = max(rounds, min(most_rounds, -(-least_examples // max(1, len(texts)))))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
