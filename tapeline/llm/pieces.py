@@ -120,7 +120,7 @@ class PieceEncoder:
 
     def __init__(
         self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray,
-        most_pieces: int = 1_000_000,
+        most_pieces: int = 500_000,
     ) -> None:
         self.encode, self.table, self.most_pieces = encode, table, most_pieces
         self.hashes = _Hashes()
