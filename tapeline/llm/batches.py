@@ -28,8 +28,12 @@ def slices(
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
-    """The texts of a column; null becomes the empty text."""
-    return [text or "" for text in batch.column(column).to_pylist()]
+    """The texts of a column; null becomes the empty text, bytes that are not UTF-8 U+FFFD."""
+    try:
+        return [text or "" for text in batch.column(column).to_pylist()]
+    except UnicodeDecodeError:
+        raw = batch.column(column).cast(pa.binary()).to_pylist()
+        return [(text or b"").decode("utf-8", "replace") for text in raw]
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -58,6 +58,39 @@ def neighbours(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
+def answered_otherwise(
+    turns: DataFrame, pairs: DataFrame, key: str = "conv_id"
+) -> tuple[DataFrame, DataFrame]:
+    """Preference data from independent conversations: the chosen one up to its last
+    assistant turn, and the same with that turn taken from the other conversation.
+
+    Returns turns and pairs with ids of their own, ``2 * pair_id`` and one more. Pairs of
+    which a side has no assistant turn are left out. Turns without a number come first.
+    """
+    rows = turns.select(F.col(key).alias("conv"), F.col("turn").cast("long").alias("turn"),
+                        "role", "text").filter("conv is not null")
+    final = rows.filter("role = 'assistant' and turn is not null").groupBy("conv").agg(
+        F.max("turn").alias("final"))
+    ends = pairs.join(final.toDF("chosen", "final"), "chosen").join(
+        final.toDF("rejected", "other"), "rejected")
+    left = ends.select("pair_id", "final", F.col("chosen").alias("conv")).join(rows, "conv")
+    left = left.filter("turn is null or turn <= final")
+    before = left.filter("turn is null or turn < final")
+    reply = (
+        ends.select("pair_id", "final", "other", F.col("rejected").alias("conv")).join(rows, "conv")
+        .filter("turn = other and role = 'assistant'").withColumn("turn", F.col("final"))
+    )
+
+    def as_side(df: DataFrame, add: int) -> DataFrame:
+        return df.select((F.col("pair_id") * 2 + add).alias(key), "turn", "role", "text")
+
+    return (
+        as_side(left, 0).union(as_side(before, 1)).union(as_side(reply, 1)),
+        ends.select("pair_id", (F.col("pair_id") * 2).alias("chosen"),
+                    (F.col("pair_id") * 2 + 1).alias("rejected")),
+    )
+
+
 def paired(turns: DataFrame, pairs: DataFrame, key: str = "conv_id") -> DataFrame:
     """The rendered segments of all pairs."""
     ordered = places(turns, key)
@@ -89,19 +122,26 @@ def paired(turns: DataFrame, pairs: DataFrame, key: str = "conv_id") -> DataFram
 
 
 ORACLE = f"""
-WITH t AS (
-  SELECT conv_id, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
-                            text NULLS FIRST) - 1 AS place
-  FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END), 0) AS n
-      FROM t GROUP BY conv_id),
-p AS (SELECT a.conv_id // 2 AS pair_id,
-             CASE WHEN b.n > a.n THEN b.conv_id ELSE a.conv_id END AS chosen,
-             CASE WHEN b.n > a.n THEN a.conv_id ELSE b.conv_id END AS rejected
-      FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 AND a.conv_id % 2 = 0),
-s AS (SELECT pair_id, 'chosen' AS part, t.* FROM p JOIN t ON t.conv_id = p.chosen
-      UNION ALL SELECT pair_id, 'rejected', t.* FROM p JOIN t ON t.conv_id = p.rejected),
+WITH r AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END), 0) AS n,
+             max(CASE WHEN role = 'assistant' THEN turn END) AS final
+      FROM r GROUP BY conv_id),
+p AS (SELECT a.conv_id // 2 AS pair_id, b.n > a.n AS second, a.conv_id AS a, b.conv_id AS b,
+             a.final AS fa, b.final AS fb
+      FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 AND a.conv_id % 2 = 0
+      WHERE a.final IS NOT NULL AND b.final IS NOT NULL),
+q AS (SELECT pair_id, CASE WHEN second THEN b ELSE a END AS chosen, CASE WHEN second THEN a ELSE b END
+        AS rejected, CASE WHEN second THEN fb ELSE fa END AS final, CASE WHEN second THEN fa ELSE fb END
+        AS other FROM p),
+m AS (
+  SELECT pair_id, 'chosen' AS part, turn, role, text FROM q JOIN r ON conv_id = chosen
+  WHERE turn IS NULL OR turn <= final
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM q JOIN r ON conv_id = chosen
+  WHERE turn IS NULL OR turn < final
+  UNION ALL SELECT pair_id, 'rejected', final, role, text FROM q JOIN r ON conv_id = rejected
+  WHERE turn = other AND role = 'assistant'),
+s AS (SELECT *, row_number() OVER (PARTITION BY pair_id, part ORDER BY turn NULLS FIRST,
+                                   role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM m),
 e AS (SELECT pair_id, place,
              count(*) = 2 AND count(DISTINCT struct_pack(r := coalesce(role, chr(1)),
                                                          x := coalesce(text, chr(1)))) = 1 AS same

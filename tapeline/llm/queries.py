@@ -36,7 +36,8 @@ def op4_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return preferences.paired(turns, preferences.neighbours(turns))
+    return preferences.paired(
+        *preferences.answered_otherwise(turns, preferences.neighbours(turns)))
 
 
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,22 @@ def test_preference_pairs(spark):
     assert preferences.paired(table.limit(0), preferences.neighbours(table.limit(0))).count() == 0
 
 
+def test_replies_are_exchanged(spark):
+    table = spark.createDataFrame(
+        TURNS[:7] + [(2, 0, "user", "ask"), (2, 1, "assistant", "short"), (2, 2, "user", "bye"),
+                     (3, 0, "user", "other"), (3, 1, "assistant", "a longer reply")],
+        "conv_id long, turn long, role string, text string")
+    turns, pairs = preferences.answered_otherwise(table, preferences.neighbours(table))
+    rows = preferences.paired(turns, pairs).collect()
+    of = lambda pair, part: [r["rendered"].split("\n")[1].removesuffix("<|im_end|>") for r in sorted(
+        (r for r in rows if (r["pair_id"], r["part"]) == (pair, part)), key=lambda r: r["place"])]
+    assert (of(0, "prompt"), of(0, "chosen"), of(0, "rejected")) == (
+        ["be kind", "hi"], ["hello there"], ["no"])
+    assert (of(1, "prompt"), of(1, "chosen"), of(1, "rejected")) == (
+        ["other"], ["a longer reply"], ["short"])
+    assert all(r["trained"] == (r["part"] != "prompt") for r in rows)
+
+
 def test_places_of_long_conversations(spark):
     rows = [(1, t, "user", str(t)) for t in range(5000, 0, -1)] + [(1, 7, "user", "7b"), (1, None, "a", "z")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
