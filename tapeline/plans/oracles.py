@@ -540,6 +540,8 @@ ORACLES: dict[str, str] = {
           text_verdict, text_detail, result_verdict, result_detail FROM parts"""),
     "stream_latest": """SELECT user_id, event_id, event_type, ts FROM (SELECT *,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""",
+    "stream_topic_positions": _with(CURRENT, """SELECT position_key AS _key, net AS net_quantity
+        FROM current_state"""),
     "stream_net_positions": _with(FILLS, """SELECT member AS clearing_member_id, account,
         series AS contract_series,
         CAST(SUM(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) AS BIGINT) AS net_quantity

@@ -531,6 +531,16 @@ def stream_latest(spark, sf):
     return sinks.current_table(spark, latest, ["user_id"], "stream-latest")
 
 
+def stream_topic_positions(spark, sf):
+    """Current positions from the stored log's envelopes, read as a stream."""
+    envelopes = topics.stream_log(spark, _stored_log(spark, sf))
+    decoded = topics.decode_topic(envelopes.filter(F.col("topic") == POSITIONS.topic), POSITIONS)
+    snapshots = decoded.select("_key", F.col("_meta.offset").alias("offset"), "net_quantity")
+    latest = continuous.latest_stream(snapshots, ["_key"], ["net_quantity"])
+    current = sinks.current_table(spark, latest, ["_key"], "stream-topic", drop_deleted="net_quantity")
+    return current.select("_key", F.col("net_quantity").cast("long").alias("net_quantity"))
+
+
 def stream_net_positions(spark, sf):
     net = continuous.net_positions_stream(tables.fills_from(_event_stream(spark, sf)))
     return sinks.current_table(spark, net, POSITION_KEY, "stream-net").drop("offset")
@@ -666,6 +676,7 @@ QUERIES: dict[str, Query] = {
     # streams
     "stream_latest": stream_latest,
     "stream_net_positions": stream_net_positions,
+    "stream_topic_positions": stream_topic_positions,
     "stream_fills_by_date": stream_fills_by_date,
     "stream_dedup": stream_dedup,
     "stream_state_table": stream_state_table,

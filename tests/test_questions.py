@@ -14,16 +14,56 @@ from tapeline.streaming import tables as sinks
 
 # Published current net positions and the totals that follow from them.
 NETS = {
-    "FDAX-2026-09": {"DCMFOO": (-149, -259), "DCMQUX": (-212, -270), "GCMABC": (229, 286),
-                     "GCMBAR": (42, 66), "GCMXYZ": (-25, 250)},
-    "FESX-2026-09": {"DCMFOO": (-106, -168), "DCMQUX": (-90, -304), "GCMABC": (107, 237),
-                     "GCMBAR": (-93, -40), "GCMXYZ": (250, 245)},
-    "FGBL-2026-09": {"DCMFOO": (-59, -269), "DCMQUX": (-100, -356), "GCMABC": (26, -4),
-                     "GCMBAR": (0, -161), "GCMXYZ": (9, 114)},
-    "OESX-2026-09-C-5400": {"DCMFOO": (-162, -218), "DCMQUX": (-199, -179), "GCMABC": (333, 37),
-                            "GCMBAR": (79, 222), "GCMXYZ": (39, 162)},
-    "OESX-2026-09-P-5000": {"DCMFOO": (-109, -119), "DCMQUX": (-42, -15), "GCMABC": (124, 144),
-                            "GCMBAR": (67, 19), "GCMXYZ": (45, 256)},
+    "DCMFOO|A1|FDAX-2026-09": -149,
+    "DCMFOO|A1|FESX-2026-09": -106,
+    "DCMFOO|A1|FGBL-2026-09": -59,
+    "DCMFOO|A1|OESX-2026-09-C-5400": -162,
+    "DCMFOO|A1|OESX-2026-09-P-5000": -109,
+    "DCMFOO|P1|FDAX-2026-09": -259,
+    "DCMFOO|P1|FESX-2026-09": -168,
+    "DCMFOO|P1|FGBL-2026-09": -269,
+    "DCMFOO|P1|OESX-2026-09-C-5400": -218,
+    "DCMFOO|P1|OESX-2026-09-P-5000": -119,
+    "DCMQUX|A1|FDAX-2026-09": -212,
+    "DCMQUX|A1|FESX-2026-09": -90,
+    "DCMQUX|A1|FGBL-2026-09": -100,
+    "DCMQUX|A1|OESX-2026-09-C-5400": -199,
+    "DCMQUX|A1|OESX-2026-09-P-5000": -42,
+    "DCMQUX|P1|FDAX-2026-09": -270,
+    "DCMQUX|P1|FESX-2026-09": -304,
+    "DCMQUX|P1|FGBL-2026-09": -356,
+    "DCMQUX|P1|OESX-2026-09-C-5400": -179,
+    "DCMQUX|P1|OESX-2026-09-P-5000": -15,
+    "GCMABC|A1|FDAX-2026-09": 229,
+    "GCMABC|A1|FESX-2026-09": 107,
+    "GCMABC|A1|FGBL-2026-09": 26,
+    "GCMABC|A1|OESX-2026-09-C-5400": 333,
+    "GCMABC|A1|OESX-2026-09-P-5000": 124,
+    "GCMABC|P1|FDAX-2026-09": 286,
+    "GCMABC|P1|FESX-2026-09": 237,
+    "GCMABC|P1|FGBL-2026-09": -4,
+    "GCMABC|P1|OESX-2026-09-C-5400": 37,
+    "GCMABC|P1|OESX-2026-09-P-5000": 144,
+    "GCMBAR|A1|FDAX-2026-09": 42,
+    "GCMBAR|A1|FESX-2026-09": -93,
+    "GCMBAR|A1|FGBL-2026-09": 0,
+    "GCMBAR|A1|OESX-2026-09-C-5400": 79,
+    "GCMBAR|A1|OESX-2026-09-P-5000": 67,
+    "GCMBAR|P1|FDAX-2026-09": 66,
+    "GCMBAR|P1|FESX-2026-09": -40,
+    "GCMBAR|P1|FGBL-2026-09": -161,
+    "GCMBAR|P1|OESX-2026-09-C-5400": 222,
+    "GCMBAR|P1|OESX-2026-09-P-5000": 19,
+    "GCMXYZ|A1|FDAX-2026-09": -25,
+    "GCMXYZ|A1|FESX-2026-09": 250,
+    "GCMXYZ|A1|FGBL-2026-09": 9,
+    "GCMXYZ|A1|OESX-2026-09-C-5400": 39,
+    "GCMXYZ|A1|OESX-2026-09-P-5000": 45,
+    "GCMXYZ|P1|FDAX-2026-09": 250,
+    "GCMXYZ|P1|FESX-2026-09": 245,
+    "GCMXYZ|P1|FGBL-2026-09": 114,
+    "GCMXYZ|P1|OESX-2026-09-C-5400": 162,
+    "GCMXYZ|P1|OESX-2026-09-P-5000": 256,
 }
 TOTALS = {"FDAX-2026-09": 1788, "FESX-2026-09": 1640, "OESX-2026-09-P-5000": 940,
           "OESX-2026-09-C-5400": 1630, "FGBL-2026-09": 1098}
@@ -34,11 +74,9 @@ def published(spark):
     """The published state as the last snapshots of a log with older ones before them."""
     rows, offset = [], 0
     for stale in (True, False):
-        for series, members in NETS.items():
-            for member, nets in members.items():
-                for account, net in zip(("A1", "P1"), nets):
-                    rows.append((offset, member, account, series, -net + 1 if stale else net))
-                    offset += 1
+        for key, net in NETS.items():
+            rows.append((offset, *key.split("|"), -net + 1 if stale else net))
+            offset += 1
     return spark.createDataFrame(
         rows, "offset bigint, clearing_member_id string, account string, contract_series string, "
         "net_quantity bigint")

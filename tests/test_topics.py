@@ -19,10 +19,10 @@ def _envelopes(spark, topic, payloads):
 
 
 REFERENCE = [
-    ("FDAX", {"contract_series": "FDAX", "product_type": "FUTURE", "underlying": "DAX",
-              "contract_multiplier": 25, "expiry_date": "2026-09-18"}),
-    ("FDAX", {"contract_series": "FDAX", "product_type": "FUTURE", "underlying": "DAX",
-              "contract_multiplier": 25, "expiry_date": "2026-09-18", "version": 2}),
+    ("FDAX", {"contract_series": "FDAX", "product_type": "FUTURE", "underlying": "IDX",
+              "contract_multiplier": 40, "expiry_date": "2027-01-15"}),
+    ("FDAX", {"contract_series": "FDAX", "product_type": "FUTURE", "underlying": "IDX",
+              "contract_multiplier": 40, "expiry_date": "2027-01-15", "version": 2}),
     ("BAD", {"contract_series": "BAD", "product_type": "SWAP", "underlying": None,
              "contract_multiplier": "many", "expiry_date": "soon"}),
     ("JUNK", "not json"),
@@ -35,8 +35,8 @@ def test_decode_ignores_unknown_fields_and_survives_bad_ones(spark):
     )
     assert decoded.columns == ["_key", "_meta", *contracts.CONTRACTS_REF.schema.names]
     rows = {(r._key, r._meta.offset): r for r in decoded.collect()}
-    assert rows["FDAX", 1].contract_multiplier == Decimal("25.00")
-    assert rows["FDAX", 1].expiry_date == date(2026, 9, 18)
+    assert rows["FDAX", 1].contract_multiplier == Decimal("40.00")
+    assert rows["FDAX", 1].expiry_date == date(2027, 1, 15)
     bad = rows["BAD", 2]
     assert (bad.product_type, bad.contract_multiplier, bad.expiry_date) == ("SWAP", None, None)
     assert rows["JUNK", 3].contract_series is None
