@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.batches import vectors_of
-from tapeline.llm.components import components
+from tapeline.llm.components import components, stars
 from tapeline.llm.shared import written
 
 
@@ -97,22 +97,6 @@ def _filter_rows(codes: ProductCodes) -> Callable:
     return run
 
 
-def _stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the pairs connect, at most one for each node."""
-    order = np.arange(len(ids))
-    while True:
-        low = np.minimum(order[i], order[j])
-        new = order.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == order).all():
-            break
-        order = new
-    moved = np.flatnonzero(order != np.arange(len(ids)))
-    return ids[moved], ids[order[moved]]
-
-
 def _compare(codes: ProductCodes, least: float) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         own = int(table.column("filter")[0].as_py())
@@ -143,7 +127,7 @@ def _compare(codes: ProductCodes, least: float) -> Callable:
                 first = np.einsum("ij,ij->i", marks[place[p]], marks[place[q]]) == 0
                 np.add.at(links, p[first], copies[q[first]])
                 np.add.at(links, q[first], copies[p[first]])
-            u, v = _stars(ids, i, j)
+            u, v = stars(ids, i, j)
         kept = np.flatnonzero(links)
         return pa.table({
             "u": pa.array(np.concatenate([ids[kept], u])),

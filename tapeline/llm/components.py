@@ -8,6 +8,7 @@ gathered: a round is a minimum for each node and a join on it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +53,19 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the pairs connect, at most one for each node."""
+    order = np.arange(len(ids))
+    while True:
+        low = np.minimum(order[i], order[j])
+        new = order.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == order).all():
+            break
+        order = new
+    moved = np.flatnonzero(order != np.arange(len(ids)))
+    return ids[moved], ids[order[moved]]

@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeline.llm.batches import slices, texts_of
-from tapeline.llm.cap_filters import _stars
-from tapeline.llm.components import components
+from tapeline.llm.components import components, stars
 from tapeline.llm.shared import written
 
 SEED = 42
@@ -155,7 +154,7 @@ def _compare(most: int) -> Callable:
         j = np.concatenate([np.empty(0, np.int64), *right])
         values, place = np.unique(bits, return_inverse=True)
         i, j = place[i], place[j]
-        u, v = _stars(values, i[i != j], j[i != j])
+        u, v = stars(values, i[i != j], j[i != j])
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return run

@@ -328,9 +328,11 @@ def as_records(
         "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     # Written, so that the join below is planned by the table's real size: few repeated
     # payloads go to every task, and no payload is shuffled; many are joined by a shuffle.
-    first = written(
+    repeated = (
         rows.filter(F.col("bytes") >= least).groupBy("digest")
-        .agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "digests")
+        .agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    )
+    first = written(repeated, "digests")
     revisit = F.coalesce(~F.col("page").eqNullSafe(F.col("first")) & F.col("first").isNotNull(),
                          F.lit(False))
     name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))

@@ -210,11 +210,21 @@ def test_files_are_rolled_and_listed(spark, tmp_path):
     assert warc.read(spark, str(path)).count() == 40
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, monkeypatch):
     import corpus_pipeline
     from tapeline.llm import byte_cnn, simhash, toxicity
     from tapeline.llm.tables import read
 
+    # Each stage's model is learned once in this test.
+    for own in (byte_cnn, toxicity):
+        models = {}
+
+        def once(docs, labels, learn=own.model, models=models):
+            if "model" not in models:
+                models["model"] = learn(docs, labels)
+            return models["model"]
+
+        monkeypatch.setattr(own, "model", once)
     docs = read(spark, SF, "documents")
     columns = docs.columns
     labels = read(spark, SF, "labels")
