@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeline.llm import byte_cnn, packing, simhash, toxicity
 from tapeline.llm.queries import TOKENIZER
 from tapeline.llm.shared import fresh
-from tapeline.llm.tables import read
+from tapeline.llm.tables import importable, read
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,12 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return simhash.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return packing.pack(docs, TOKENIZER, with_ids=False)
 
 

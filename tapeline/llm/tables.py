@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+import tapeline
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is on the driver's path only."""
+    root = str(Path(tapeline.__file__).resolve().parents[1])
+    settings = spark.sparkContext.environment
+    known = settings.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        settings["PYTHONPATH"] = f"{known}:{root}".strip(":")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
