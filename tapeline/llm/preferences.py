@@ -11,7 +11,9 @@ for each rendered segment, so a conversation of any number of turns is never one
 
 Null texts and roles are rendered as empty ones. Repeated turns are turns of their own. A
 pair whose conversations are equal has a prompt and no completions; without a common turn
-it has no prompt. A conversation without turns gives no rows.
+it has no prompt. A conversation without turns gives no rows. Where ``rejected`` is null,
+all turns of the chosen conversation are its completion. Without an assistant turn nothing
+of a conversation is trained; it is rendered as any other.
 """
 
 from __future__ import annotations
@@ -44,18 +46,19 @@ def places(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def neighbours(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+def neighbours(turns: DataFrame, key: str = "conv_id", alone: bool = False) -> DataFrame:
     """Pairs of the conversations ``2 n`` and ``2 n + 1`` that both exist, the one with more
-    assistant text being the chosen one (ties: the smaller id)."""
+    assistant text being the chosen one (ties: the smaller id). With ``alone``, also pairs of
+    one conversation whose neighbour does not exist: it is chosen, and rejected is null."""
     size = F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0))
     each = turns.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("conv")).agg(
         F.coalesce(size, F.lit(0)).alias("size"))
     better = F.struct(F.col("size"), (-F.col("conv")).alias("least"))
-    return (
-        each.groupBy(F.shiftright("conv", 1).alias("pair_id"))
-        .agg(F.max_by("conv", better).alias("chosen"), F.min_by("conv", better).alias("rejected"))
-        .filter("chosen <> rejected")
-    )
+    pairs = each.groupBy(F.shiftright("conv", 1).alias("pair_id")).agg(
+        F.max_by("conv", better).alias("chosen"), F.min_by("conv", better).alias("rejected"))
+    if alone:
+        return pairs.withColumn("rejected", F.nullif("rejected", "chosen"))
+    return pairs.filter("chosen <> rejected")
 
 
 def answered_otherwise(

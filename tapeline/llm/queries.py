@@ -40,6 +40,12 @@ def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         *preferences.answered_otherwise(turns, preferences.neighbours(turns)))
 
 
+def op5_whole_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn that has a conversation, both conversations of a pair in full."""
+    turns = read(spark, sf_dir, "conversations")
+    return preferences.paired(turns, preferences.neighbours(turns, alone=True))
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(
         read(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
@@ -67,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_power_of_two_packing, op3_spherical_cap_dedup, op4_min_cost_resharding,
-        op5_preference_formatting, op6_cross_polytope, op7_ftrl_toxicity,
+        op5_preference_formatting, op5_whole_conversations, op6_cross_polytope, op7_ftrl_toxicity,
         op8_simhash_vantage_trees, op9_byte_cnn_quality, op10_warc_round_trip,
     )
 }

@@ -124,6 +124,27 @@ def test_replies_are_exchanged(spark):
     assert all(r["trained"] == (r["part"] != "prompt") for r in rows)
 
 
+def test_every_turn_of_the_conversations_is_formatted(spark, tmp_path):
+    turns = [
+        (0, 0, "user", "same"), (0, 1, "assistant", "a longer reply"), (0, 2, "user", "trailing"),
+        (1, 0, "user", "same"), (1, 1, "user", "only here"), (1, 2, "assistant", "short"),
+        (4, 0, "user", "no reply"), (5, 0, "user", "none"), (5, 1, "assistant", "one"),
+        (7, 0, "user", "alone"), (7, 1, "assistant", "no neighbour"), (8, 0, "user", "alone too"),
+        (None, 0, "user", "of no conversation")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    rows = queries.op5_whole_conversations(spark, str(tmp_path)).collect()
+    found = sorted((r["pair_id"], r["part"], r["place"],
+                    r["rendered"].split("\n")[1].removesuffix("<|im_end|>"), r["trained"]) for r in rows)
+    assert found == [
+        (0, "chosen", 1, "a longer reply", 1), (0, "chosen", 2, "trailing", 0),
+        (0, "prompt", 0, "same", 0),
+        (0, "rejected", 1, "only here", 0), (0, "rejected", 2, "short", 1),
+        (2, "chosen", 0, "none", 0), (2, "chosen", 1, "one", 1), (2, "rejected", 0, "no reply", 0),
+        (3, "chosen", 0, "alone", 0), (3, "chosen", 1, "no neighbour", 1),
+        (4, "chosen", 0, "alone too", 0)]
+
+
 def test_places_of_long_conversations(spark):
     rows = [(1, t, "user", str(t)) for t in range(5000, 0, -1)] + [(1, 7, "user", "7b"), (1, None, "a", "z")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
