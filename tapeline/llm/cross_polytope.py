@@ -8,7 +8,7 @@ the best ``k`` over all cells are the answer. The measure is the inner product;
 scaled to unit length only for hashing.
 
 Cells with many vectors are cut into blocks, on both sides, so no cell is one task. What
-leaves a task are at most ``k`` rows for each query of a block.
+leaves a task are at most ``k`` rows for each query of a block, of ``k`` different ids.
 
 Vectors that are null, zero, or hold null or non-finite components, or have another length
 than ``dims``, take no part. Rows with the query's id are never its candidates. Of several
@@ -86,14 +86,17 @@ def _best(k: int) -> Callable:
         order = np.argsort(ids, kind="stable")
         base = order[~asks[order]]
         base_ids, base_vectors = ids[base], vectors[base]
+        each_id, first = np.unique(base_ids, return_index=True)
         out = [[], [], []]
-        for at in range(0, int(asks.sum()), 256):
+        for at in range(0, int(asks.sum()) if len(base) else 0, 256):
             rows = np.flatnonzero(asks)[at : at + 256]
             near = vectors[rows] @ base_vectors.T
             for row, scores in zip(rows.tolist(), near):
                 scores[base_ids == ids[row]] = -np.inf
-                if len(scores) > k:
-                    last = np.partition(scores, len(scores) - k)[len(scores) - k]
+                if len(each_id) > k:
+                    # The k-th best id, not row: copies of one id take one place.
+                    of_id = np.maximum.reduceat(scores, first)
+                    last = np.partition(of_id, len(of_id) - k)[len(of_id) - k]
                     at_least = last - 1e-9 * max(1.0, abs(last)) if np.isfinite(last) else last
                     chosen = np.flatnonzero(scores >= at_least)
                 else:
@@ -101,10 +104,13 @@ def _best(k: int) -> Callable:
                 chosen = chosen[np.isfinite(scores[chosen])]
                 # Row by row, so that equal vectors have exactly equal scores.
                 exact = (base_vectors[chosen] * vectors[row]).sum(axis=1)
-                best = np.argsort(-exact, kind="stable")[:k]
-                out[0].append(np.full(len(best), ids[row]))
-                out[1].append(base_ids[chosen[best]])
-                out[2].append(exact[best])
+                best = chosen[np.argsort(-exact, kind="stable")]
+                exact = -np.sort(-exact, kind="stable")
+                _, once = np.unique(base_ids[best], return_index=True)
+                once = np.sort(once)[:k]
+                out[0].append(np.full(len(once), ids[row]))
+                out[1].append(base_ids[best[once]])
+                out[2].append(exact[once])
         kinds = (np.int64, np.int64, np.float64)
         return pa.table(dict(zip(
             ("query_id", "vec_id", "score"),
@@ -125,11 +131,12 @@ def nearest(
         table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"),
                      F.coalesce(queries, F.lit(False)).alias("asks"))
         .filter(usable("vector") & (F.size("vector") == dims) & F.col("id").isNotNull())
+        .groupBy("id", "vector").agg(F.max("asks").alias("asks"))
         .withColumn("number", F.monotonically_increasing_id()), "ann-rows")
     element = rows.schema["vector"].dataType.elementType.simpleString()
     schema = f"table int, cell int, number bigint, id bigint, vector array<{element}>"
     base = rows.select("number", "id", "vector").mapInArrow(_cells(rotations, 1), schema)
-    asked = rows.filter("asks").dropDuplicates(["id", "vector"]).select("number", "id", "vector")
+    asked = rows.filter("asks").select("number", "id", "vector")
     asked = asked.mapInArrow(_cells(rotations, probes), schema)
     # A row for each table and cell, 2 * dims * tables at most: the bound of the broadcasts.
     blocks = lambda side, name, size: F.broadcast(

@@ -114,6 +114,19 @@ def test_ties_and_few_candidates(spark):
     assert sorted(r["vec_id"] for r in found) == [0, 3, 5, 7, 9]
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-6])
+def test_copies_of_one_id_take_one_place(spark, noise):
+    """A neighbour of more than k rows, equal or nearly so, hides no other."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=DIMS)
+    rows = [(0, one)] + [(1, one * 1.5 + noise * rng.normal(size=DIMS)) for _ in range(30)]
+    rows += [(i, one * (1.2 - i / 100)) for i in range(2, 12)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    found = cross_polytope.nearest(table, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in found] == [(i, i) for i in range(1, 6)]
+    assert found[0]["score"] == max(float((v * one).sum()) for i, v in rows if i == 1)
+
+
 def test_hadamard_keeps_products():
     x = np.random.default_rng(3).normal(size=(5, 32))
     y = cross_polytope.hadamard(x)
