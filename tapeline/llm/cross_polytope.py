@@ -7,6 +7,9 @@ double precision on the original vectors, and each cell gives its best ``k`` for
 the best ``k`` over all cells are the answer. The measure is the inner product; vectors are
 scaled to unit length only for hashing.
 
+A query that meets fewer than ``k`` candidates in its cells, although there are more, is
+compared with all rows instead, exactly.
+
 Cells with many vectors are cut into blocks, on both sides, so no cell is one task. What
 leaves a task are at most ``k`` rows for each query of a block, of ``k`` different ids.
 
@@ -123,9 +126,11 @@ def nearest(
     table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding",
     k: int = 20, dims: int = 64, tables: int = 16, probes: int = 8,
     block_rows: int = 1024, block_queries: int = 512, seed: int = 11,
+    exact_rows: int = 8192, exact_queries: int = 2048,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each row
-    that ``queries`` holds for, searched in all rows."""
+    that ``queries`` holds for, searched in all rows; fewer only if there are no more
+    candidates. ``exact_rows`` and ``exact_queries`` are the blocks of the exact search."""
     rotations = Rotations(dims, tables, seed)
     rows = written(
         table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"),
@@ -144,21 +149,40 @@ def nearest(
     sizes = [blocks(base, "bases", block_rows), blocks(asked, "askers", block_queries)]
 
     def placed(side: DataFrame, own: str, other: str, ask: bool) -> DataFrame:
-        side = side.join(sizes[0], ["table", "cell"]).join(sizes[1], ["table", "cell"])
         mine = F.pmod(F.xxhash64("number"), F.col(own)).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         side = side.withColumn(own + "_at", mine).withColumn(other + "_at", each)
         return side.select("table", "cell", "bases_at", "askers_at", F.lit(ask).alias("ask"),
                            "id", "vector")
 
-    found = (
-        placed(base, "bases", "askers", False).union(placed(asked, "askers", "bases", True))
-        .groupBy("table", "cell", "bases_at", "askers_at")
-        .applyInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
-    )
+    def compared(base: DataFrame, asked: DataFrame) -> DataFrame:
+        found = (
+            placed(base, "bases", "askers", False).union(placed(asked, "askers", "bases", True))
+            .groupBy("table", "cell", "bases_at", "askers_at")
+            .applyInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
+        )
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    sized = lambda side: side.join(sizes[0], ["table", "cell"]).join(sizes[1], ["table", "cell"])
+    found = written(compared(sized(base), sized(asked)), "ann-found")
+    ids, vectors = rows.agg(F.count_distinct("id"), F.count("*")).first()
+    # A query's own id is among the ids.
+    met = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("met"))
+    few = written(
+        rows.filter("asks").join(met, "id", "left")
+        .filter(F.coalesce("met", F.lit(0)) < min(k, ids - 1))
+        .select("number", "id", "vector"), "ann-few")
+    n_few = few.count()
+    if n_few:
+        cut = lambda side: side.select(
+            F.lit(-1).alias("table"), F.lit(0).alias("cell"), "number", "id", "vector",
+            F.lit(-(-vectors // exact_rows)).alias("bases"),
+            F.lit(-(-n_few // exact_queries)).alias("askers"))
+        whole = compared(cut(rows), cut(few))
+        found = found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id",
+                           "left_anti").union(whole)
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+        found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

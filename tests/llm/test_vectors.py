@@ -127,6 +127,41 @@ def test_copies_of_one_id_take_one_place(spark, noise):
     assert found[0]["score"] == max(float((v * one).sum()) for i, v in rows if i == 1)
 
 
+@pytest.mark.parametrize("case", ["few", "orthogonal", "opposite"])
+def test_queries_that_meet_too_few_are_searched_exactly(spark, case):
+    """Few rows, and many equal vectors in cells that most queries never look into."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, DIMS))
+    if case == "few":
+        x = x[:16]
+    else:
+        x[:, -1] = 0
+        hot = np.zeros((200, DIMS))
+        hot[:, -1] = 1
+        if case == "opposite":
+            x[:, -1] = -0.3 * np.linalg.norm(x[:, :-1], axis=1)
+            hot += 0.01 * rng.normal(size=hot.shape)
+        x = np.concatenate([x[:20], hot])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                  "vec_id long, embedding array<double>")
+    found = cross_polytope.nearest(table, F.col("vec_id") < 10, exact_rows=50, exact_queries=3).collect()
+    met = cross_polytope.Rotations(DIMS, 16, 11)
+    unit = cap_filters.unit_rows(x)
+    cells = np.array([np.argsort(-met.scores(unit, t), axis=1, kind="stable") for t in range(16)])
+    n_exact = 0
+    for q in range(10):
+        own = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        assert len(own) == min(20, len(x) - 1)
+        hashed = [(cells[:, i, :1] == cells[:, q, :8]).any() for i in range(len(x)) if i != q]
+        if sum(hashed) < len(own):
+            n_exact += 1
+            scores = (x * x[q]).sum(1)
+            scores[q] = -np.inf
+            best = np.lexsort((np.arange(len(x)), -scores))[: len(own)]
+            assert [r["vec_id"] for r in own] == best.tolist()
+    assert n_exact
+
+
 def test_hadamard_keeps_products():
     x = np.random.default_rng(3).normal(size=(5, 32))
     y = cross_polytope.hadamard(x)
