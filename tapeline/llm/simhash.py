@@ -66,17 +66,21 @@ def _ones(digests: list[bytes]) -> np.ndarray:
     return sums + bits[whole:].sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``bits``, the fingerprint as a signed long."""
-    schema = T.StructType([docs.schema[key], T.StructField("bits", T.LongType(), False)])
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key`` and ``bits``, the fingerprint as a signed long, and the columns of ``carry``."""
+    schema = T.StructType([docs.schema[key], T.StructField("bits", T.LongType(), False),
+                           *(docs.schema[c] for c in carry)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             found = np.fromiter(map(fingerprint, texts_of(part, text)), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column(key), pa.array(found.view(np.int64))], [key, "bits"])
+                [part.column(key), pa.array(found.view(np.int64)), *map(part.column, carry)],
+                [key, "bits", *carry])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *carry).mapInArrow(run, schema)
 
 
 class VantageTree:
@@ -196,16 +200,21 @@ def near_pairs(
     )
 
 
+def _rooted(groups: DataFrame, most: int = 3, **search: int) -> DataFrame:
+    """``groups`` (``bits``, each once, and ``id``) with the ``root`` of their component."""
+    groups = written(groups, "groups")
+    pairs = near_pairs(groups.select("bits"), most, **search)
+    rooted = groups.join(components(pairs), F.col("bits") == F.col("node"), "left").select(
+        "bits", "id", F.coalesce("component", "bits").alias("root"))
+    return written(rooted, "roots")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3, **search: int
 ) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row."""
     prints = written(fingerprints(docs, key, text), "fingerprints")
-    groups = written(prints.groupBy("bits").agg(F.min(key).alias("id")), "groups")
-    pairs = near_pairs(groups.select("bits"), most, **search)
-    rooted = groups.join(components(pairs), F.col("bits") == F.col("node"), "left").select(
-        "bits", "id", F.coalesce("component", "bits").alias("root"))
-    rooted = written(rooted, "roots")
+    rooted = _rooted(prints.groupBy("bits").agg(F.min(key).alias("id")), most, **search)
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = rooted.join(least, "root").select("bits", "component_id")
     labels = written(labels, "labels")
@@ -214,13 +223,18 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, one row for each id.
-
-    Rows without an id are kept: nothing tells them apart from other documents.
-    """
-    found = near_duplicates(docs, key, text)
-    dropped = written(
-        found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
-    named = docs.filter(F.col(key).isNotNull()).join(dropped, key, "left_anti")
-    return named.dropDuplicates([key]).select(*docs.columns).union(
-        docs.filter(F.col(key).isNull()))
+    """One row of ``docs`` for each SimHash group: that of the smallest id, then fingerprint,
+    then digest of the text. A row without an id stays if no row of its group has one."""
+    row = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
+                      F.sha2(F.col(text).cast("binary"), 256).alias("digest"))
+    prints = written(fingerprints(row, "id", "text", ("digest",)), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "bits", "digest"))
+    groups = _rooted(prints.groupBy("bits").agg(first.alias("id")))
+    chosen = written(
+        groups.groupBy("root").agg(F.min("id").alias("id")).select(
+            F.col("root").alias("_root"), F.col("id.id").alias("_id"),
+            F.col("id.digest").alias("_digest")), "chosen")
+    # Texts of one digest have one fingerprint, so a row meets one group at most.
+    digest = F.sha2(docs[text].cast("binary"), 256)
+    met = docs.join(chosen, docs[key].eqNullSafe(F.col("_id")) & digest.eqNullSafe(F.col("_digest")))
+    return met.dropDuplicates(["_root"]).select(*docs.columns)

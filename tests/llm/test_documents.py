@@ -94,6 +94,20 @@ def test_ids_may_be_null_or_repeated(spark):
     assert simhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows are chosen, not ids: ids may be repeated or null."""
+    a, b, c = "one two three four", "other words are here now", "all alone in this small table"
+
+    def kept(rows):
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(table).collect())
+
+    assert kept([(3, a), (3, b), (1, b)]) == [(1, b), (3, a)]
+    assert kept([(7, a), (7, b), (7, a)]) == [(7, a), (7, b)]
+    assert kept([(None, a), (None, a), (None, b), (5, b), (None, c), (2, None), (4, "")]) == [
+        (0, c), (0, a), (2, None), (5, b)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (500, 400)]
     table = spark.createDataFrame(edges + edges[:5], "u long, v long")
