@@ -1,5 +1,6 @@
 """A training corpus in four stages: toxic documents go, documents of low quality go, one
-document of each SimHash group stays, and what is left is packed.
+document of each SimHash group stays, and what is left is packed, each sequence with its
+token ids.
 
 Every stage is written as Parquet to the shared folder and read again by the next one, so
 its decisions hold for all that follows and no stage is computed twice. The models are
@@ -33,7 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return packing.pack(docs, TOKENIZER, with_ids=False)
+    return packing.pack(docs, TOKENIZER, with_ids=True)
 
 
 STAGES = [

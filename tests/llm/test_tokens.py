@@ -119,6 +119,18 @@ def test_packing_against_the_library(documents, odd_texts, tokenizer_path):
         assert max(lengths[low]) < min(lengths[high])
 
 
+def test_the_pipeline_writes_token_ids(spark, documents, tokenizer_path):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    rows = {r["sequence_id"]: r for r in stage(spark, documents, "").collect()}
+    want = {r["sequence_id"]: r for r in packing.pack(documents, tokenizer_path).collect()}
+    assert rows == want
+    for r in rows.values():
+        assert len(r["ids"]) == r["length"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())
+
+
 def test_buckets_are_folders(spark, documents, tokenizer_path, tmp_path):
     packing.write_buckets(packing.pack(documents, tokenizer_path), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
