@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, differences
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 from tapeline.plans.oracles import ORACLES
 from tapeline.plans.registry import QUERIES

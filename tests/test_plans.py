@@ -1,7 +1,7 @@
 """Plan shapes: what is pushed down, combined early, broadcast or split."""
 
 import pytest
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from pyspark.sql import functions as F
 
 from tapeline.operators import audits, positions, trades

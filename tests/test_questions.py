@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from trades_fixture import one
 
 from tapeline.operators import positions, questions, scoring, state

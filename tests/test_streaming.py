@@ -12,7 +12,7 @@ from tapeline.sources import tables
 from tapeline.streaming import continuous
 from tapeline.streaming import tables as sinks
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")
