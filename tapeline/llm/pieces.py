@@ -111,9 +111,11 @@ class _Hashes:
 class PieceEncoder:
     """Encodes texts piece by piece.
 
-    ``most_pieces`` bounds the memory of looked-up pieces; beyond it the memory is emptied
-    and filled again, with the same result. Pieces longer than ``LONG`` characters are
-    always encoded by the library, never looked up.
+    Pieces are found again by a 64-bit hash, and then compared character by character, so
+    that pieces of one hash never get each other's ids. ``most_pieces`` bounds the memory of
+    looked-up pieces; beyond it the memory is emptied and filled again, with the same result.
+    Pieces longer than ``LONG`` characters are always encoded by the library, never looked up.
+    ``cut`` gives the positions where pieces start; a code point of class END is one.
     """
 
     LONG = 64
@@ -121,20 +123,23 @@ class PieceEncoder:
     def __init__(
         self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray,
         most_pieces: int = 500_000,
+        cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = cut,
     ) -> None:
-        self.encode, self.table, self.most_pieces = encode, table, most_pieces
+        self.encode, self.table, self.most_pieces, self.cut = encode, table, most_pieces, cut
         self.hashes = _Hashes()
         self._forget()
 
     def _forget(self) -> None:
         self.slot_of: dict[int, int] = {}
+        self.texts: list[str] = []
         self.flat = np.empty(1 << 16, dtype=np.int32)
         self.first = np.empty(1 << 14, dtype=np.int64)
         self.count = np.empty(1 << 14, dtype=np.int32)
         self.slots = self.used = 0
 
-    def _keep(self, encoded: list[list[int]]) -> np.ndarray:
-        """New slots for ids."""
+    def _keep(self, pieces: list[str]) -> np.ndarray:
+        """New slots for the ids of pieces."""
+        encoded = self.encode(pieces)
         counts = np.fromiter(map(len, encoded), dtype=np.int32, count=len(encoded))
         total = int(counts.sum())
         while len(self.flat) < self.used + total:
@@ -146,9 +151,39 @@ class PieceEncoder:
         new = np.arange(self.slots, self.slots + len(encoded))
         self.first[new] = self.used + np.cumsum(counts) - counts
         self.count[new] = counts
+        self.texts += pieces
         self.slots, self.used = self.slots + len(encoded), self.used + total
         return new
 
+    def _look_up(
+        self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray
+    ) -> np.ndarray:
+        """Slots of the pieces between ``starts`` and ``ends``."""
+        lengths = ends - starts
+        codes, distinct = pd.factorize(self.hashes.of(points, starts, ends))
+        sample = np.empty(len(distinct), dtype=np.int64)
+        sample[codes[::-1]] = np.arange(len(codes))[::-1]
+        pieces = [joined[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]
+        slot = np.fromiter(
+            (self.slot_of.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            slot[missing] = self._keep([pieces[k] for k in missing.tolist()])
+            self.slot_of.update(zip(distinct[missing].tolist(), slot[missing].tolist()))
+        for k, (piece, s) in enumerate(zip(pieces, slot.tolist())):
+            if self.texts[s] != piece:
+                slot[k] = self._keep([piece])[0]
+        found = slot[codes]
+        # Pieces of one hash that are not the same piece.
+        like = sample[codes]
+        odd = lengths != lengths[like]
+        shown = np.where(odd, 0, lengths)
+        differ = np.flatnonzero(points[spans(starts, shown)] != points[spans(starts[like], shown)])
+        odd[np.searchsorted(np.cumsum(shown), differ, "right")] = True
+        for k in np.flatnonzero(odd).tolist():
+            found[k] = self._keep([joined[starts[k] : ends[k]]])[0]
+        return found
+
     def encode_texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids end."""
         if self.slots > self.most_pieces:
@@ -159,27 +194,15 @@ class PieceEncoder:
         marks = np.cumsum(lengths + 1) - 1
         classes = self.table[points]
         classes[marks] = END
-        starts = cut(points, classes)
+        starts = self.cut(points, classes)
         ends = np.append(starts[1:], len(points))
         text_end = np.searchsorted(starts, marks)
-        keys = self.hashes.of(points, starts, ends)
-        keys ^= (ends - starts).astype(np.uint64) << np.uint64(56)
-        codes, distinct = pd.factorize(keys)
-        sample = np.empty(len(distinct), dtype=np.int64)
-        sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        slot = np.fromiter(
-            map(self.slot_of.get, distinct.tolist(), [-1] * len(distinct)),
-            dtype=np.int64, count=len(distinct),
-        )
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            at = sample[missing]
-            pieces = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            slot[missing] = self._keep(self.encode(pieces))
-            self.slot_of.update(zip(distinct[missing].tolist(), slot[missing].tolist()))
-        of_piece = slot[codes]
-        for i in np.flatnonzero(ends - starts > self.LONG).tolist():
-            of_piece[i] = self._keep(self.encode([joined[starts[i] : ends[i]]]))[0]
+        of_piece = np.empty(len(starts), dtype=np.int64)
+        long = ends - starts > self.LONG
+        short = np.flatnonzero(~long)
+        of_piece[short] = self._look_up(joined, points, starts[short], ends[short])
+        for i in np.flatnonzero(long).tolist():
+            of_piece[i] = self._keep([joined[starts[i] : ends[i]]])[0]
         counts = self.count[of_piece]
         counts[text_end] = 0
         ids = self.flat[spans(self.first[of_piece], counts)]

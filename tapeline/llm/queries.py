@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm import (
-    byte_bpe, byte_cnn, cap_filters, cross_polytope, packing, preferences, resharding, simhash,
+    alignment, byte_bpe, byte_cnn, cap_filters, cross_polytope, packing, preferences, resharding, simhash,
     toxicity, warc,
 )
 from tapeline.llm.tables import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +70,17 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op11_shared_cut_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_power_of_two_packing, op3_spherical_cap_dedup, op4_min_cost_resharding,
         op5_preference_formatting, op5_whole_conversations, op6_cross_polytope, op7_ftrl_toxicity,
         op8_simhash_vantage_trees, op9_byte_cnn_quality, op10_warc_round_trip,
+        op11_shared_cut_alignment,
     )
 }
 
