@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import (
     alignment, byte_bpe, byte_cnn, cap_filters, cross_polytope, packing, preferences, resharding, simhash,
-    toxicity, warc,
+    spelling, toxicity, warc,
 )
 from tapeline.llm.tables import read
 
@@ -74,13 +74,17 @@ def op11_shared_cut_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(read(spark, sf_dir, "documents"), TOKENIZER, PIECES)
 
 
+def op12_bloom_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_power_of_two_packing, op3_spherical_cap_dedup, op4_min_cost_resharding,
         op5_preference_formatting, op5_whole_conversations, op6_cross_polytope, op7_ftrl_toxicity,
         op8_simhash_vantage_trees, op9_byte_cnn_quality, op10_warc_round_trip,
-        op11_shared_cut_alignment,
+        op11_shared_cut_alignment, op12_bloom_spelling_variants,
     )
 }
 
