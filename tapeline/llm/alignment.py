@@ -24,7 +24,7 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -36,14 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeline.llm.batches import slices, spans, texts_of
+from tapeline.llm.batches import slices, texts_of
 from tapeline.llm.byte_bpe import byte_table
 from tapeline.llm.pieces import (
     CODE_POINTS, END, PieceEncoder, file_encoder, packed_classes, serial_library,
 )
 from tapeline.llm.shared import written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+MOST_PIECES = 300_000
 
 
 def before_blanks(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -62,6 +63,18 @@ def blanks_lead(names: list[str]) -> bool:
     return not any("▁" in name.lstrip("▁") for name in names)
 
 
+def _marked(encode: Callable, spelled: list[bytes]) -> Callable:
+    """``encode``, but a piece that its tokens do not spell again has the one token -1."""
+    def run(pieces: list[str]) -> list[list[int]]:
+        found = encode(pieces)
+        if b"".join([spelled[i] for ids in found for i in ids]) == "".join(pieces).encode("utf-8", "replace"):
+            return found
+        return [ids if b"".join([spelled[i] for i in ids]) == piece.encode("utf-8", "replace") else [-1]
+                for piece, ids in zip(pieces, found)]
+
+    return run
+
+
 def piece_encoder(path: str) -> tuple[PieceEncoder, list[bytes]]:
     """An encoder for a ``sentencepiece`` BPE model that adds a blank to the text, and the
     bytes of each id. The texts it is given start with that blank."""
@@ -80,14 +93,11 @@ def piece_encoder(path: str) -> tuple[PieceEncoder, list[bytes]]:
         ends = np.flatnonzero(classes == END)
         return np.unique(np.concatenate([[0], ends, ends[:-1] + 1]))
 
-    def spelled(i: int) -> bytes:
-        if model.is_byte(i):
-            return bytes([int(names[i][3:5], 16)])
-        return names[i].replace("▁", " ").encode()
-
+    spelled = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].replace("▁", " ").encode()
+               for i in range(len(names))]
     cut = before_blanks if blanks_lead(names) else whole
-    encoder = PieceEncoder(encode, np.zeros(CODE_POINTS, np.uint8), cut=cut)
-    return encoder, [spelled(i) for i in range(len(names))]
+    no_classes = np.zeros(CODE_POINTS, np.uint8)
+    return PieceEncoder(_marked(encode, spelled), no_classes, MOST_PIECES, cut), spelled
 
 
 def byte_encoder(path: str, classes: bytes) -> tuple[PieceEncoder, list[bytes]]:
@@ -101,7 +111,9 @@ def byte_encoder(path: str, classes: bytes) -> tuple[PieceEncoder, list[bytes]]:
     for name, i in vocabulary.items():
         if all(c in byte_of for c in name):
             spelled[i] = bytes(byte_of[c] for c in name)
-    return file_encoder(path, classes), spelled
+    encoder = file_encoder(path, classes)
+    encoder.encode, encoder.most_pieces = _marked(encoder.encode, spelled), MOST_PIECES
+    return encoder, spelled
 
 
 def shared_cuts(
@@ -165,37 +177,25 @@ class Aligner:
     """Both encoders of one Python worker."""
 
     def __init__(self, a_path: str, b_path: str, classes: bytes) -> None:
-        self.a, a_bytes = byte_encoder(a_path, classes)
-        self.b, b_bytes = piece_encoder(b_path)
-        self.a_bytes, self.b_bytes = (np.array(x + [b""], dtype=object)[:-1]
-                                      for x in (a_bytes, b_bytes))
+        self.a, self.a_bytes = byte_encoder(a_path, classes)
+        self.b, self.b_bytes = piece_encoder(b_path)
         self.a_length, self.b_length = (np.array([len(x) for x in side], dtype=np.int64)
-                                        for side in (a_bytes, b_bytes))
-        decimal = [str(i).encode() for i in range(max(len(a_bytes), len(b_bytes)))]
-        self.listed = {s: np.array([d + s for d in decimal], dtype=object) for s in (b",", b"|", b";")}
-
-    def _spelled(self, shown: list[str], a, a_text, b, b_text) -> np.ndarray:
-        """Which texts both sides spell again."""
-        def side(names, ids, ends):
-            return [b"".join(x.tolist()) for x in np.split(names[ids], ends[:-1])]
-
-        want = [t.encode("utf-8", "replace") for t in shown]
-        if b"".join(self.a_bytes[a].tolist()) == b"".join(self.b_bytes[b].tolist()) == b"".join(want):
-            # Equal in all; texts are equal if their lengths are.
-            sizes = np.array([len(w) for w in want])
-            sums = [np.diff(np.append(0, np.append(0, np.cumsum(length[ids]))[ends]))
-                    for length, ids, ends in ((self.a_length, a, a_text), (self.b_length, b, b_text))]
-            if (sums[0] == sizes).all() and (sums[1] == sizes).all():
-                return np.ones(len(shown), dtype=bool)
-        spelled = zip(want, side(self.a_bytes, a, a_text), side(self.b_bytes, b, b_text))
-        return np.array([w == x == y for w, x, y in spelled], dtype=bool)
+                                        for side in (self.a_bytes, self.b_bytes))
+        # Decimal digits of each id, and room for what follows them.
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.digits = np.array([list(str(i).ljust(len(str(most)) + 1).encode()) for i in range(most)],
+                               dtype=np.uint8)
+        self.digit_count = (self.digits != 0x20).sum(axis=1)
 
     def align(self, texts: list[str]) -> Aligned:
+        """Texts that are empty, or not spelled again by both sides, have no tokens."""
         shown = [" " + t for t in texts]
         a, a_text = self.a.encode_texts(shown)
         b, b_text = self.b.encode_texts(shown)
-        good = self._spelled(shown, a, a_text, b, b_text) & np.array([t != "" for t in texts], bool)
         a_size, b_size = np.diff(a_text, prepend=0), np.diff(b_text, prepend=0)
+        good = np.array([t != "" for t in texts], dtype=bool)
+        for ids, ends in ((a, a_text), (b, b_text)):
+            good[np.searchsorted(ends, np.flatnonzero(ids < 0), "right")] = False
         if not good.all():
             a, b = a[np.repeat(good, a_size)], b[np.repeat(good, b_size)]
             a_size, b_size = a_size * good, b_size * good
@@ -204,26 +204,29 @@ class Aligner:
         a_cut, b_cut = shared_cuts(
             a_ends, b_ends, (a_text - a_size)[good], a_text[good],
             (b_text - b_size)[good], b_text[good])
-        ends = np.concatenate([a_ends, b_ends])
-        ends.sort(kind="stable")
-        ends = ends[np.append(True, ends[1:] != ends[:-1])[: len(ends)]]
-        link_a = np.searchsorted(a_ends, ends)
-        return Aligned(
-            a, b, a_text, b_text, a_cut, b_cut, np.searchsorted(a_cut, a_text, "right"),
-            np.searchsorted(a_text, link_a, "right"), link_a, np.searchsorted(b_ends, ends))
+        groups = np.searchsorted(a_cut, a_text, "right")
+        # A link ends where a token of either side does.
+        by_byte = np.zeros((2, int(a_ends[-1]) + 1 if len(a_ends) else 0), dtype=bool)
+        by_byte[0, a_ends] = by_byte[1, b_ends] = True
+        link_a, link_b = (np.cumsum(x) - x for x in by_byte[:, by_byte.any(axis=0)])
+        links = a_size + b_size - np.diff(groups, prepend=0)
+        return Aligned(a, b, a_text, b_text, a_cut, b_cut, groups,
+                       np.repeat(np.arange(len(texts)), links), link_a, link_b)
 
     def digests(self, x: Aligned) -> list[str]:
         """SHA-256 of each text's groups, ``a1,a2|b1;a3|b2,b3``; '' without tokens."""
-        parts = np.empty(len(x.a) + len(x.b), dtype=object)
-        a_group = np.searchsorted(x.a_cut, np.arange(len(x.a)), "right")
-        b_group = np.searchsorted(x.b_cut, np.arange(len(x.b)), "right")
-        a_at = np.arange(len(x.a)) + np.append(0, x.b_cut)[a_group]
-        b_at = np.arange(len(x.b)) + x.a_cut[b_group]
-        parts[a_at], parts[b_at] = self.listed[b","][x.a], self.listed[b","][x.b]
-        parts[a_at[x.a_cut - 1]] = self.listed[b"|"][x.a[x.a_cut - 1]]
-        parts[b_at[x.b_cut - 1]] = self.listed[b";"][x.b[x.b_cut - 1]]
-        each = np.split(parts, (x.a_text + x.b_text)[:-1])
-        return [hashlib.sha256(b"".join(p.tolist())[:-1]).hexdigest() if len(p) else "" for p in each]
+        ids = np.empty(len(x.a) + len(x.b), dtype=np.int64)
+        mark = np.full(len(ids), ord(","), dtype=np.uint8)
+        a_at = np.arange(len(x.a)) + np.repeat(np.append(0, x.b_cut)[:-1], np.diff(x.a_cut, prepend=0))
+        b_at = np.arange(len(x.b)) + np.repeat(x.a_cut, np.diff(x.b_cut, prepend=0))
+        ids[a_at], ids[b_at] = x.a, x.b
+        mark[a_at[x.a_cut - 1]], mark[b_at[x.b_cut - 1]] = ord("|"), ord(";")
+        shown, count = self.digits[ids], self.digit_count[ids]
+        shown[np.arange(len(ids)), count] = mark
+        line = memoryview(shown[np.arange(shown.shape[1]) <= count[:, None]])
+        ends = np.append(0, np.cumsum(count + 1))[x.a_text + x.b_text].tolist()
+        return [hashlib.sha256(line[i : j - 1]).hexdigest() if j > i else ""
+                for i, j in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)

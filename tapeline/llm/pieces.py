@@ -165,20 +165,21 @@ class PieceEncoder:
         sample[codes[::-1]] = np.arange(len(codes))[::-1]
         pieces = [joined[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]
         slot = np.fromiter(
-            (self.slot_of.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+            map(self.slot_of.get, distinct.tolist(), [-1] * len(distinct)), np.int64, len(distinct))
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             slot[missing] = self._keep([pieces[k] for k in missing.tolist()])
             self.slot_of.update(zip(distinct[missing].tolist(), slot[missing].tolist()))
-        for k, (piece, s) in enumerate(zip(pieces, slot.tolist())):
-            if self.texts[s] != piece:
-                slot[k] = self._keep([piece])[0]
+        texts = map(self.texts.__getitem__, slot.tolist())
+        for k in [k for k, (x, y) in enumerate(zip(pieces, texts)) if x != y]:
+            slot[k] = self._keep([pieces[k]])[0]
         found = slot[codes]
         # Pieces of one hash that are not the same piece.
         like = sample[codes]
         odd = lengths != lengths[like]
         shown = np.where(odd, 0, lengths)
-        differ = np.flatnonzero(points[spans(starts, shown)] != points[spans(starts[like], shown)])
+        place = spans(starts, shown)
+        differ = np.flatnonzero(points[place] != points[place + np.repeat(starts[like] - starts, shown)])
         odd[np.searchsorted(np.cumsum(shown), differ, "right")] = True
         for k in np.flatnonzero(odd).tolist():
             found[k] = self._keep([joined[starts[k] : ends[k]]])[0]
