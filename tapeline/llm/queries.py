@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm import (
-    alignment, byte_bpe, byte_cnn, cap_filters, cross_polytope, packing, preferences, resharding, simhash,
-    spelling, toxicity, warc,
+    alignment, byte_bpe, byte_cnn, cap_filters, cross_polytope, grammar_secrets, packing, preferences,
+    resharding, simhash, spelling, toxicity, warc,
 )
 from tapeline.llm.tables import read
 
@@ -78,6 +78,10 @@ def op12_bloom_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_secrets.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +89,7 @@ QUERIES = {
         op5_preference_formatting, op5_whole_conversations, op6_cross_polytope, op7_ftrl_toxicity,
         op8_simhash_vantage_trees, op9_byte_cnn_quality, op10_warc_round_trip,
         op11_shared_cut_alignment, op12_bloom_spelling_variants,
+        op13_grammar_secrets,
     )
 }
 
