@@ -43,6 +43,7 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR, ERASE = 7, 2, 10, 31
 FILTER_BYTES, KEY_BITS, LEAST_SHARD = 64 << 20, 24, 1 << 10
 LONG = 64  # words of this length or more share a shard
 PIECE = 1 << 14  # words of a filter built in one group
+TASK_WORDS = 1 << 15  # words whose edits one task generates
 MEMORY = 200_000  # words counted in a task before they are sent on
 
 _ODD = 0x9E3779B97F4A7C15
@@ -159,7 +160,7 @@ class Filters:
             key_bits /= 2
         self.bits = np.full(LONG + 1, 1, dtype=np.uint64)
         self.offset = np.full(LONG + 1, -1, dtype=np.int64)
-        self.cells = 0
+        self.words, self.cells = sum(counts.values()), 0
         for shard in sorted(cells):
             self.bits[shard] = cells[shard].bit_length() - 1
             self.offset[shard] = self.cells
@@ -212,6 +213,7 @@ def near_words(
     in both directions."""
     filters, whole = filled(vocab, letters, most_bytes)
     known = vocab.sparkSession.sparkContext.broadcast(whole)
+    tasks = max(1, -(-filters.words // TASK_WORDS))
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = (1 << 19) // len(letters)
@@ -234,7 +236,7 @@ def near_words(
                     [*(part.column(c).take(pa.array(rows, pa.int64())) for c in ("word", "n")),
                      pa.array(near, pa.string())], ["word", "n", "near"])
 
-    asked = vocab.select("word", "n").mapInArrow(probe, "word string, n long, near string")
+    asked = vocab.select("word", "n").repartition(tasks, "word").mapInArrow(probe, "word string, n long, near string")
     met = asked.join(vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     one = F.struct("word", "n", "near", "near_n")
     other = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"),
