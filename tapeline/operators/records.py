@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -64,6 +64,33 @@ def many_types_to_string(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def open_variant(
+    df: DataFrame, column: str, fields: Mapping[str, str | None], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Fields of JSON text that arrive in several types, each value in the type that came.
+
+    ``fields`` names top-level fields and the types asked for. With None a field stays a
+    Variant, so a number is still a number and a text a text; with a type it is cast, and a
+    value that does not cast is null. Beside each field, ``<field>_kind`` tells what came
+    (null for a field that is not there). Text that is not JSON, or not an object, gives nulls.
+    """
+    held = df.select(*keep, F.try_parse_json(column).alias("__v"))
+    out = [F.col(name) for name in keep]
+    for name, kind in fields.items():
+        path = f"$['{name}']"
+        whole = F.try_variant_get("__v", path, "variant")
+        value = whole if kind is None else F.try_variant_get("__v", path, kind)
+        out += [value.alias(name), variant_kind(whole).alias(f"{name}_kind")]
+    return held.select(*out)
+
+
+def variant_kind(value: Column) -> Column:
+    """``object``, ``array``, ``string``, ``number``, ``boolean``, ``null`` or another type's name."""
+    shown = F.lower(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    number = shown.isin("bigint", "decimal", "double", "float")
+    return F.when(number, "number").when(shown == "void", "null").otherwise(shown)
+
+
 def flat_names(paths: Sequence[Sequence[str]], taken: Sequence[str] = ()) -> list[str]:
     """A column name for each nested path, all different.
 
@@ -125,7 +152,35 @@ def conformance_report(
     ``rows``, ``nulls``, ``failed_casts`` (a value is there, but not of the type) and
     ``outside_enum``. All counts come from one pass with one combined aggregate.
     """
-    enums = enums or {}
+    counts, lines = _conformance(df, schema, enums or {})
+    return df.agg(*counts).select(F.inline(F.array(*lines)))
+
+
+def observe_conformance(
+    df: DataFrame, schema: StructType, enums: Mapping[str, Sequence[str]] | None = None,
+    keep: Sequence[str] = (),
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``conform_topic``, and the report of it for free: the counts are collected while the
+    conformed rows are written, in that one scan. The second value gives the report as
+    ``conformance_report`` would, once an action has run on the first.
+
+    The counts are those of that action: write the rows once, whole."""
+    counts, lines = _conformance(df, schema, enums or {})
+    seen = Observation()
+    observed = conform_topic(df.observe(seen, *counts), schema, keep)
+
+    def report() -> DataFrame:
+        values = seen.get
+        row = df.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in values.items()])
+        return row.select(F.inline(F.array(*lines)))
+
+    return observed, report
+
+
+def _conformance(
+    df: DataFrame, schema: StructType, enums: Mapping[str, Sequence[str]]
+) -> tuple[list[Column], list[Column]]:
+    """The counts, and the lines of the report made of them."""
     have = {f.name: f.dataType for f in df.schema.fields}
     counts, lines = [F.count("*").alias("rows")], []
     for i, f in enumerate(schema.fields):
@@ -147,7 +202,7 @@ def conformance_report(
                 F.col(f"e{i}").alias("outside_enum"),
             )
         )
-    return df.agg(*counts).select(F.inline(F.array(*lines)))
+    return counts, lines
 
 
 def to_topic(

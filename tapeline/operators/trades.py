@@ -213,23 +213,34 @@ def current_contracts(refdata: DataFrame, order: str = "version") -> DataFrame:
     return latest_per_key(refdata, ["contract_series"], [order])
 
 
+def _units(number: Column, places: int) -> Column:
+    """A number as a whole count of its smallest unit, without a scale to lose."""
+    scaled = number.cast(f"decimal(30,{places})") * F.lit(10**places)
+    return F.round(scaled).cast("decimal(38,0)")
+
+
+def notional(price: Column, multiplier: Column, quantity: Column) -> Column:
+    """price x multiplier x lots, rounded once to 2 decimals.
+
+    Prices count with up to 6 decimals, multipliers and lots with up to 2. The product is
+    one of whole numbers, so no factor has a bound of its own: it is exact below 10**28, and
+    null beyond.
+    """
+    exact = F.try_multiply(F.try_multiply(_units(price, 6), _units(multiplier, 2)), _units(quantity, 2))
+    # In units of 10**-10; only the product is rounded.
+    return (F.round(exact, -8) / F.lit(10**10).cast("decimal(11,0)")).cast("decimal(30,2)")
+
+
 def fill_notionals(
     fills: DataFrame, refdata: DataFrame, order: str = "version"
 ) -> DataFrame:
-    """Fills with underlying and notional = price x multiplier x lots, rounded once to 2
-    decimals. Prices count with up to 6 decimals, multipliers and lots with up to 2.
-    """
+    """Fills with underlying and notional by the last version of the reference data."""
     ref = current_contracts(
         refdata.select("contract_series", "underlying", "contract_multiplier", order), order
     ).drop(order)
     joined = lookup_join(fills, ref, "contract_series")
-    # 17 + 11 + 10 digits: the product is exact, and only it is rounded.
-    exact = (
-        F.col("price").cast("decimal(17,6)")
-        * F.col("contract_multiplier").cast("decimal(10,2)")
-        * F.col("quantity").cast("decimal(9,2)")
-    )
-    return joined.withColumn("notional", F.round(exact, 2).cast("decimal(28,2)"))
+    return joined.withColumn("notional", notional(
+        F.col("price"), F.col("contract_multiplier"), F.col("quantity")))
 
 
 def notional_by_underlying(

@@ -263,6 +263,17 @@ ORACLES: dict[str, str] = {
         qty AS quantity, price, member AS executing_member, ts AS exec_time FROM fills"""),
     "assign_offsets": _with(LOG, """SELECT position_key, off AS sent, part_no AS log_partition,
         part_off AS log_offset FROM position_log"""),
+    "type_drift": _with(FILLS, """SELECT field, COUNT(off) FILTER (field <> 'order_id' OR off % 100 <> 4)
+          AS n_records, TRUE AS declared, field = 'quantity' AS mixed
+        FROM fills, (VALUES ('exec_id'), ('order_id'), ('contract_series'), ('side'), ('quantity'),
+          ('price'), ('executing_member'), ('exec_time')) AS f(field) GROUP BY field"""),
+    "variant_fields": """WITH k AS (SELECT event_id, event_id % 7 AS m,
+            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+        SELECT event_id, CASE m WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'array'
+            WHEN 3 THEN 'object' WHEN 4 THEN 'boolean' END AS k_kind,
+          CASE m WHEN 0 THEN k::VARCHAR WHEN 1 THEN k::VARCHAR WHEN 2 THEN '[' || k || ']'
+            WHEN 3 THEN '{"a":' || k || '}' WHEN 4 THEN 'true' END AS k_text,
+          CASE WHEN m < 2 THEN k END AS k_number FROM k""",
     "field_drift": """SELECT field, COUNT(*) * 2 AS n_records, field <> 'version' AS declared
         FROM part, (VALUES ('contract_series'), ('product_type'), ('underlying'),
           ('contract_multiplier'), ('expiry_date'), ('version')) AS f(field) GROUP BY field""",
@@ -351,6 +362,13 @@ ORACLES: dict[str, str] = {
         CAST(SUM(CAST(round((CAST(price AS DECIMAL(17,6)) + line * 0.0005) * multiplier * qty, 2)
           AS DECIMAL(28,2))) AS DECIMAL(38,2)) AS notional
         FROM lines JOIN refdata USING (series) GROUP BY underlying"""),
+    "notional_as_of": _with(FILLS, """, v AS (
+          SELECT series, ts, max(off) AS version,
+            arg_max(CASE WHEN off % 5 > 0 THEN [off % 7 + 1] ELSE [NULL] END, off)[1] AS multiplier
+          FROM fills WHERE off % 97 < 2 AND series <> 'error' GROUP BY series, ts)
+        SELECT f.series AS contract_series, COUNT(*) AS n_fills, COUNT(version) AS n_with_version,
+          CAST(SUM(qty * multiplier) AS BIGINT) AS lots, CAST(SUM(version) AS BIGINT) AS sum_version
+        FROM fills f ASOF LEFT JOIN v ON f.series = v.series AND f.ts >= v.ts GROUP BY f.series"""),
     "reports_with_fills": _with(REPORTS, """SELECT r.exec_id, report_id, uti, action AS action_type,
         f.side, f.qty AS quantity, f.series AS contract_series
         FROM reports r LEFT JOIN fills f USING (exec_id)"""),
@@ -372,6 +390,26 @@ ORACLES: dict[str, str] = {
           CAST(COALESCE(SUM(n) FILTER (p.k IS NULL), 0) AS BIGINT) AS n_orphans,
           COALESCE(MAX(n) FILTER (p.k IS NOT NULL), 0) AS max_children
         FROM p FULL JOIN c ON p.k = c.k""",
+    "homonym_matrix": _with(REPORTS + CLEARING.replace(FILLS, ""), """, v AS (
+          SELECT DISTINCT c, v FROM (
+            SELECT unnest(['fills.exec_id', 'fills.order_id', 'fills.executing_member']) AS c,
+              unnest([exec_id, order_id, member]) AS v FROM fills
+            UNION ALL SELECT unnest(['reports.uti', 'reports.exec_id', 'reports.counterparty_1',
+              'reports.counterparty_2']), unnest([uti, exec_id, cp1, cp2]) FROM reports
+            UNION ALL SELECT unnest(['clearing.event_id', 'clearing.exec_id',
+              'clearing.clearing_member_id']), unnest([event_id, exec_id, member]) FROM clearing)),
+        n AS (SELECT c, COUNT(*) AS n FROM v GROUP BY c),
+        m AS (SELECT a.c AS l, b.c AS r, COUNT(*) AS n FROM v a JOIN v b USING (v) WHERE a.c < b.c GROUP BY 1, 2)
+        SELECT a.c AS left_column, b.c AS right_column,
+          coalesce(m.n, 0) < 0.01 * least(a.n, b.n) AS unlike
+        FROM n a JOIN n b ON a.c < b.c LEFT JOIN m ON m.l = a.c AND m.r = b.c"""),
+    "lag_sketches": _with(FILLS, """, s AS (
+          SELECT CAST(ts - to_seconds((off * 7919) % 86399) AS DATE) AS d FROM fills)
+        SELECT scope, p, COUNT(*) AS n_rows, TRUE AS near
+        FROM s, (VALUES ('all'), ('until')) AS c(scope), (VALUES (50), (90), (99)) AS q(p)
+        WHERE scope = 'all' OR d <= DATE '2024-01-15' GROUP BY scope, p"""),
+    "party_trade_sketches": _with(REPORTS + SIDES, """SELECT party, COUNT(*) AS n_rows,
+        COUNT(DISTINCT uti) AS n_trades, TRUE AS near FROM sides GROUP BY party"""),
     "homonym_audit": _with(REPORTS + SIDES, """SELECT (SELECT COUNT(DISTINCT party) FROM sides) AS n_left,
           (SELECT COUNT(DISTINCT member) FROM fills) AS n_right, c.n AS n_common,
           CAST(c.n AS DOUBLE) / least((SELECT COUNT(DISTINCT party) FROM sides),
@@ -553,3 +591,6 @@ ORACLES: dict[str, str] = {
         c.series AS contract_series, f.exec_id, c.off AS log_offset
         FROM current_state c JOIN fills f ON c.off = f.off"""),
 }
+
+# The same report, collected another way.
+ORACLES["observed_conformance"] = ORACLES["conformance_report"]

@@ -1,4 +1,4 @@
-"""Running sums that do not put one key into one task."""
+"""Running sums, and values as of a time, that do not put one key into one task."""
 
 from __future__ import annotations
 
@@ -84,3 +84,70 @@ def dense_rank_by(
     ones = df.withColumn("__one", F.lit(1).cast("long"))
     counted = running_sum(ones, keys, order, "__one", out, block_bits)
     return counted.withColumn(out, F.col(out) - 1).drop("__one")
+
+
+# Microseconds per block of an as-of carry, as a power of two: some 18 minutes.
+TIME_BITS = 30
+_AT, _KIND, _SEQ, _KNOWN = "__at", "__kind", "__seq", "__known"
+
+
+def _known_before(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """What is known when each block begins, in two levels as in ``_carries``."""
+    grouped = totals.withColumn(_GROUP, F.shiftright(_BLOCK, GROUP_BITS))
+    some = F.when(F.col(_KNOWN).isNotNull(), F.col(_BLOCK))
+    earlier = W.partitionBy(*keys).orderBy(_GROUP).rowsBetween(W.unboundedPreceding, -1)
+    before = grouped.groupBy(*keys, _GROUP).agg(F.max_by(_KNOWN, some).alias(_KNOWN)).select(
+        *keys, _GROUP, F.last(_KNOWN, ignorenulls=True).over(earlier).alias(_KNOWN),
+        F.lit(None).cast("long").alias(_BLOCK))
+    inside = W.partitionBy(*keys, _GROUP).orderBy(F.col(_BLOCK).asc_nulls_first()).rowsBetween(
+        W.unboundedPreceding, -1)
+    return (
+        grouped.unionByName(before)
+        .withColumn(_KNOWN, F.last(_KNOWN, ignorenulls=True).over(inside))
+        .filter(F.col(_BLOCK).isNotNull() & F.col(_KNOWN).isNotNull())
+        .select(*keys, _BLOCK, _KNOWN)
+    )
+
+
+def as_of(
+    rows: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, valid_from: str,
+    values: Sequence[str], order: str, block_bits: int = TIME_BITS,
+) -> DataFrame:
+    """``rows`` with the ``values`` of the version of their key that was valid at their time:
+    the last one whose ``valid_from`` is not after ``at``, of equal ones that of the highest
+    ``order``. Null values are values; without a version all are null.
+
+    ``at`` and ``valid_from`` are longs, such as microseconds. No range join: both are cut
+    into blocks of time, the last version of each block is carried over the blocks after it,
+    and enters them as one leading row of a window inside the block. So a hot key is as many
+    tasks as it has blocks with rows. Rows without a time have no version; ``values``
+    replace columns of ``rows`` of the same name.
+    """
+    keys, own = list(keys), rows.drop(*values)
+    known_type = versions.select(F.struct(*values).alias("s")).schema["s"].dataType
+
+    def block(time: str):
+        return F.shiftright(F.col(time).cast("long"), block_bits)
+
+    given = versions.filter(F.col(valid_from).isNotNull()).select(
+        *keys, block(valid_from).alias(_BLOCK), F.col(valid_from).cast("long").alias(_AT),
+        F.lit(1).alias(_KIND), F.col(order).cast("long").alias(_SEQ),
+        F.struct(*values).cast(known_type).alias(_KNOWN))
+    asking = own.filter(F.col(at).isNotNull()).withColumns({
+        _BLOCK: block(at), _AT: F.col(at).cast("long"), _KIND: F.lit(2),
+        _SEQ: F.lit(None).cast("long"), _KNOWN: F.lit(None).cast(known_type)})
+    # Every block with rows needs what is known before it, also one without a version.
+    marks = given.unionByName(asking.select(*keys, _BLOCK, F.lit(None).cast("long").alias(_AT),
+                                            _KIND, _SEQ, _KNOWN))
+    totals = marks.groupBy(*keys, _BLOCK).agg(F.max_by(_KNOWN, F.struct(_AT, _SEQ)).alias(_KNOWN))
+    carry = _known_before(totals, keys).withColumn(_KIND, F.lit(0))
+    inside = W.partitionBy(*keys, _BLOCK).orderBy(
+        F.col(_KIND) > 0, _AT, _KIND, _SEQ).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = (
+        asking.unionByName(given, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+        .withColumn(_KNOWN, F.last(_KNOWN, ignorenulls=True).over(inside))
+        .filter(F.col(_KIND) == 2)
+    )
+    timeless = own.filter(F.col(at).isNull()).withColumn(_KNOWN, F.lit(None).cast(known_type))
+    return met.select(*own.columns, _KNOWN).unionByName(timeless).select(
+        *own.columns, *[F.col(f"{_KNOWN}.{v}").alias(v) for v in values])

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.fields import key_part
 from tapeline.functions.texts import numbers_in
-from tapeline.operators import audits, positions, questions, records, scoring, state, trades
+from tapeline.operators import (
+    audits, positions, questions, records, scoring, sketches, state, trades,
+)
+from tapeline.plans import prefix
 from tapeline.plans.shared import fresh_path
 from tapeline.sources import tables, topics
 from tapeline.sources.contracts import CONTRACTS_REF, EXECUTIONS, POSITIONS, text_schema
@@ -227,6 +230,58 @@ def split_position_key(spark, sf):
     )
 
 
+def _typed_props(spark, sf) -> DataFrame:
+    """Events whose field ``k`` arrives as a number, a text, a list, an object, a truth value,
+    nothing, or in a text that is not JSON."""
+    k, number = tables.props_number(), F.col("event_id")
+    text = k.cast("string")
+    sent = (
+        F.when(number % 7 == 0, F.col("props"))
+        .when(number % 7 == 1, F.concat(F.lit('{"k":"'), text, F.lit('"}')))
+        .when(number % 7 == 2, F.concat(F.lit('{"k":['), text, F.lit("]}")))
+        .when(number % 7 == 3, F.concat(F.lit('{"k":{"a":'), text, F.lit("}}")))
+        .when(number % 7 == 4, F.lit('{"k":true}'))
+        .when(number % 7 == 5, F.lit('{"other":1}'))
+        .otherwise(F.col("event_type"))
+    )
+    return tables.table(spark, sf, "events").select("event_id", sent.alias("sent"))
+
+
+def variant_fields(spark, sf):
+    """A field of several types, in the type that came and as a number where it is one."""
+    sent = _typed_props(spark, sf)
+    kept = records.open_variant(sent, "sent", {"k": None}, ["event_id"])
+    asked = records.open_variant(sent, "sent", {"k": "bigint"}, ["event_id"])
+    numbers = asked.select(F.col("event_id").alias("id"), F.col("k").alias("k_number"))
+    whole = kept.select(
+        "event_id", "k_kind", F.try_variant_get("k", "$", "string").alias("k_text"))
+    return whole.join(numbers, F.col("event_id") == F.col("id")).select(
+        "event_id", "k_kind", "k_text",
+        F.when(F.col("k_kind").isin("number", "string"), F.col("k_number")).alias("k_number"))
+
+
+def type_drift(spark, sf):
+    """Fills of which some send their quantity as text and some lack their order."""
+    number = F.regexp_extract("exec_id", "[0-9]+", 0).cast("long")
+    fills = tables.fills(spark, sf).select(*EXECUTIONS.schema.names)
+    sent = records.to_topic(fills, EXECUTIONS.topic, EXECUTIONS.key).withColumn(
+        "exec_id", F.get_json_object("value", "$.exec_id"))
+    as_text = F.regexp_replace("value", '"quantity":([0-9.]+)', '"quantity":"$1"')
+    lacking = F.regexp_replace("value", '"order_id":"[^"]*",', "")
+    drifted = F.when(number % 100 == 3, as_text).when(number % 100 == 4, lacking).otherwise(F.col("value"))
+    return topics.type_drift(sent.withColumn("value", drifted), EXECUTIONS).drop("seen")
+
+
+def observed_conformance(spark, sf):
+    """The report of ``conformance_report``, collected while the rows are written."""
+    raw = _raw_fills(spark, sf)
+    schema = spark.createDataFrame([], _RAW_SCHEMA).schema
+    enums = {"series": ("view", "click", "purchase", "signup", "error")}
+    rows, report = records.observe_conformance(raw, schema, enums)
+    rows.write.parquet(fresh_path(spark, "conformed"))
+    return report()
+
+
 # --- state ------------------------------------------------------------------------
 
 def latest_per_key(spark, sf):
@@ -264,6 +319,31 @@ def notional_by_underlying(spark, sf):
     return trades.notional_by_underlying(fills, tables.refdata(spark, sf))
 
 
+def _micros(time: str) -> F.Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def multiplier_versions(spark, sf) -> DataFrame:
+    """New reference data for a series now and then, valid from the instant it was sent; two
+    thirds of the series have some."""
+    number = F.col("offset")
+    return tables.fills(spark, sf).filter((number % 97 < 2) & (F.col("contract_series") != "error")).select(
+        "contract_series", _micros("exec_time").alias("valid_from"), number.alias("version"),
+        F.when(number % 5 > 0, number % 7 + 1).alias("multiplier"))
+
+
+def notional_as_of(spark, sf):
+    """Lots by the multiplier that was valid when each fill happened."""
+    fills = tables.fills(spark, sf).select(
+        "contract_series", "quantity", _micros("exec_time").alias("at"))
+    met = prefix.as_of(fills, multiplier_versions(spark, sf), ["contract_series"], "at", "valid_from",
+                       ["multiplier", "version"], "version")
+    return met.groupBy("contract_series").agg(
+        F.count("*").alias("n_fills"), F.count("version").alias("n_with_version"),
+        F.sum(F.col("quantity") * F.col("multiplier")).alias("lots"),
+        F.sum("version").alias("sum_version"))
+
+
 def reports_with_fills(spark, sf):
     fills = tables.fills(spark, sf).select("exec_id", "side", "quantity", "contract_series")
     reports = tables.reports(spark, sf).select("report_id", "uti", "exec_id", "action_type")
@@ -303,6 +383,61 @@ def homonym_audit(spark, sf):
     )
 
 
+def _spread_times(spark, sf) -> DataFrame:
+    """Fills whose business time is up to a day before the log time."""
+    lag = (F.col("offset") * 7919 % 86_399).cast("int")
+    moved = F.col("exec_time") - F.make_dt_interval(secs=lag.cast("decimal(18,6)"))
+    return tables.fills(spark, sf).withColumn("business_time", moved)
+
+
+def lag_sketches(spark, sf):
+    """Percentiles of the ingest lag from one stored sketch for each day: of all days, and of
+    some; how near they are is held against one exact count."""
+    fills = _spread_times(spark, sf)
+    path = fresh_path(spark, "lags")
+    audits_by_day = sketches.lag_sketches(fills, "business_time", "exec_time")
+    audits_by_day.write.parquet(path)
+    stored = spark.read.schema(audits_by_day.schema).parquet(path)
+    last = F.to_date(F.lit(TRADE_DATE))
+    scopes = {
+        "all": (stored, fills),
+        "until": (stored.filter(F.col("trade_date") <= last),
+                  fills.filter(F.to_date("business_time") <= last)),
+    }
+    return reduce(DataFrame.unionByName, [
+        sketches.rank_errors(rows, "business_time", "exec_time", sketches.lag_percentiles(states)).select(
+            F.lit(scope).alias("scope"), F.col("p").cast("long").alias("p"), "n_rows",
+            (F.col("rank_error") <= sketches.KLL_ERROR).alias("near"))
+        for scope, (states, rows) in scopes.items()
+    ])
+
+
+def party_trade_sketches(spark, sf):
+    """Trades of each party from one stored state for each party and day, beside the exact
+    number: near if it is off by no more than the error of the states."""
+    sides = trades.both_sides(tables.reports(spark, sf), "uti", "reporting_timestamp")
+    day = F.to_date("reporting_timestamp").alias("day")
+    states = sketches.distinct_sketches(sides, "uti", ["party", day])
+    path = fresh_path(spark, "trades")
+    states.write.parquet(path)
+    merged = sketches.distinct_from(spark.read.schema(states.schema).parquet(path), ["party"])
+    exact = trades.trades_per_party(tables.reports(spark, sf))
+    off = F.abs(F.col("n_distinct") - F.col("n_trades"))
+    return merged.join(exact, "party").select(
+        "party", "n_rows", "n_trades",
+        (off <= F.col("n_trades") * sketches.HLL_ERROR + 1).alias("near"))
+
+
+def homonym_matrix(spark, sf):
+    """All pairs of identifier columns of fills, reports and clearing events."""
+    found = sketches.column_sketches({
+        "fills": (tables.fills(spark, sf), ["exec_id", "order_id", "executing_member"]),
+        "reports": (tables.reports(spark, sf), ["uti", "exec_id", "counterparty_1", "counterparty_2"]),
+        "clearing": (tables.clearing_events(spark, sf), ["event_id", "exec_id", "clearing_member_id"]),
+    })
+    return sketches.homonym_matrix(found).select("left_column", "right_column", "unlike")
+
+
 def dual_side_audit(spark, sf):
     """Reports of which some lack their mirrored row."""
     return audits.dual_side_audit(tables.reports(spark, sf).filter("offset % 160 <> 21"))
@@ -586,6 +721,9 @@ QUERIES: dict[str, Query] = {
     "assign_offsets": assign_offsets,
     "written_topic": written_topic,
     "field_drift": field_drift,
+    "type_drift": type_drift,
+    "variant_fields": variant_fields,
+    "observed_conformance": observed_conformance,
     "split_position_key": split_position_key,
     # projections and filters
     "both_sides": _reports(lambda r: trades.both_sides(r, "report_id", "uti")),
@@ -641,6 +779,7 @@ QUERIES: dict[str, Query] = {
     # joins
     "fills_with_orders": fills_with_orders,
     "notional_by_underlying": notional_by_underlying,
+    "notional_as_of": notional_as_of,
     "reports_with_fills": reports_with_fills,
     "clearing_with_fills": clearing_with_fills,
     "pair_transfers": lambda spark, sf: trades.pair_transfers(tables.clearing_events(spark, sf)),
@@ -650,6 +789,9 @@ QUERIES: dict[str, Query] = {
         tables.orders(spark, sf), tables.line_fills(spark, sf), "order_id"
     ),
     "homonym_audit": homonym_audit,
+    "homonym_matrix": homonym_matrix,
+    "lag_sketches": lag_sketches,
+    "party_trade_sketches": party_trade_sketches,
     "dual_side_audit": dual_side_audit,
     "order_audit": lambda spark, sf: audits.order_audit(
         _shuffled_time(spark, sf), POSITION_KEY, "business_time"

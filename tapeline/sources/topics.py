@@ -165,6 +165,34 @@ def field_drift(envelopes: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
+def type_drift(envelopes: DataFrame, contract: Contract) -> DataFrame:
+    """The types in which payload fields arrive, over all records of a topic.
+
+    One row per field that was sent or declared: records that carry it, whether it is
+    declared, its type over all records as JSON knows types (``seen``, null if it was never
+    sent), and ``mixed`` if no one type holds what was sent: the same field as text and as
+    a number, say. Numbers of different precision are one type. Nulls have none.
+    """
+    whole = envelopes.select(F.try_parse_json("value").alias("v")).filter(
+        F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    fields = whole.lateralJoin(
+        envelopes.sparkSession.tvf.variant_explode(F.col("v").outer())).select("key", "value")
+    found = fields.groupBy(F.col("key").alias("field")).agg(
+        F.count("*").alias("n_records"), F.schema_of_variant_agg("value").alias("seen"))
+    names = F.array(*[F.lit(n) for n in contract.schema.names])
+    declared = envelopes.sparkSession.range(1).select(
+        F.explode(names).alias("field"), F.lit(0).cast("long").alias("n_records"),
+        F.lit(None).cast("string").alias("seen"))
+    # A field has a row of each kind at most.
+    return (
+        found.withColumn("d", F.lit(False)).unionByName(declared.withColumn("d", F.lit(True)))
+        .groupBy("field")
+        .agg(F.sum("n_records").alias("n_records"), F.bool_or("d").alias("declared"),
+             F.max("seen").alias("seen"))
+        .withColumn("mixed", F.coalesce(F.col("seen").contains("VARIANT"), F.lit(False)))
+    )
+
+
 def register_topics(topics: Mapping[str, DataFrame]) -> None:
     """Makes decoded topics queryable under their own names.
 
