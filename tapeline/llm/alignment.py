@@ -37,14 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeline.llm.batches import slices, texts_of
-from tapeline.llm.byte_bpe import byte_table
 from tapeline.llm.pieces import (
-    CODE_POINTS, END, PieceEncoder, file_encoder, packed_classes, serial_library,
+    CODE_POINTS, END, PieceEncoder, byte_names, file_encoder, packed_classes, serial_library,
 )
 from tapeline.llm.shared import written
 
-BLOCK_BYTES = 2 << 20
-MOST_PIECES = 300_000
+BLOCK_BYTES = 3 << 19
+MOST_PIECES = 400_000
 
 
 def before_blanks(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -105,7 +104,7 @@ def byte_encoder(path: str, classes: bytes) -> tuple[PieceEncoder, list[bytes]]:
     serial_library()
     from tokenizers import Tokenizer
 
-    byte_of = {c: b for b, c in enumerate(byte_table())}
+    byte_of = {c: b for b, c in enumerate(byte_names())}
     vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
     spelled = [b""] * (max(vocabulary.values()) + 1)
     for name, i in vocabulary.items():

@@ -6,7 +6,9 @@ decoding reverses the byte table. Texts are cut by the public pattern first; eve
 is encoded alone, whole pieces of the vocabulary by their own id.
 
 Null and empty texts have no tokens. Repeated rows and ids are encoded row by row. Texts
-are processed whole; a text is one row of one batch.
+are processed whole; a text is one row of one batch, and memory grows with the longest. An
+empty table gives an empty result. Columns other than the key and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeline.llm.batches import slices, texts_of
-from tapeline.llm.pieces import PieceEncoder, packed_classes, serial_library, unpacked
-
-
-def byte_table() -> list[str]:
-    """The character for each byte: printable ones stand for themselves, the others are
-    counted up from 256."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+from tapeline.llm.pieces import (
+    PieceEncoder, byte_names, packed_classes, serial_library, unpacked,
+)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +54,7 @@ class Codec:
         from tokenizers import Tokenizer, decoders, models
 
         ranks = read_ranks(path)
-        table = byte_table()
+        table = byte_names()
         shown = {t: "".join(table[b] for b in t) for t in ranks}
         model = models.BPE(
             vocab={shown[t]: r for t, r in ranks.items()},

@@ -1,13 +1,17 @@
 """Quality by a byte-level convolutional network in numpy.
 
-Bytes are embedded, and learned filters slide over them. A text is covered whole by
-overlapping chunks of ``CHUNK`` bytes; in a chunk each filter gives its largest and its mean
-response, a hidden layer combines them, and each hidden unit keeps its largest value over
-all chunks. One logistic unit makes the probability of good quality from these.
+Bytes are embedded, and learned filters slide over them, byte by byte. A text is covered
+whole by overlapping chunks of ``CHUNK`` bytes, each of which shares more bytes with the next
+than a filter is wide, so every window of the text is seen. In a chunk each filter gives its
+largest and its mean response, a hidden layer combines them, and each hidden unit keeps its
+largest value over all chunks. One logistic unit makes the probability of good quality.
 
-Chunks are processed in blocks, so a text of any length needs memory for one block. Null
+Training takes ``STEPS`` steps of ``BATCH`` texts, whatever the size of the sample.
+
+Chunks are processed in blocks, so a text of any length needs memory for one stretch. Null
 and empty texts are one chunk of padding. Repeated rows are scored row by row. Without
-labels the weights are the first random ones.
+labels the weights are the first random ones. An empty table gives an empty result. Columns
+of ``docs`` other than the key and the text are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from tapeline.llm.batches import slices, texts_of
 from tapeline.llm.labelled import fitted, remainder, sample
 
 CHUNK, STEP = 128, 96
-EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 8, 2, 16, 12
-WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
-BLOCK = 2048
+EMBED, WIDTH, FILTERS, HIDDEN = 4, 8, 16, 12
+WINDOWS = CHUNK - WIDTH + 1
+# Chunks of a block, whose windows fit a core's cache, and of a stretch of a long text.
+BLOCK, STRETCH = 64, 2048
+STEPS, BATCH = 1000, 32
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +62,23 @@ def _windows(w: dict, rows: np.ndarray) -> np.ndarray:
     """Embedded windows of chunks, a row each."""
     embedded = w["embed"][rows].reshape(len(rows), CHUNK * EMBED)
     view = np.lib.stride_tricks.sliding_window_view(embedded, WIDTH * EMBED, axis=1)
-    return view[:, :: STRIDE * EMBED].reshape(len(rows) * WINDOWS, WIDTH * EMBED)
+    return view[:, ::EMBED].reshape(len(rows) * WINDOWS, WIDTH * EMBED)
 
 
 def forward(w: dict, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows, responses (a row for each filter), their largest and mean, and hidden values."""
     windows = _windows(w, rows)
-    response = np.maximum(windows @ w["filters"] + w["bias"], 0).reshape(len(rows), WINDOWS, FILTERS)
-    pooled = np.concatenate([response.max(axis=1), response.mean(axis=1)], axis=1)
+    response = (w["filters"].T @ windows.T).reshape(FILTERS, len(rows), WINDOWS)
+    response += w["bias"][:, None, None]
+    np.maximum(response, 0, out=response)
+    pooled = np.concatenate([response.max(axis=2), response.sum(axis=2) / np.float32(WINDOWS)]).T
     return windows, response, pooled, pooled @ w["mix"] + w["mix_bias"]
 
 
+def _hidden(w: dict, rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([forward(w, rows[at : at + BLOCK])[3] for at in range(0, len(rows), BLOCK)])
+
+
 def _tops(hidden: np.ndarray, owners: np.ndarray, count: int) -> np.ndarray:
     """Largest hidden values over each text's chunks."""
     starts = np.searchsorted(owners, np.arange(count))
@@ -76,14 +89,12 @@ def probability(w: dict, texts: list[bytes]) -> np.ndarray:
     """The probability of good quality of each text."""
     # Long texts are taken in stretches that begin at a chunk, so memory stays one block.
     top = np.full((len(texts), HIDDEN), -np.inf, dtype=np.float32)
-    stretch = STEP * BLOCK
+    stretch = STEP * STRETCH
     parts, owners, size = [], [], 0
 
     def flush() -> None:
         rows, owner = chunks(parts)
-        hidden = np.concatenate([
-            forward(w, rows[at : at + BLOCK])[3] for at in range(0, len(rows), BLOCK)])
-        own = _tops(hidden, owner, len(parts))
+        own = _tops(_hidden(w, rows), owner, len(parts))
         np.maximum.at(top, np.array(owners), own)
 
     for k, raw in enumerate(texts):
@@ -101,40 +112,40 @@ def probability(w: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(
-    texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 800,
-    most_epochs: int = 100, batch: int = 32, rate: float = 0.01, seed: int = 2,
+    texts: list[str], labels: list[int], steps: int = STEPS, batch: int = BATCH,
+    rate: float = 0.01, seed: int = 2,
 ) -> bytes:
-    """Trained weights as bytes: logistic loss, Adam, in a fixed order.
-
-    A sample is seen ``epochs`` times, a small one more often: as often as ``least_steps``
-    need, but at most ``most_epochs`` times.
-    """
+    """Trained weights as bytes: logistic loss, Adam, in a fixed order, round after round of
+    the sample. The last third of the steps is shorter."""
     w = first_weights(seed)
-    epochs = max(epochs, min(most_epochs, -(-least_steps * batch // max(1, len(texts)))))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     raws = [t.encode("utf-8", "replace") for t in texts]
     rng = np.random.default_rng(seed)
-    step = 0
-    weight = {0: 1.0, 1: 1.0}
-    for value in (0, 1):
-        weight[value] = len(labels) / (2 * max(1, sum(x == value for x in labels)))
-    for epoch in range(epochs):
-        order = rng.permutation(len(raws))
-        for first in range(0, len(order), batch):
-            chosen = order[first : first + batch]
-            rows, owners = chunks([raws[k] for k in chosen])
-            truth = np.array([labels[k] for k in chosen], dtype=np.float32)
-            step += 1
-            slope = rate * (0.3 if epoch >= epochs - 2 else 1.0)
-            _descend(w, moments, rows, owners, truth,
-                     np.array([weight[labels[k]] for k in chosen], np.float32), step, slope)
+    weight = [len(labels) / (2 * max(1, sum(x == value for x in labels))) for value in (0, 1)]
+    order = np.empty(0, dtype=np.int64)
+    for step in range(1, steps + 1 if raws else 1):
+        while len(order) < batch:
+            order = np.append(order, rng.permutation(len(raws)))
+        chosen, order = order[:batch].tolist(), order[batch:]
+        rows, owners = chunks([raws[k] for k in chosen])
+        truth = np.array([labels[k] for k in chosen], dtype=np.float32)
+        shares = np.array([weight[labels[k]] for k in chosen], dtype=np.float32)
+        grad = gradient(w, rows, owners, truth, shares)
+        for name, g in grad.items():
+            m, v = moments[name]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            move = (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w[name] -= (rate if 3 * step <= 2 * steps else 0.3 * rate) * move
     return pickle.dumps(w)
 
 
-def _descend(w, moments, rows, owners, truth, weight, step, rate) -> None:
+def gradient(
+    w: dict, rows: np.ndarray, owners: np.ndarray, truth: np.ndarray, weight: np.ndarray
+) -> dict[str, np.ndarray]:
+    """The gradient of the mean weighted loss of the texts ``owners`` of the chunks ``rows``."""
     count = len(truth)
-    hidden = np.concatenate([
-        forward(w, rows[at : at + BLOCK])[3] for at in range(0, len(rows), BLOCK)])
+    hidden = _hidden(w, rows)
     top = _tops(hidden, owners, count)
     total = np.maximum(top, 0) @ w["out"] + w["out_bias"][0]
     error = (1 / (1 + np.exp(-np.clip(total, -35, 35))) - truth) * weight / count
@@ -151,24 +162,22 @@ def _descend(w, moments, rows, owners, truth, weight, step, rate) -> None:
         h = back[owners[k]] * hits[k]
         grad["mix"] += pooled.T @ h
         grad["mix_bias"] += h.sum(axis=0)
-        p = h @ w["mix"].T
-        r = np.repeat(p[:, None, FILTERS:] / WINDOWS, WINDOWS, axis=1)
-        best = response.argmax(axis=1)
-        chunk = np.arange(len(k))[:, None]
-        r[chunk, best, np.arange(FILTERS)] += p[:, :FILTERS]
-        r = (r * (response > 0)).reshape(-1, FILTERS)
-        grad["filters"] += windows.T @ r
-        grad["bias"] += r.sum(axis=0)
-        e = (r @ w["filters"].T).reshape(len(k), WINDOWS, WIDTH, EMBED)
-        places = np.arange(WINDOWS)[:, None] * STRIDE + np.arange(WIDTH)
-        values = rows[k][:, places].ravel()
+        p = (h @ w["mix"].T).T
+        r = np.repeat(p[FILTERS:, :, None] / np.float32(WINDOWS), WINDOWS, axis=2)
+        best = response.argmax(axis=2)
+        r[np.arange(FILTERS)[:, None], np.arange(len(k)), best] += p[:FILTERS]
+        r = (r * (response > 0)).reshape(FILTERS, -1)
+        grad["filters"] += (r @ windows).T
+        grad["bias"] += r.sum(axis=1)
+        e = (r.T @ w["filters"].T).reshape(len(k), WINDOWS, WIDTH, EMBED)
+        # Sums for each byte of a chunk over the windows it lies in, then for each value.
+        place = np.zeros((len(k), CHUNK, EMBED), dtype=e.dtype)
+        for shift in range(WIDTH):
+            place[:, shift : shift + WINDOWS] += e[:, :, shift]
+        values = rows[k].ravel()
         for d in range(EMBED):
-            grad["embed"][:, d] += np.bincount(values, e[..., d].ravel(), minlength=257)
-    for name, g in grad.items():
-        m, v = moments[name]
-        m += 0.1 * (g - m)
-        v += 0.001 * (g * g - v)
-        w[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            grad["embed"][:, d] += np.bincount(values, place[..., d].ravel(), minlength=257)
+    return grad
 
 
 def model(
@@ -176,7 +185,8 @@ def model(
     text: str = "text",
 ) -> bytes:
     """Learned from at most ``most`` rows of each label, none of the held-out fold."""
-    return fitted(sample(docs, labels, "quality", remainder(key, 4) != 2, most, key, text), fit)
+    return fitted(
+        sample(docs, labels, "quality", remainder(key, 4) != 2, most, key, text), "text", fit)
 
 
 def score(docs: DataFrame, fitted_model: bytes, key: str = "doc_id", text: str = "text",

@@ -43,12 +43,18 @@ def sample(
     )
 
 
-def fitted(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:
-    """What ``fit`` makes of the bounded sample, in one task on an executor."""
+def fitted(rows: DataFrame, column: str, fit: Callable[[list, list[int]], bytes]) -> bytes:
+    """What ``fit`` makes of ``column`` and ``label`` of the bounded sample, in one task on an
+    executor, in an order that depends on the rows alone."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["text", "label"], kind="stable")
-        model = fit(frame["text"].tolist(), [int(x) for x in frame["label"]])
+        own = frame[column].tolist()
+        order = sorted(range(len(own)), key=lambda k: (_sortable(own[k]), frame["label"][k]))
+        model = fit([own[k] for k in order], [int(frame["label"][k]) for k in order])
         return pd.DataFrame({"model": [model]})
 
     found = rows.groupBy().applyInPandas(run, "model binary").collect()
     return bytes(found[0]["model"]) if found else fit([], [])
+
+
+def _sortable(value) -> bytes:
+    return value.encode("utf-8", "replace") if isinstance(value, str) else value.tobytes()

@@ -5,8 +5,12 @@ then into the powers of two of what is left. Every piece is a sequence of its ow
 sequence crosses documents and none is padded. Sequences of equal length form a bucket:
 their ids lie in one range, and ``write_buckets`` puts them into one folder.
 
-Null and empty texts give the closing id alone, one piece of length 1. Repeated rows are
-packed row by row. No row is moved: the plan has no shuffle.
+Ids are those of the library without special tokens around a text; the string of an added
+token inside a text is that token, as the library has it. Null and empty texts give the
+closing id alone, one piece of length 1. Repeated rows are packed row by row. Texts are
+packed whole; memory grows with the longest. An empty table gives an empty result. Columns
+other than the key and the text are ignored, whatever their names. No row is moved: the plan
+has no shuffle.
 """
 
 from __future__ import annotations
@@ -22,16 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeline.llm.batches import slices, texts_of
-from tapeline.llm.pieces import PieceEncoder, file_encoder, packed_classes
+from tapeline.llm.pieces import AddedTokens, file_encoder, packed_classes
 
 # 2^33 rows in a partition, below them; 2^25 partitions; the bucket above both.
 BUCKET_SHIFT = 58
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, classes: bytes) -> PieceEncoder:
+def encoder(path: str, classes: bytes) -> AddedTokens:
     """One encoder for each file and Python worker."""
-    return file_encoder(path, classes)
+    return AddedTokens(path, file_encoder(path, classes))
 
 
 def decompose(total: int, largest: int) -> list[int]:

@@ -9,6 +9,7 @@ and space classes are asked from the library itself, so that its Unicode version
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Sequence
 from functools import lru_cache
@@ -215,15 +216,74 @@ def serial_library() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+def byte_names() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for
+    themselves, the others are counted up from 256."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 def file_encoder(path: str, classes: bytes) -> PieceEncoder:
-    """An encoder for a ``tokenizers`` file of byte-level BPE with the public pattern."""
+    """An encoder for a ``tokenizers`` file of byte-level BPE with the public pattern. Added
+    tokens in a text are ordinary text."""
     serial_library()
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    # Pieces are cut already: the model takes them line by line. As characters of the byte
+    # table they hold no line ends of their own.
+    tokenizer = Tokenizer(Tokenizer.from_file(path).model)
+    tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    shown = str.maketrans({chr(b): c for b, c in enumerate(byte_names())})
+    vocabulary = tokenizer.get_vocab()
+    length = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    length[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lines = [p.encode("utf-8", "replace").decode("latin-1").translate(shown) for p in pieces]
+        ids = tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids
+        ends = np.cumsum(length[ids])
+        wanted = np.cumsum([len(line) for line in lines])
+        # Where the ids of each line end, if they spell it.
+        at = np.searchsorted(ends, wanted) + 1
+        if len(ids) and at[-1] == len(ids) and (ends[at - 1] == wanted).all():
+            return [ids[i:j] for i, j in zip([0, *at.tolist()], at.tolist())]
+        return [e.ids for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
 
     return PieceEncoder(encode, unpacked(classes))
+
+
+class AddedTokens:
+    """An encoder before which the added tokens of its file are taken out of the texts, as the
+    library does: each is one id, and what lies between is encoded as texts of its own."""
+
+    def __init__(self, path: str, encoder: PieceEncoder) -> None:
+        from tokenizers import Tokenizer
+
+        self.encoder, self.id_of = encoder, {}
+        for i, token in Tokenizer.from_file(path).get_added_tokens_decoder().items():
+            if token.lstrip or token.rstrip or token.single_word:
+                raise ValueError(f"added tokens that take their surroundings are not known: {token}")
+            self.id_of[token.content] = i
+        names = sorted(map(re.escape, self.id_of), key=len, reverse=True)
+        self.split = re.compile("|".join(names) or "(?!)")
+
+    def encode_texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end."""
+        found = [list(self.split.finditer(t)) if any(n in t for n in self.id_of) else [] for t in texts]
+        if not any(found):
+            return self.encoder.encode_texts(texts)
+        parts, owner, closing = [], [], []
+        for k, (text, tokens) in enumerate(zip(texts, found)):
+            at = 0
+            for token in [*tokens, None]:
+                parts.append(text[at : token.start() if token else len(text)])
+                owner.append(k)
+                closing.append([self.id_of[token[0]]] if token else [])
+                at = token.end() if token else at
+        ids, ends = self.encoder.encode_texts(parts)
+        lists, sizes = [], np.zeros(len(texts), dtype=np.int64)
+        for own, k, more in zip(np.split(ids, ends[:-1]), owner, closing):
+            lists += [own, np.array(more, dtype=ids.dtype)]
+            sizes[k] += len(own) + len(more)
+        return np.concatenate(lists), np.cumsum(sizes)

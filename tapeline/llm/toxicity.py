@@ -6,9 +6,14 @@ between, each hashed into ``2 ** BITS`` coordinates and present or not. The lear
 has a rate for each coordinate and an L1 penalty, so most weights are exactly zero, and the
 rest are a short list that goes along with the tasks that score.
 
-Every text is scored whole. Null and empty texts have no features and get the score of the
-bias alone. Without labels the model is empty and every score is 0.5 less a hair, predicted
-0. Repeated rows are scored row by row.
+Training shows ``EXAMPLES`` texts to the learner, round after round of the sample, whatever
+its size.
+
+Every text is scored whole, a word of any length as one word. Null and empty texts have no
+features and get the score of the bias alone. Without labels the model is empty and every
+score is 0.5 less a hair, predicted 0. Repeated rows are scored row by row. An empty table
+gives an empty result. Columns of ``docs`` other than the key and the text are carried or
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from tapeline.llm.labelled import fitted, remainder, sample
 
 BITS = 20
 CHUNK = 1 << 20
+EXAMPLES = 16_000
 _ODD = 0x9E3779B97F4A7C15
+_SPAN = pow(_ODD, CHUNK, 1 << 64)
 
 
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -51,32 +58,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
-def _chunk_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _terms(raw: np.ndarray) -> np.ndarray:
+    """What each byte adds to the hash of its word, counted from the start of ``raw``."""
+    return (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _POWER[: len(raw)]
+
+
+def _part_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of at most ``CHUNK`` bytes."""
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
     inside[1:-1] = _WORD[raw]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _POWER[: len(raw)], out=prefix[1:])
+    np.cumsum(_terms(raw), out=prefix[1:])
     return _mix((prefix[ends] - prefix[starts]) * _BACK[starts]), starts
 
 
+def _long_word(raw: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, by sums over its parts."""
+    total, scale = 0, 1
+    for at in range(0, len(raw), CHUNK):
+        total += scale * int(_terms(raw[at : at + CHUNK]).sum(dtype=np.uint64))
+        scale = scale * _SPAN % (1 << 64)
+    return _mix(np.array([total % (1 << 64)], dtype=np.uint64))
+
+
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of a buffer. Buffers are taken in parts that end between
-    words; only a single word longer than a part is cut."""
-    hashes, starts, at = [], [], 0
+    words; a word longer than a part is a part of its own."""
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(raw):
         stop = min(len(raw), at + CHUNK)
         if stop < len(raw):
             gaps = np.flatnonzero(~_WORD[raw[at:stop]])
-            stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
-        h, s = _chunk_words(raw[at:stop])
+            if not len(gaps):
+                while stop < len(raw) and _WORD[raw[stop : stop + CHUNK]].all():
+                    stop = min(len(raw), stop + CHUNK)
+                stop += int(np.argmin(np.append(_WORD[raw[stop : stop + CHUNK]], False)))
+                hashes.append(_long_word(raw[at:stop]))
+                starts.append(np.array([at]))
+                at = stop
+                continue
+            stop = at + int(gaps[-1]) + 1
+        h, s = _part_words(raw[at:stop])
         hashes.append(h)
         starts.append(s + at)
         at = stop
-    return np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate(
-        [np.empty(0, np.int64), *starts])
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,17 +126,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both & ((1 << BITS) - 1), both >> BITS
 
 
-def fit(
-    texts: list[str], labels: list[int], alpha: float = 0.6, beta: float = 1.0,
-    l1: float = 15.0, l2: float = 1.0, rounds: int = 3, least_examples: int = 3000,
-    most_rounds: int = 12, seed: int = 3,
+def fit_features(
+    rows: list[np.ndarray], labels: list[int], alpha: float = 0.6, beta: float = 1.0,
+    l1: float = 15.0, l2: float = 1.0, examples: int = EXAMPLES, seed: int = 3,
 ) -> bytes:
-    """Coordinates and weights other than zero, and the bias, as bytes.
-
-    A sample is seen ``rounds`` times, a small one more often: until ``least_examples``
-    were seen, but at most ``most_rounds`` times.
-    """
-    rounds = max(rounds, min(most_rounds, -(-least_examples // max(1, len(texts)))))
+    """Coordinates and weights other than zero, and the bias, as bytes, learned from the
+    coordinates of labelled texts, each seen about as often as the others."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
@@ -118,30 +141,38 @@ def fit(
         size = np.maximum(np.abs(own) - penalty, 0.0)
         return -np.sign(own) * size / ((beta + np.sqrt(n[at])) / alpha + l2)
 
-    examples = []
-    for first in range(0, len(texts), 256):
-        part = texts[first : first + 256]
-        found, owner = features(part)
-        cuts = np.searchsorted(owner, np.arange(1, len(part)))
-        examples += [np.append(own, bias).astype(np.int32) for own in np.split(found, cuts)]
-    order = np.random.default_rng(seed)
+    texts = [np.append(own, bias).astype(np.int32) for own in rows]
+    rng = np.random.default_rng(seed)
     share = [len(labels) / (2 * max(1, sum(x == y for x in labels))) for y in (0, 1)]
-    for _ in range(rounds):
-        for k in order.permutation(len(examples)).tolist():
-            at = examples[k]
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
-            g *= share[labels[k]]
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - step * w
-            n[at] += g * g
+    order: list[int] = []
+    while texts and len(order) < examples:
+        order += rng.permutation(len(texts)).tolist()
+    for k in order[:examples]:
+        at = texts[k]
+        w = weights(at)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
+        g *= share[labels[k]]
+        step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
+        z[at] += g - step * w
+        n[at] += g * g
     # Without examples nothing is toxic.
-    w = weights(np.arange((1 << BITS) + 1)) if examples else np.zeros((1 << BITS) + 1)
-    start = float(w[bias]) if examples else -1e-6
+    w = weights(np.arange((1 << BITS) + 1)) if texts else np.zeros((1 << BITS) + 1)
+    start = float(w[bias]) if texts else -1e-6
     kept = np.flatnonzero(w[:bias])
     return pickle.dumps((kept.astype(np.int32), w[kept].astype(np.float32), start))
 
 
+def fit(texts: list[str], labels: list[int], **settings) -> bytes:
+    """``fit_features`` of the features of texts."""
+    return fit_features(_split(texts), labels, **settings)
+
+
+def _split(texts: list[str]) -> list[np.ndarray]:
+    """The features of each text."""
+    found, owner = features(texts)
+    return np.split(found, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
+
+
 def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     found, owner = features(texts)
     total = np.bincount(owner, weights=weights[found], minlength=len(texts)) + bias
@@ -152,8 +183,19 @@ def model(
     docs: DataFrame, labels: DataFrame, most: int = 8000, key: str = "doc_id",
     text: str = "text",
 ) -> bytes:
-    """Learned from at most ``most`` rows of each label, none of the held-out fold."""
-    return fitted(sample(docs, labels, "toxic", remainder(key, 5) != 0, most, key, text), fit)
+    """Learned from at most ``most`` rows of each label, none of the held-out fold. Features
+    are made where the texts lie; the one task that learns gets only these."""
+    chosen = sample(docs, labels, "toxic", remainder(key, 5) != 0, most, key, text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            found = [x.astype(np.int32) for x in _split(texts_of(part, "text"))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.int32())), part.column("label")], ["found", "label"])
+
+    made = chosen.mapInArrow(run, "found array<int>, label int")
+    return fitted(made, "found", lambda rows, labels: fit_features(
+        [np.asarray(x, dtype=np.int64) for x in rows], labels))
 
 
 def score(docs: DataFrame, fitted_model: bytes, key: str = "doc_id", text: str = "text",

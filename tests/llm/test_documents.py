@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import zlib
 
@@ -179,11 +180,139 @@ def test_network_sees_the_whole_text():
     assert bytes((rows[-1][rows[-1] > 0] - 1).astype(np.uint8)) == raw[-int((rows[-1] > 0).sum()):]
 
 
-def test_network_gradient():
-    """Analytic steps lower the loss."""
+def plain_forward(w, raw: bytes) -> float:
+    """The network by plain loops over every window of every chunk."""
+    line = [b + 1 for b in raw]
+    count = max(1, -(-max(0, len(raw) - (byte_cnn.CHUNK - byte_cnn.STEP)) // byte_cnn.STEP))
+    line += [0] * ((count - 1) * byte_cnn.STEP + byte_cnn.CHUNK - len(line))
+    top = [-np.inf] * byte_cnn.HIDDEN
+    for c in range(count):
+        own = line[c * byte_cnn.STEP : c * byte_cnn.STEP + byte_cnn.CHUNK]
+        largest, total = [0.0] * byte_cnn.FILTERS, [0.0] * byte_cnn.FILTERS
+        windows = byte_cnn.CHUNK - byte_cnn.WIDTH + 1
+        for at in range(windows):
+            window = np.concatenate([w["embed"][own[at + k]] for k in range(byte_cnn.WIDTH)])
+            for f in range(byte_cnn.FILTERS):
+                r = max(0.0, float(window @ w["filters"][:, f] + w["bias"][f]))
+                largest[f], total[f] = max(largest[f], r), total[f] + r
+        pooled = np.array(largest + [t / windows for t in total])
+        for h in range(byte_cnn.HIDDEN):
+            top[h] = max(top[h], float(pooled @ w["mix"][:, h] + w["mix_bias"][h]))
+    score = sum(max(0.0, t) * float(o) for t, o in zip(top, w["out"])) + float(w["out_bias"][0])
+    return 1 / (1 + np.exp(-score))
+
+
+def test_network_equals_plain_loops():
+    w = byte_cnn.first_weights(3)
+    w["bias"] += 0.05
+    w["mix_bias"] -= 0.02
+    texts = [b"", b"x", b"some words, 12", bytes(range(256)), b"abc " * 70]
+    got = byte_cnn.probability(w, texts)
+    assert np.allclose(got, [plain_forward(w, t) for t in texts], atol=1e-5)
+
+
+def test_every_window_is_seen():
+    """A pattern that one filter answers is found at every place of a text."""
+    w = {k: np.zeros_like(v) for k, v in byte_cnn.first_weights(1).items()}
+    w["embed"][ord("!") + 1, 0] = 1
+    w["filters"][:: byte_cnn.EMBED, 0] = 1
+    w["bias"][0] = -7.5
+    w["mix"][0, 0] = w["out"][0] = 10
+    for at in (*range(0, 20), 119, 120, 121, 127, 128, 300, 491, 492):
+        text = b"." * at + b"!" * 8 + b"." * (492 - at)
+        assert byte_cnn.probability(w, [text, b"." * 500])[0] > 0.9, at
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(5)
+    w = {k: v.astype(np.float64) + (0.03 if v.ndim == 1 else 0) for k, v in byte_cnn.first_weights(2).items()}
+    raws = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 30, 300, 700)]
+    rows, owners = byte_cnn.chunks(raws)
+    truth, weight = np.array([0.0, 1, 1, 0]), np.array([1.0, 0.5, 2, 1])
+
+    def loss():
+        hidden = np.concatenate([byte_cnn.forward(w, rows[i : i + 64])[3] for i in range(0, len(rows), 64)])
+        top = np.stack([hidden[owners == k].max(axis=0) for k in range(4)])
+        p = 1 / (1 + np.exp(-(np.maximum(top, 0) @ w["out"] + w["out_bias"][0])))
+        return -(weight * (truth * np.log(p) + (1 - truth) * np.log(1 - p))).mean()
+
+    grad = byte_cnn.gradient(w, rows, owners, truth, weight)
+    for name, g in grad.items():
+        places = np.argsort(-np.abs(g).ravel())[:3].tolist() + rng.integers(0, g.size, 3).tolist()
+        for at in places:
+            spot, step = np.unravel_index(at, g.shape), 1e-6
+            w[name][spot] += step
+            high = loss()
+            w[name][spot] -= 2 * step
+            low = loss()
+            w[name][spot] += step
+            assert abs((high - low) / (2 * step) - g[spot]) < 1e-5 + 1e-3 * abs(g[spot]), name
+
+
+def test_network_learns():
     texts = ["clean words here " * 20, "bad*** words&&& here### " * 20] * 10
-    import pickle
-
-    w = pickle.loads(byte_cnn.fit(texts, [1, 0] * 10, epochs=30, batch=20))
+    w = pickle.loads(byte_cnn.fit(texts, [1, 0] * 10, steps=40, batch=20))
     scores = byte_cnn.probability(w, [t.encode() for t in texts[:2]])
     assert scores[0] > 0.9 and scores[1] < 0.1
+
+
+def plain_features(text: str) -> set:
+    """Words, pairs and pairs over one word, by plain loops."""
+    raw, words, at = text.encode(), [], 0
+    lower = raw.lower()
+    is_word = [b >= 128 or chr(b).isalnum() for b in raw]
+    while at < len(raw):
+        end = at
+        while end < len(raw) and is_word[end]:
+            end += 1
+        if end > at:
+            words.append(lower[at:end])
+        at = max(end, at + 1)
+    found = {(w,) for w in words}
+    found |= {(1, a, b) for a, b in zip(words, words[1:])}
+    return found | {(2, a, b) for a, b in zip(words, words[2:])}
+
+
+def test_features_equal_plain_loops():
+    """The same number of features, equal where and only where the plain ones are."""
+    rng = random.Random(7)
+    names = ["Alpha", "beta", "ALPHA", "é", "x1", "-", "..", "日本", "a" * 50]
+    texts = [" ".join(rng.choice(names) for _ in range(rng.randint(0, 12))) for _ in range(200)] + [
+        "", "-", "y" * (3 << 20), "y" * (3 << 20) + " tail", ("z" * 1500 + " ") * 1500]
+    coordinates, owner = toxicity.features(texts)
+    plain = [plain_features(t) for t in texts]
+    own = [set(coordinates[owner == k].tolist()) for k in range(len(texts))]
+    assert [len(x) for x in own] == [len(x) for x in plain]
+    for i in range(0, 200, 3):
+        for j in range(i + 1, 200, 17):
+            assert len(own[i] & own[j]) == len(plain[i] & plain[j])
+
+
+def test_ftrl_equals_plain_loops():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(6)) + (" foul word" if i % 3 == 0 else "")
+             for i in range(60)]
+    labels = [int(i % 3 == 0) for i in range(60)]
+    kept, weights, bias = pickle.loads(toxicity.fit(texts, labels, l1=0.5, examples=150, seed=3))
+    z, n, top = {}, {}, 1 << toxicity.BITS
+    examples = [sorted(set(toxicity.features([t])[0].tolist())) + [top] for t in texts]
+
+    def weight(i):
+        size = max(abs(z.get(i, 0.0)) - (0.0 if i == top else 0.5), 0.0)
+        return -np.sign(z.get(i, 0.0)) * size / ((1.0 + n.get(i, 0.0) ** 0.5) / 0.6 + 1.0)
+
+    order = np.random.default_rng(3)
+    seen, share = [], [60 / (2 * labels.count(y)) for y in (0, 1)]
+    while len(seen) < 150:
+        seen += order.permutation(60).tolist()
+    for k in seen[:150]:
+        w = {i: weight(i) for i in examples[k]}
+        g = (1 / (1 + np.exp(-sum(w.values()))) - labels[k]) * share[labels[k]]
+        for i in examples[k]:
+            step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.6
+            z[i] = z.get(i, 0.0) + g - step * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if i != top and weight(i)}
+    assert dict(zip(kept.tolist(), weights.tolist())).keys() == want.keys()
+    assert all(abs(want[i] - v) < 1e-6 for i, v in zip(kept.tolist(), weights.tolist()))
+    assert abs(bias - weight(top)) < 1e-9

@@ -97,7 +97,6 @@ def test_packing_against_the_library(documents, odd_texts, tokenizer_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path)
-    library.encode_special_tokens = True
     rows = packing.pack(documents, tokenizer_path).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
     assert {r["offset"] for r in rows} == {0}
@@ -119,6 +118,20 @@ def test_packing_against_the_library(documents, odd_texts, tokenizer_path):
         assert max(lengths[low]) < min(lengths[high])
 
 
+def test_added_tokens_in_a_text_are_the_library_s(tokenizer_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path)
+    own = packing.encoder(tokenizer_path, pieces.packed_classes())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}  y", f"{end}\n", "", f"don't{end}'s", "<|endoftext|",
+             "plain text", f" {end}é"]
+    for some in (texts, texts[:1], texts[5:6], texts[7:9]):
+        ids, ends = own.encode_texts(some)
+        for text, found in zip(some, np.split(ids, ends[:-1])):
+            assert found.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_the_pipeline_writes_token_ids(spark, documents, tokenizer_path):
     import corpus_pipeline
 
