@@ -11,18 +11,22 @@ Equal vectors are compared once and counted with their number. What leaves a tas
 link counts for each vector and a star of edges for each local group, never all pairs. A
 filter with many vectors is cut into blocks and its block pairs are tasks of their own.
 
-Vectors that are null, zero, or hold null or non-finite components, or whose length is
-not that of the code, link with nothing. Repeated ids are kept as rows; they share the
-smallest id's component as any other link does.
+Every width of vector has codes of its own, and vectors of unlike width never meet. Vectors
+that are null, zero, or hold null or non-finite components link with nothing, nor do rows
+without an id. Repeated ids are kept as rows; they share the smallest id's component as any
+other link does. Ties cannot arise. An empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ class ProductCodes:
 
     def __init__(self, dims: int, size: int, passing: float, tables: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
+        # A single component is a vector of the plane.
+        self.dims = dims = max(2, dims)
         self.size, self.tables = size, []
         for _ in range(tables):
             turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
@@ -53,6 +59,7 @@ class ProductCodes:
         """Row numbers and filter numbers, all filters a row passes. A row that passes none
         in a table gets its best one there."""
         rows, filters = [], []
+        unit = np.pad(unit, ((0, 0), (0, self.dims - unit.shape[1])))
         for t, (left, right) in enumerate(self.tables):
             a, b = unit @ left, unit @ right
             best = b.max(axis=1)
@@ -84,22 +91,42 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filter_rows(codes: ProductCodes) -> Callable:
+@lru_cache(maxsize=64)
+def codes_of(dims: int, size: int, passing: float, tables: int, seed: int) -> ProductCodes:
+    """The filters for vectors of one width."""
+    return ProductCodes(dims, size, passing, tables, seed)
+
+
+def by_width(part: pa.RecordBatch, vector: str = "vector") -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each width of vector."""
+    widths = pc.list_value_length(part.column(vector)).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths).tolist():
+        yield width, part.filter(pa.array(widths == width))
+
+
+def _filter_rows(settings: tuple) -> Callable:
+    size, _, tables, _ = settings
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows, filters = codes.passed(unit_rows(vectors_of(part.column("vector"))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(filters, pa.int32()), part.column("number").take(pa.array(rows))],
-                    ["filter", "number"])
+                for width, part in by_width(batch.slice(at, 512)):
+                    codes = codes_of(width, *settings)
+                    rows, filters = codes.passed(unit_rows(vectors_of(part.column("vector"))))
+                    # Filters of all widths are numbered one after the other.
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(filters + width * tables * size**2, pa.int64()),
+                         part.column("number").take(pa.array(rows))], ["filter", "number"])
 
     return run
 
 
-def _compare(codes: ProductCodes, least: float) -> Callable:
+def _compare(settings: tuple, least: float) -> Callable:
+    size, _, tables, _ = settings
+
     def run(table: pa.Table) -> pa.Table:
-        own = int(table.column("filter")[0].as_py())
+        width, own = divmod(int(table.column("filter")[0].as_py()), tables * size**2)
+        codes = codes_of(width, *settings)
         one_block = table.column("left")[0].as_py() == table.column("right")[0].as_py()
         ids = table.column("id").to_numpy()
         copies = table.column("copies").to_numpy()
@@ -140,17 +167,16 @@ def _compare(codes: ProductCodes, least: float) -> Callable:
 
 def near_duplicates(
     table: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-    dims: int = 64, size: int = 64, passing: float = 15.0, tables: int = 4,
-    block_rows: int = 1024, seed: int = 7,
+    size: int = 64, passing: float = 15.0, tables: int = 4, block_rows: int = 1024, seed: int = 7,
 ) -> DataFrame:
     """``key``, ``n_links``, ``component_id``, ``kept`` for every row of ``table``.
 
     ``size``, ``passing`` and ``tables`` set the recall: with the defaults a pair at exactly
     0.9 shares a filter in about 999 of 1000 cases, one at 0.95 practically always.
     """
-    codes = ProductCodes(dims, size, passing, tables, seed)
+    settings = (size, passing, tables, seed)
     source = table.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
-    linkable = source.filter(usable("vector") & (F.size("vector") == dims) & F.col("id").isNotNull())
+    linkable = source.filter(usable("vector") & F.col("id").isNotNull())
     # One row for each different vector. Adding 0 makes -0.0 and 0.0 the same.
     values = F.transform("vector", lambda x: x.cast("double") + 0.0)
     members = linkable.withColumn("class", F.sha2(F.array_join(values, ",").cast("binary"), 256))
@@ -164,11 +190,11 @@ def near_duplicates(
                        "vector"), "vector-numbers")
     passed = written(
         numbered.select("number", "vector").mapInArrow(
-            _filter_rows(codes), "filter int, number bigint"), "filters")
+            _filter_rows(settings), "filter bigint, number bigint"), "filters")
     counts = passed.groupBy("filter").agg(
         F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    # At most size^2 * tables rows: the bound of this broadcast.
-    placed = passed.join(F.broadcast(counts), "filter").withColumn(
+    # At most size^2 * tables rows for each width: broadcast only while their written size is small.
+    placed = passed.join(written(counts, "filter-sizes"), "filter").withColumn(
         "block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = placed.select("*", others).join(
@@ -178,7 +204,7 @@ def near_duplicates(
         F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     found = written(
         paired.groupBy("filter", "left", "right").applyInArrow(
-            _compare(codes, least), "u bigint, v bigint, n bigint"), "links")
+            _compare(settings, least), "u bigint, v bigint, n bigint"), "links")
     links = found.filter("n > 0").groupBy(F.col("u").alias("number")).agg(F.sum("n").alias("links"))
     edges = found.filter("n = 0").select("u", "v").distinct()
     rooted = written(
@@ -198,8 +224,7 @@ def near_duplicates(
         .select("id", "n_links", "component_id")
     )
     alone = source.filter(
-        ~(usable("vector") & (F.size("vector") == dims)) | F.col("id").isNull()
-        | F.col("vector").isNull()
+        ~usable("vector") | F.col("id").isNull()
     ).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(
         F.col("id").alias(key), "n_links", "component_id",

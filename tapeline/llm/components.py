@@ -15,17 +15,35 @@ from pyspark.sql import functions as F
 from tapeline.llm.shared import written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+LEAST_HOT = 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """Each edge with ``m`` of its node ``u``. A node with more than ``hot`` edges is dealt to as
+    many slices as that takes, and its one row of ``least`` is repeated for each, so a star's
+    centre is not one task."""
+    slices = F.ceil(F.col("n") / hot).cast("int")
+    # ``hot`` is a thousandth of the edges at least, so 2,000 nodes at most have more: the
+    # bound of this broadcast.
+    centres = F.broadcast(least.filter(F.col("n") > hot).select("u", slices.alias("slices")))
+    dealt = edges.join(centres, "u", "left").withColumn(
+        "slice", F.pmod(F.xxhash64("v"), F.coalesce("slices", F.lit(1))).cast("int"))
+    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    return dealt.join(copies, ["u", "slice"]).select("u", "v", "m")
+
+
+def _large_star(edges: DataFrame, hot: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest id around the node."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: int) -> DataFrame:
     """``u`` > ``v`` holds. Links a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, hot).filter("v <> m").select(
+        F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -47,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(now, "edges")
     mark = _mark(now)
     while mark[0]:
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        hot = max(LEAST_HOT, mark[0] // 1000)
+        now = written(_small_star(_large_star(now, hot).distinct(), hot).distinct(), "edges")
         new = _mark(now)
         if new == mark:
             break

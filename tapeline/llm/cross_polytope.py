@@ -13,14 +13,17 @@ compared with all rows instead, exactly.
 Cells with many vectors are cut into blocks, on both sides, so no cell is one task. What
 leaves a task are at most ``k`` rows for each query of a block, of ``k`` different ids.
 
-Vectors that are null, zero, or hold null or non-finite components, or have another length
-than ``dims``, take no part. Rows with the query's id are never its candidates. Of several
-rows with one id the best score counts, once. Ties go to the smaller id.
+Every width of vector has rotations of its own; candidates have the width of the query.
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
+without an id. Rows with the query's id are never its candidates. Of several rows with one
+id the best score counts, once. Ties go to the smaller id. An empty table, and a query
+without candidates, give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.batches import vectors_of
-from tapeline.llm.cap_filters import unit_rows, usable
+from tapeline.llm.cap_filters import by_width, unit_rows, usable
 from tapeline.llm.shared import written
 
 
@@ -61,22 +64,30 @@ class Rotations:
         return np.concatenate([x, -x], axis=1)
 
 
-def _cells(rotations: Rotations, probes: int) -> Callable:
-    """Rows of (table, cell, number) for the ``probes`` nearest signed axes."""
+@lru_cache(maxsize=64)
+def rotations_of(dims: int, tables: int, seed: int) -> Rotations:
+    """The pseudo-rotations for vectors of one width."""
+    return Rotations(dims, tables, seed)
+
+
+def _cells(tables: int, seed: int, probes: int) -> Callable:
+    """Rows of (table, cell, number) for the ``probes`` nearest signed axes. Tables of all
+    widths are numbered one after the other."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                unit = unit_rows(vectors_of(part.column("vector")))
-                for table in range(len(rotations.signs)):
-                    scores = rotations.scores(unit, table)
-                    cells = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-                    rows = np.repeat(np.arange(len(unit)), cells.shape[1])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(rows), table), pa.int32()),
-                        pa.array(cells.ravel(), pa.int32()),
-                        *(part.column(c).take(pa.array(rows)) for c in ("number", "id", "vector")),
-                    ], ["table", "cell", "number", "id", "vector"])
+                for width, part in by_width(batch.slice(at, 2048)):
+                    rotations = rotations_of(width, tables, seed)
+                    unit = unit_rows(vectors_of(part.column("vector")))
+                    for table in range(tables):
+                        scores = rotations.scores(unit, table)
+                        cells = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+                        rows = np.repeat(np.arange(len(unit)), cells.shape[1])
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(rows), width * tables + table), pa.int32()),
+                            pa.array(cells.ravel(), pa.int32()),
+                            *(part.column(c).take(pa.array(rows)) for c in ("number", "id", "vector")),
+                        ], ["table", "cell", "number", "id", "vector"])
 
     return run
 
@@ -124,28 +135,28 @@ def _best(k: int) -> Callable:
 
 def nearest(
     table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding",
-    k: int = 20, dims: int = 64, tables: int = 16, probes: int = 8,
+    k: int = 20, tables: int = 16, probes: int = 8,
     block_rows: int = 1024, block_queries: int = 512, seed: int = 11,
     exact_rows: int = 8192, exact_queries: int = 2048,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each row
     that ``queries`` holds for, searched in all rows; fewer only if there are no more
     candidates. ``exact_rows`` and ``exact_queries`` are the blocks of the exact search."""
-    rotations = Rotations(dims, tables, seed)
     rows = written(
         table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"),
                      F.coalesce(queries, F.lit(False)).alias("asks"))
-        .filter(usable("vector") & (F.size("vector") == dims) & F.col("id").isNotNull())
+        .filter(usable("vector") & F.col("id").isNotNull())
         .groupBy("id", "vector").agg(F.max("asks").alias("asks"))
         .withColumn("number", F.monotonically_increasing_id()), "ann-rows")
     element = rows.schema["vector"].dataType.elementType.simpleString()
     schema = f"table int, cell int, number bigint, id bigint, vector array<{element}>"
-    base = rows.select("number", "id", "vector").mapInArrow(_cells(rotations, 1), schema)
+    base = rows.select("number", "id", "vector").mapInArrow(_cells(tables, seed, 1), schema)
     asked = rows.filter("asks").select("number", "id", "vector")
-    asked = asked.mapInArrow(_cells(rotations, probes), schema)
-    # A row for each table and cell, 2 * dims * tables at most: the bound of the broadcasts.
-    blocks = lambda side, name, size: F.broadcast(
-        side.groupBy("table", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name)))
+    asked = asked.mapInArrow(_cells(tables, seed, probes), schema)
+    # A row for each table and cell, 2 * width * tables at most for each width: broadcast only
+    # while their written size is small.
+    blocks = lambda side, name, size: written(
+        side.groupBy("table", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name)), "ann-sizes")
     sizes = [blocks(base, "bases", block_rows), blocks(asked, "askers", block_queries)]
 
     def placed(side: DataFrame, own: str, other: str, ask: bool) -> DataFrame:
@@ -165,19 +176,24 @@ def nearest(
 
     sized = lambda side: side.join(sizes[0], ["table", "cell"]).join(sizes[1], ["table", "cell"])
     found = written(compared(sized(base), sized(asked)), "ann-found")
-    ids, vectors = rows.agg(F.count_distinct("id"), F.count("*")).first()
+    width = F.size("vector").alias("width")
+    held = written(rows.groupBy(width).agg(
+        F.count_distinct("id").alias("ids"), F.count("*").alias("vectors")), "ann-widths")
     # A query's own id is among the ids.
     met = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("met"))
     few = written(
-        rows.filter("asks").join(met, "id", "left")
-        .filter(F.coalesce("met", F.lit(0)) < min(k, ids - 1))
-        .select("number", "id", "vector"), "ann-few")
-    n_few = few.count()
-    if n_few:
-        cut = lambda side: side.select(
-            F.lit(-1).alias("table"), F.lit(0).alias("cell"), "number", "id", "vector",
-            F.lit(-(-vectors // exact_rows)).alias("bases"),
-            F.lit(-(-n_few // exact_queries)).alias("askers"))
+        rows.filter("asks").select("number", "id", "vector", width).join(held, "width").join(met, "id", "left")
+        .filter(F.coalesce("met", F.lit(0)) < F.least(F.lit(k), F.col("ids") - 1))
+        .select("number", "id", "vector", "width"), "ann-few")
+    if few.limit(1).count():
+        askers = few.groupBy("width").agg(F.ceil(F.count("*") / exact_queries).cast("int").alias("askers"))
+        bases = held.select("width", F.ceil(F.col("vectors") / exact_rows).cast("int").alias("bases"))
+        # All rows of a width are one cell, cut into blocks.
+        sizes_of = bases.join(askers, "width")
+        cut = lambda side: side.join(sizes_of, "width").select(
+            (-F.col("width")).alias("table"), F.lit(0).alias("cell"), "number", "id", "vector",
+            "bases", "askers")
+        rows = rows.select("number", "id", "vector", width)
         whole = compared(cut(rows), cut(few))
         found = found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id",
                            "left_anti").union(whole)

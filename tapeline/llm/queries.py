@@ -36,13 +36,11 @@ def op4_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations")
-    return preferences.paired(
-        *preferences.answered_otherwise(turns, preferences.neighbours(turns)))
+    return preferences.all_pairs(read(spark, sf_dir, "conversations"))
 
 
 def op5_whole_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn that has a conversation, both conversations of a pair in full."""
+    """The pairs of whole conversations alone."""
     turns = read(spark, sf_dir, "conversations")
     return preferences.paired(turns, preferences.neighbours(turns, alone=True))
 
@@ -107,5 +105,6 @@ FROM p LEFT JOIN w USING (d)
 # The others are tested against brute force, exact round trips or held-out accuracy.
 ORACLES = {
     "op5_preference_formatting": preferences.ORACLE,
+    "op5_whole_conversations": f"SELECT * EXCLUDE (kind) FROM ({preferences.ORACLE}) WHERE kind = 'whole'",
     "op10_warc_round_trip": _WARC,
 }

@@ -141,16 +141,17 @@ def reshard(
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     ranges = written(plan(table.select(*place, size.cast("long").alias("size")), shards), "plan")
     moved = affected(ranges)
-    rows = table.select(*columns, *place)
+    # The caller's columns go along as one, so that no name of theirs meets one of ours.
+    rows = table.select(F.struct(*columns).alias("own"), *place)
     found = rows.join(ranges.select("file", "shard", "from_row", "first_slot", "rows"), "file").filter(
         "row >= from_row and row < from_row + rows"
-    ).withColumn("slot", F.col("first_slot") + F.col("row") - F.col("from_row"))
-    found.join(moved, "file", "left_semi").select(*columns, "slot", "shard").write.partitionBy(
+    ).select("own", "file", "shard", (F.col("first_slot") + F.col("row") - F.col("from_row")).alias("slot"))
+    found.join(moved, "file", "left_semi").select("own", "slot", "shard").write.partitionBy(
         "shard").parquet(target)
-    kept = found.join(moved, "file", "left_anti").select(*columns, "slot", "shard")
-    kinds = kept.schema
-    back = spark.read.schema(kinds).parquet(target)
-    return back.select(*columns, "slot", "shard").union(kept)
+    kept = found.join(moved, "file", "left_anti").select("own", "slot", "shard")
+    back = spark.read.schema(kept.schema).parquet(target)
+    whole = back.select("own", "slot", "shard").union(kept)
+    return whole.select(*[F.col("own").getField(c).alias(c) for c in columns], "slot", "shard")
 
 
 def placement(spark: SparkSession, path: str, shards: int = 8) -> DataFrame:

@@ -14,7 +14,9 @@ connect, never all pairs.
 
 Null and empty texts, and texts without words, have fingerprint 0, which links as any
 other. Repeated rows get the same fingerprint. A null id is carried but is never the
-smallest id of a group unless it has no other.
+smallest id of a group unless it has no other. Texts are taken whole, in parts of 2 ** 16
+shingles, so the memory of a long one is that of its words. An empty table gives an empty
+result. Other columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tapeline.llm.components import components, stars
 from tapeline.llm.shared import written
 
 SEED = 42
+# Levels of a tree: its medians take 2 ** DEEPEST bytes and go along with the tasks.
+DEEPEST = 22
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -95,7 +99,7 @@ class VantageTree:
         at = np.zeros(len(pool), dtype=np.int64)
         for level, point in enumerate(self.points):
             far = np.bitwise_count(pool ^ point).astype(np.int64)
-            medians = np.full(1 << level, 16, dtype=np.int64)
+            medians = np.full(1 << level, 16, dtype=np.int8)
             order = np.lexsort((far, at))
             nodes, first = np.unique(at[order], return_index=True)
             last = np.append(first[1:], len(order))
@@ -172,21 +176,23 @@ def near_pairs(
     exactly those within ``most`` bits, directly or over others.
 
     ``sample_rows`` bounds the fingerprints that fix the trees. The depth of the trees grows
-    with the number of fingerprints, for leaves of about ``leaf_rows``.
+    with the number of fingerprints, for leaves of about ``leaf_rows``, up to ``DEEPEST``; below
+    the depth that the sample reaches, a node's median is that of 32 random bits.
     """
     total = prints.count()
-    depth = max(1, min(24, int(np.ceil(np.log2(max(2, total / leaf_rows))))))
+    depth = max(1, min(DEEPEST, int(np.ceil(np.log2(max(2, total / leaf_rows))))))
     chosen = prints.orderBy(F.xxhash64("bits"), "bits").limit(sample_rows)
     sample = np.array([r["bits"] for r in chosen.collect()], dtype=np.int64)
-    trees = [VantageTree(half, min(depth, 14), seed + t) for t, half in enumerate(halves(sample))]
+    trees = [VantageTree(half, depth, seed + t) for t, half in enumerate(halves(sample))]
     shards = written(
         prints.mapInArrow(_shards(trees, most // 2), "leaf int, visits boolean, bits bigint"),
         "shards")
     sizes = shards.groupBy("leaf").agg(
         F.ceil(F.count(F.when(~F.col("visits"), 1)) / block_rows).cast("int").alias("bases"),
         F.ceil(F.count("*") / block_rows).cast("int").alias("askers"))
-    # A row for each leaf, 2^15 at most: the bound of this broadcast.
-    placed = shards.join(F.broadcast(sizes.filter("bases > 0")), "leaf")
+    # A row for each leaf, some for each leaf_rows fingerprints: broadcast only while its written
+    # size is small.
+    placed = shards.join(written(sizes.filter("bases > 0"), "leaves"), "leaf")
     mine = lambda n: F.pmod(F.xxhash64("bits"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = placed.select("leaf", every("bases").alias("base"), mine("askers").alias("asker"),
@@ -232,9 +238,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     groups = _rooted(prints.groupBy("bits").agg(first.alias("id")))
     chosen = written(
         groups.groupBy("root").agg(F.min("id").alias("id")).select(
-            F.col("root").alias("_root"), F.col("id.id").alias("_id"),
-            F.col("id.digest").alias("_digest")), "chosen")
-    # Texts of one digest have one fingerprint, so a row meets one group at most.
-    digest = F.sha2(docs[text].cast("binary"), 256)
-    met = docs.join(chosen, docs[key].eqNullSafe(F.col("_id")) & digest.eqNullSafe(F.col("_digest")))
-    return met.dropDuplicates(["_root"]).select(*docs.columns)
+            "root", F.col("id.id").alias("id"), F.col("id.digest").alias("digest")), "chosen")
+    # The caller's columns go along as one, so that no name of theirs meets one of ours. Texts
+    # of one digest have one fingerprint, so a row meets one group at most.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("own"),
+                       F.sha2(F.col(text).cast("binary"), 256).alias("own_digest"))
+    met = rows.join(chosen, F.col("own").eqNullSafe(F.col("id"))
+                    & F.col("own_digest").eqNullSafe(F.col("digest")))
+    return met.dropDuplicates(["root"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

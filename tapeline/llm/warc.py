@@ -7,13 +7,17 @@ the header columns are pushed down to them, and the payload of a record that is
 neither read nor decoded. Files ending in ``.gz`` are read as a stream of compressed
 members; there a skipped payload is still inflated.
 
-Writing makes files of bounded size, named by task attempt. Only the files of successful
-attempts get into the list that readers follow, so a lost executor or a repeated task
-leaves no records behind.
+Writing makes files of bounded size, named by task attempt. Every write adds a list of the
+files of its successful attempts, and readers follow all lists, so a lost executor or a
+repeated task leaves no records behind and a second write adds to the first. A write that
+overwrites names the lists it replaces; these are followed no more from the moment its own
+list is there. Files that are replaced or in no list are left where they are.
 
 Nulls: a null payload is written as an empty one, a null header is left out and read back
 as null. Line breaks in header values become blanks. Repeated rows are records of their
-own. A folder without records reads as an empty table.
+own, ties for the largest id too. A folder without records reads as an empty table. A
+record is one row, so memory grows with the largest payload. Columns of pages other than the
+three that are named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ HEADERS = {
 }
 ANGLED = ("record_id", "refers_to")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-LISTING = "_records.json"
+LISTING = "_records-"
 BATCH_BYTES = 8 << 20
 
 
@@ -209,12 +213,11 @@ class WarcReader(DataSourceReader):
         base = self.path.rstrip("/")
         if system.get_file_info(path).type == fs.FileType.File:
             return [FilePart(self.path, 0)]
-        if system.get_file_info(f"{path}/{LISTING}").type == fs.FileType.File:
-            with system.open_input_stream(f"{path}/{LISTING}") as stream:
-                found = json.loads(stream.read())
+        there = [i for i in system.get_file_info(fs.FileSelector(path)) if i.type == fs.FileType.File]
+        if any(i.base_name.startswith(LISTING) for i in there):
+            found = current_files(system, path, [i.base_name for i in there])
         else:
-            found = [[i.base_name, i.size] for i in system.get_file_info(fs.FileSelector(path))
-                     if i.base_name.endswith((".warc", ".warc.gz"))]
+            found = [[i.base_name, i.size] for i in there if i.base_name.endswith((".warc", ".warc.gz"))]
         parts = [FilePart(f"{base}/{name}", size) for name, size in found]
         return sorted(parts, key=lambda p: -p.size) or [FilePart("", 0)]
 
@@ -252,9 +255,24 @@ class WarcReader(DataSourceReader):
             yield {c: row.get(c) for c in self.columns}
 
 
+def listings(system, path: str, names: list[str]) -> dict[str, dict]:
+    """The lists of a folder that no other list replaces."""
+    held = {}
+    for name in names:
+        if name.startswith(LISTING):
+            with system.open_input_stream(f"{path}/{name}") as stream:
+                held[name] = json.loads(stream.read())
+    replaced = {old for own in held.values() for old in own["replaces"]}
+    return {name: own for name, own in held.items() if name not in replaced}
+
+
+def current_files(system, path: str, names: list[str]) -> list[list]:
+    return [file for own in listings(system, path, names).values() for file in own["files"]]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, file_bytes: int) -> None:
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False) -> None:
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, path = file_system(self.path)
@@ -277,13 +295,18 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(made)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
         system, path = file_system(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{LISTING}") as stream:
-            stream.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        names = [i.base_name for i in system.get_file_info(fs.FileSelector(path))]
+        own = {"files": [f for m in messages if m for f in m.files],
+               "replaces": sorted(listings(system, path, names)) if self.overwrite else []}
+        with system.open_output_stream(f"{path}/{LISTING}{uuid.uuid4().hex}.json") as stream:
+            stream.write(json.dumps(own).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Files without a listing are left; a folder is written once."""
+        """Files without a list are left; nobody reads them."""
 
 
 @dataclass
@@ -303,7 +326,8 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("filebytes", 128 << 20)))
+        return WarcWriter(
+            self.options["path"], int(self.options.get("filebytes", 128 << 20)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -346,9 +370,10 @@ def as_records(
         F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def archive(records: DataFrame, path: str) -> None:
+def archive(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Adds records to an archive, or replaces what it holds (``overwrite``)."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -316,3 +316,35 @@ def test_ftrl_equals_plain_loops():
     assert dict(zip(kept.tolist(), weights.tolist())).keys() == want.keys()
     assert all(abs(want[i] - v) < 1e-6 for i, v in zip(kept.tolist(), weights.tolist()))
     assert abs(bias - weight(top)) < 1e-9
+
+
+def test_one_of_each_group_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, "x", 2.0, 3), (2, "a b c d e f", 1, "y", 2.0, 3), (3, "other words here", 1, "z", 2.0, 3),
+            (None, None, 1, "n", 2.0, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, digest string, root double, bits int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["digest"] for r in kept.collect()) == ["n", "x", "z"]
+
+
+def test_deep_vantage_trees_find_every_pair(spark):
+    """Leaves far below what the sample fixes."""
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(300)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for p in prints]
+    prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+    found = simhash.near_pairs(spark.createDataFrame([(p,) for p in prints], "bits long"),
+                               sample_rows=20, leaf_rows=1)
+    got = components.components(found)
+    roots = {p: p for p in prints} | {r["node"]: r["component"] for r in got.collect()}
+    mask = (1 << 64) - 1
+    want = {p: p for p in prints}
+    near = [(p, q) for i, p in enumerate(prints) for q in prints[:i] if ((p ^ q) & mask).bit_count() <= 3]
+    changed = True
+    while changed:
+        changed = False
+        for p, q in near:
+            low = min(want[p], want[q])
+            changed |= want[p] != low or want[q] != low
+            want[p] = want[q] = low
+    assert roots == want and len(near) > 200

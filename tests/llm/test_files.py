@@ -113,15 +113,38 @@ def test_replies_are_exchanged(spark):
         TURNS[:7] + [(2, 0, "user", "ask"), (2, 1, "assistant", "short"), (2, 2, "user", "bye"),
                      (3, 0, "user", "other"), (3, 1, "assistant", "a longer reply")],
         "conv_id long, turn long, role string, text string")
-    turns, pairs = preferences.answered_otherwise(table, preferences.neighbours(table))
-    rows = preferences.paired(turns, pairs).collect()
-    of = lambda pair, part: [r["rendered"].split("\n")[1].removesuffix("<|im_end|>") for r in sorted(
-        (r for r in rows if (r["pair_id"], r["part"]) == (pair, part)), key=lambda r: r["place"])]
-    assert (of(0, "prompt"), of(0, "chosen"), of(0, "rejected")) == (
-        ["be kind", "hi"], ["hello there"], ["no"])
-    assert (of(1, "prompt"), of(1, "chosen"), of(1, "rejected")) == (
-        ["other"], ["a longer reply"], ["short"])
-    assert all(r["trained"] == (r["part"] != "prompt") for r in rows)
+    rows = preferences.all_pairs(table).collect()
+
+    def of(kind, pair, part):
+        return [r["rendered"].split("\n")[1].removesuffix("<|im_end|>") for r in sorted(
+            (r for r in rows if (r["kind"], r["pair_id"], r["part"]) == (kind, pair, part)),
+            key=lambda r: r["place"])]
+
+    own, other = preferences.OWN, preferences.OTHER
+    assert [of(own, 0, part) for part in ("prompt", "chosen", "rejected")] == [
+        ["be kind", "hi"], ["hello there"], ["no"]]
+    assert [of(other, 0, part) for part in ("prompt", "chosen", "rejected")] == [
+        ["be kind", "hi"], ["hello there"], ["no"]]
+    assert [of(own, 1, part) for part in ("prompt", "chosen", "rejected")] == [
+        ["other"], ["a longer reply"], ["short"]]
+    assert [of(other, 1, part) for part in ("prompt", "chosen", "rejected")] == [
+        ["ask"], ["a longer reply"], ["short"]]
+    assert all(r["trained"] == (r["part"] != "prompt") for r in rows if r["kind"] != preferences.WHOLE)
+    # Whole conversations beside them.
+    whole = {tuple(r)[1:] for r in rows if r["kind"] == preferences.WHOLE}
+    assert whole == set(map(tuple, preferences.paired(table, preferences.neighbours(table, alone=True)).collect()))
+
+
+def test_all_turns_reach_the_operator(spark):
+    """Every turn of the given table is in a whole pair, and prompts are there."""
+    from tapeline.llm.tables import read
+
+    turns = read(spark, "/root/testdata/sf0.01", "conversations")
+    rows = preferences.all_pairs(turns)
+    whole = rows.filter("kind = 'whole'")
+    assert whole.filter("part <> 'prompt'").count() + 2 * whole.filter("part = 'prompt'").count() == \
+        turns.filter("conv_id is not null").count()
+    assert rows.filter("part = 'prompt' and trained = 0").count() > 0
 
 
 def test_every_turn_of_the_conversations_is_formatted(spark, tmp_path):
@@ -231,6 +254,23 @@ def test_files_are_rolled_and_listed(spark, tmp_path):
     assert warc.read(spark, str(path)).count() == 40
 
 
+def test_later_writes_add_or_replace(spark, tmp_path):
+    path = str(tmp_path / "twice")
+    part = lambda n: warc.as_records(spark.createDataFrame(
+        [(i, "u", f"text {i}") for i in range(n, n + 5)], "page_id long, url string, html string"))
+    ids = lambda: sorted(int(r["record_id"].split(":")[-1]) for r in warc.read(spark, path).collect())
+    warc.archive(part(0), path)
+    warc.archive(part(10), path)
+    assert ids() == [*range(5), *range(10, 15)]
+    warc.archive(part(0).limit(0), path)
+    assert len(ids()) == 10
+    warc.archive(part(20), path, "overwrite")
+    assert ids() == [*range(20, 25)]
+    warc.archive(part(30), path)
+    assert ids() == [*range(20, 25), *range(30, 35)]
+    assert warc.read(spark, path).filter("record_id = 'urn:page:3'").count() == 0
+
+
 def test_pipeline_stages(spark, monkeypatch):
     import corpus_pipeline
     from tapeline.llm import byte_cnn, simhash, toxicity
@@ -268,3 +308,13 @@ def test_pipeline_stages(spark, monkeypatch):
     assert ids(packed) == ids(single)
     for frame in (calm, good, single):
         frame.unpersist()
+
+
+def test_resharding_with_clashing_names(spark, tmp_path):
+    rows = [(i, "x" * i, i, "f", 1, 2, 3) for i in range(40)]
+    names = "doc_id long, text string, row int, file string, home int, rows int, from_row int"
+    spark.createDataFrame(rows, names).repartition(3).write.parquet(str(tmp_path / "in"))
+    columns = [c.split()[0] for c in names.split(", ")]
+    done = resharding.reshard(spark, str(tmp_path / "in"), 4, columns, F.length("text") + 1, str(tmp_path / "out"))
+    assert sorted(tuple(r)[:7] for r in done.select(*columns).collect()) == rows
+    assert sorted(r["slot"] for r in done.collect() if r["shard"] == 0) == list(range(done.filter("shard = 0").count()))

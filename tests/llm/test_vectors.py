@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.llm import cap_filters, cross_polytope
+from tapeline.llm.components import components as components_of
 
 DIMS = 64
 
@@ -167,3 +168,36 @@ def test_hadamard_keeps_products():
     y = cross_polytope.hadamard(x)
     assert np.allclose(x @ x.T, y @ y.T)
     assert np.allclose(cross_polytope.hadamard(y), x)
+
+
+def test_vectors_of_several_widths(spark):
+    """Copies and near copies of each width meet, unlike widths never; one component too."""
+    rng = np.random.default_rng(3)
+    rows, number = [], 0
+    for width in (1, 2, 32, 65):
+        x = rng.normal(size=(12, width))
+        x[5:10] = x[4]
+        for v in x.tolist():
+            rows.append((number, v, "mine", 1))
+            number += 1
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, width int")
+    unit = [np.array(r[1]) / np.linalg.norm(r[1]) for r in rows]
+    adjacent = np.array([[i != j and len(a) == len(b) and a @ b >= 0.9 for j, b in enumerate(unit)]
+                         for i, a in enumerate(unit)])
+    found = {r["vec_id"]: r for r in cap_filters.near_duplicates(table).collect()}
+    assert [found[i]["n_links"] for i in range(len(rows))] == adjacent.sum(1).tolist()
+    assert [found[i]["component_id"] for i in range(len(rows))] == components(adjacent).tolist()
+    near = cross_polytope.nearest(table, F.col("vec_id") % 6 == 0).collect()
+    for query in range(0, len(rows), 6):
+        scores = sorted(((-float(np.dot(rows[query][1], r[1])), r[0]) for r in rows
+                         if r[0] != query and len(r[1]) == len(rows[query][1])))
+        own = sorted((r for r in near if r["query_id"] == query), key=lambda r: r["rank"])
+        assert len(own) == 11
+        assert np.allclose([r["score"] for r in own], [-s for s, _ in scores], atol=1e-9)
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5300)] + [(2999, 5300), (9, 9)]
+    found = components_of(spark.createDataFrame(edges, "u long, v long"))
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert got == {i: 0 for i in [*range(1, 3000), *range(5000, 5301)]}
