@@ -83,7 +83,7 @@ CANDIDATES = INFLATION + """, candidates AS (
     (VALUES ('latest'), ('history_sum'), ('history_abs_sum')) AS c(condition))"""
 
 SCALAR_SCORES = CANDIDATES + """, scored AS (
-  SELECT series AS id, condition,
+  SELECT series AS id, condition, printf('%.2f', total::DOUBLE) AS "right", printf('%.2f', hist::DOUBLE) AS known,
     CASE WHEN answer = total AND NOT (hist <> total AND answer = hist) THEN 'PASS'
       WHEN answer = hist THEN 'FAIL' ELSE 'REVIEW' END AS verdict FROM candidates)"""
 
@@ -253,6 +253,7 @@ ORACLES: dict[str, str] = {
         CAST(to_json(string_split(url, '/')) AS VARCHAR) AS parts,
         '{"size":' || length(html) || '}' AS facts FROM pages""",
     "topic_counts": _with(_ALL_TOPICS, "SELECT topic, n_records, n_keys FROM counts"),
+    "rewritten_log": _with(_ALL_TOPICS, "SELECT topic, n_records, n_keys FROM counts"),
     "written_topic": _with(_ALL_TOPICS, "SELECT * FROM counts"),
     "fields_as_text": """SELECT page_id, CAST(length(html) AS VARCHAR) AS size,
         CAST(to_json(string_split(url, '/')) AS VARCHAR) AS parts,
@@ -452,9 +453,9 @@ ORACLES: dict[str, str] = {
         (SELECT MIN(lag) FROM cum WHERE c * 100 >= total * 99) AS p99_lag_us FROM lags"""),
     "score_text": _with(JUDGED, "SELECT doc_id, id, condition, text_verdict, text_detail FROM judged"),
     "score_scalar": _with(SCALAR_SCORES, """SELECT id, condition, verdict AS result_verdict,
-        CASE verdict WHEN 'PASS' THEN 'found the right value'
-          WHEN 'FAIL' THEN 'matched distractor history_sum'
-          ELSE 'right value not found' END AS result_detail FROM scored"""),
+        CASE verdict WHEN 'PASS' THEN "right" || ', as expected'
+          WHEN 'FAIL' THEN known || ' is history_sum; expected ' || "right"
+          ELSE 'expected ' || "right" || ', not among numbers seen: 1' END AS result_detail FROM scored"""),
     "score_groups": _with(CURRENT, """, t AS (SELECT account, series, SUM(abs(net)) AS total
           FROM current_state GROUP BY 1, 2),
         h AS (SELECT account, series, SUM(net) AS hist, SUM(abs(net)) AS abs_hist
@@ -477,12 +478,13 @@ ORACLES: dict[str, str] = {
         answers AS (SELECT *, 'latest' AS condition FROM short_any
           UNION ALL SELECT *, 'sell_side' FROM sellers UNION ALL SELECT *, 'anytime' FROM ever),
         n AS (SELECT a.series, a.condition, COUNT(s.member) AS found,
-            COUNT(*) FILTER (s.member IS NULL) AS extra
+            COUNT(*) FILTER (s.member IS NULL) AS extra,
+            MIN(a.member) FILTER (s.member IS NULL) AS lo, MAX(a.member) FILTER (s.member IS NULL) AS hi
           FROM answers a LEFT JOIN short_any s ON a.series = s.series AND a.member = s.member
           GROUP BY 1, 2)
         SELECT series AS id, condition, CASE WHEN extra > 0 THEN 'FAIL' WHEN found > 0 THEN 'PASS'
             ELSE 'REVIEW' END AS result_verdict,
-          CASE WHEN extra > 0 THEN extra || ' unexpected members included'
+          CASE WHEN extra > 0 THEN extra || ' unexpected members, from ' || lo || ' to ' || hi
             WHEN found > 0 THEN found || ' expected members'
             ELSE 'no known member in the answer' END AS result_detail FROM n"""),
     "combine_verdicts": _with(JUDGED, "SELECT * FROM card"),
@@ -545,14 +547,17 @@ ORACLES: dict[str, str] = {
           UNION SELECT 'both', member FROM sellers WHERE series = 'purchase'),
         counted AS (
           SELECT k.condition, COUNT(*) FILTER (member IN (SELECT member FROM wanted)) AS found,
-            COUNT(*) FILTER (member NOT IN (SELECT member FROM wanted)) AS extra
+            COUNT(*) FILTER (member NOT IN (SELECT member FROM wanted)) AS extra,
+            MIN(member) FILTER (member NOT IN (SELECT member FROM wanted)) AS lo,
+            MAX(member) FILTER (member NOT IN (SELECT member FROM wanted)) AS hi
           FROM kinds k LEFT JOIN named n ON n.condition = k.condition
           WHERE k.condition <> 'silent' GROUP BY k.condition),
         results AS (
-          SELECT id, condition, CASE WHEN hit AND NOT tripped THEN 'PASS|found the right value'
-            WHEN tripped AND NOT hit THEN 'FAIL|matched distractor ' || label
-            WHEN hit AND tripped THEN 'REVIEW|both truth and distractor present'
-            ELSE 'REVIEW|right value not found' END AS r FROM flagged
+          SELECT id, condition, CASE WHEN hit AND NOT tripped THEN 'PASS|' || t || ', as expected'
+            WHEN tripped AND NOT hit THEN 'FAIL|' || d || ' is ' || label || '; expected ' || t
+            WHEN hit AND tripped THEN 'REVIEW|' || t || ' as expected, but also ' || d || ', ' || label
+            ELSE 'REVIEW|expected ' || t || ', not among numbers seen: ' || len(nums) END AS r
+          FROM (SELECT *, printf('%.2f', truth::DOUBLE) AS t, printf('%.2f', distractor::DOUBLE) AS d FROM flagged)
           UNION ALL SELECT 'q5_open_interest', condition, CASE WHEN ok = n THEN 'PASS|all groups match'
             WHEN wrong > 0 THEN 'FAIL|' || wrong || ' groups match the distractor'
             ELSE 'REVIEW|' || ok || '/' || n END FROM grouped
@@ -560,7 +565,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT SUM(total) AS t FROM truth) a JOIN (SELECT SUM(abs(net)) AS t FROM current_state) b
             ON a.t = b.t
           UNION ALL SELECT 'q7_side_vs_direction', condition,
-            CASE WHEN extra > 0 THEN 'FAIL|' || extra || ' unexpected members included'
+            CASE WHEN extra > 0 THEN 'FAIL|' || extra || ' unexpected members, from ' || lo || ' to ' || hi
               WHEN found > 0 THEN 'PASS|' || found || ' expected members'
               ELSE 'REVIEW|no known member in the answer' END FROM counted),
         parts AS (
@@ -586,6 +591,7 @@ ORACLES: dict[str, str] = {
         FROM fills GROUP BY 1, 2, 3"""),
     "stream_fills_by_date": """SELECT CAST(ts AS DATE) AS trade_date, COUNT(*) AS n_fills
         FROM events GROUP BY 1""",
+    "stream_log_dedup": _with(FILLS, "SELECT exec_id AS _key, 1::BIGINT AS n FROM fills"),
     "stream_dedup": _with(FILLS, "SELECT exec_id, ts AS exec_time FROM fills"),
     "stream_state_table": _with(CURRENT, """SELECT c.member AS clearing_member_id, c.account,
         c.series AS contract_series, f.exec_id, c.off AS log_offset

@@ -214,6 +214,18 @@ def written_topic(spark, sf):
     )
 
 
+def rewritten_log(spark, sf):
+    """A log of two runs, one of which is written again: it holds each record once."""
+    log = topics.RunLog(spark, fresh_path(spark, "runs"))
+    envelopes = tables.topic_log(spark, sf)
+    reference = F.col("topic") == CONTRACTS_REF.topic
+    log.write(envelopes.filter(~reference), "daily")
+    log.write(envelopes.filter(reference), "reference")
+    log.write(envelopes.filter(~reference), "daily")
+    return log.read().groupBy("topic").agg(
+        F.count("*").alias("n_records"), F.count_distinct("_key").alias("n_keys"))
+
+
 def field_drift(spark, sf):
     """Reference data as sent, with a field its contract does not know."""
     reference = records.to_topic(tables.refdata(spark, sf), CONTRACTS_REF.topic, CONTRACTS_REF.key)
@@ -535,20 +547,24 @@ def score_groups(spark, sf):
 
 
 def score_members(spark, sf):
-    """Sellers, ever-short and now-short members as answers to "who is short"."""
-    log, fills = tables.positions(spark, sf), tables.fills(spark, sf)
-
-    def answer(df: DataFrame, condition: str) -> DataFrame:
-        return df.select(
-            F.col("contract_series").alias("id"), F.lit(condition).alias("condition"),
-            F.col("clearing_member_id").alias("member"),
-        )
-
-    answers = (
-        answer(positions.short_members_any(log), "latest")
-        .unionByName(answer(positions.sell_side_members(fills), "sell_side"))
-        .unionByName(answer(positions.short_anytime_members(log), "anytime"))
-    )
+    """Sellers, ever-short and now-short members as answers to "who is short".
+
+    One pass over the position log and one over the fills flag what each member is."""
+    member = F.col("clearing_member_id").alias("member")
+    series = F.col("contract_series").alias("id")
+    per_key = tables.positions(spark, sf).groupBy(*POSITION_KEY).agg(
+        F.max_by("net_quantity", "offset").alias("last"), F.min("net_quantity").alias("least"))
+    no = F.lit(False)
+    held = per_key.select(series, member, (F.col("last") < 0).alias("latest"),
+                          (F.col("least") < 0).alias("anytime"), no.alias("sell_side"))
+    sold = tables.fills(spark, sf).select(
+        series, member, no.alias("latest"), no.alias("anytime"), (F.col("side") == "SELL").alias("sell_side"))
+    kinds = ("latest", "sell_side", "anytime")
+    flags = held.unionByName(sold).groupBy("id", "member").agg(*[F.bool_or(k).alias(k) for k in kinds])
+    path = fresh_path(spark, "members")
+    flags.write.parquet(path)
+    named = F.explode(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds])))
+    answers = spark.read.schema(flags.schema).parquet(path).select("id", "member", named.alias("condition"))
     runs = answers.select("id", "condition").distinct()
     return scoring.score_members(runs, answers, answers.filter(F.col("condition") == "latest"))
 
@@ -694,6 +710,21 @@ def stream_dedup(spark, sf):
     return sinks.append_table(spark, once, "stream-dedup").select("exec_id", "exec_time")
 
 
+def stream_log_dedup(spark, sf):
+    """The stored log's executions, each sent again a minute later, and once more at once: kept
+    once. Keys are forgotten an hour after they were logged."""
+    sent = tables.topic_log(spark, sf).filter(F.col("topic") == EXECUTIONS.topic)
+    again = F.explode(F.array(*[F.expr(f"INTERVAL {s} SECONDS") for s in (0, 0, 60)])).alias("wait")
+    meta = F.struct("_meta.partition", "_meta.offset", (F.col("_meta.timestamp") + F.col("wait")).alias("timestamp"))
+    path = fresh_path(spark, "resent")
+    topics.write_log(sent.select("topic", "_key", "value", "_meta", again).select(
+        "topic", "_key", "value", meta.alias("_meta")), path)
+    log = topics.stream_log(spark, path).select(
+        "_key", F.col("_meta.timestamp").alias("logged"), F.col("_meta.offset").alias("offset"))
+    once = continuous.dedup_stream(log, ["_key"], log_time="logged", lateness="1 hour", spread_by="offset")
+    return sinks.append_table(spark, once, "stream-log-dedup").groupBy("_key").agg(F.count("*").alias("n"))
+
+
 def stream_state_table(spark, sf):
     """Last fill of each position key, upserted into a table."""
     base = fresh_path(spark, "state")
@@ -720,6 +751,7 @@ QUERIES: dict[str, Query] = {
     "encode_topic": encode_topic,
     "assign_offsets": assign_offsets,
     "written_topic": written_topic,
+    "rewritten_log": rewritten_log,
     "field_drift": field_drift,
     "type_drift": type_drift,
     "variant_fields": variant_fields,
@@ -821,5 +853,6 @@ QUERIES: dict[str, Query] = {
     "stream_topic_positions": stream_topic_positions,
     "stream_fills_by_date": stream_fills_by_date,
     "stream_dedup": stream_dedup,
+    "stream_log_dedup": stream_log_dedup,
     "stream_state_table": stream_state_table,
 }

@@ -7,9 +7,11 @@ so reading one topic prunes the others.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -120,6 +122,50 @@ def write_log(envelopes: DataFrame, path: str, mode: str = "append") -> None:
     envelopes.write.mode(mode).partitionBy("topic").parquet(path)
 
 
+class RunLog:
+    """A stored log that runs may write again: a rerun replaces what it wrote before.
+
+    Every write makes a folder of its own, partitioned by topic, and then a commit that names
+    the run and the folder. Readers follow the last commit of each run, so a failed or
+    repeated run, or a lost executor, neither doubles the log nor disturbs a reader. Folders
+    that no commit names are left; remove them outside of running jobs.
+    """
+
+    COMMIT = "run string, folder string, number bigint"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, envelopes: DataFrame, run: str) -> None:
+        folder = f"data-{uuid.uuid4().hex}"
+        envelopes.write.partitionBy("topic").parquet(f"{self.path}/{folder}")
+        # Runs write one after the other; a commit's number is one more than the last.
+        last = max((r["number"] for r in self._commits().values()), default=0)
+        commit = self.spark.createDataFrame([(run, folder, last + 1)], self.COMMIT)
+        commit.coalesce(1).write.mode("append").json(f"{self.path}/commits")
+
+    def _commits(self) -> dict[str, Row]:
+        """The last commit of each run: as many rows as there were writes."""
+        try:
+            rows = self.spark.read.schema(self.COMMIT).json(f"{self.path}/commits").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return {r["run"]: r for r in sorted(rows, key=lambda r: r["number"])}
+
+    def folders(self) -> list[str]:
+        return [f"{self.path}/{r['folder']}" for r in self._commits().values()]
+
+    def read(self) -> DataFrame:
+        """The envelopes of the last write of every run."""
+        found = None
+        for folder in self.folders():
+            own = read_log(self.spark, folder)
+            found = own if found is None else found.unionByName(own)
+        return self.spark.createDataFrame([], ENVELOPE) if found is None else found
+
+
 def save_bucketed(
     df: DataFrame, table: str, path: str, key: str, buckets: int, files_per_bucket: int = 4
 ) -> None:

@@ -205,3 +205,22 @@ def test_declared_topics():
     for contract in contracts.CONTRACTS.values():
         assert set(contract.key) <= set(contract.schema.names)
         assert set(contract.enums) <= set(contract.schema.names)
+
+
+def test_a_rerun_replaces_what_it_wrote(spark, tmp_path):
+    log = topics.RunLog(spark, f"{tmp_path}/log")
+    part = lambda *keys: spark.createDataFrame(
+        [("t" if k < "m" else "u", k, "{}", None) for k in keys], topics.ENVELOPE)
+    keys = lambda: sorted(r["_key"] for r in log.read().collect())
+    assert log.read().count() == 0 and log.read().columns == ["topic", "_key", "value", "_meta"]
+    log.write(part("a", "b", "z"), "monday")
+    log.write(part("c"), "tuesday")
+    open_reader = log.read()
+    log.write(part("a", "y"), "monday")
+    assert keys() == ["a", "c", "y"]
+    # A reader that was open before still sees what it opened.
+    assert sorted(r["_key"] for r in open_reader.collect()) == ["a", "b", "c", "z"]
+    # What a lost run left without a commit is not read.
+    part("x").write.partitionBy("topic").parquet(f"{tmp_path}/log/data-lost")
+    assert keys() == ["a", "c", "y"]
+    assert len(log.folders()) == 2
