@@ -33,7 +33,7 @@ EMBED, WIDTH, FILTERS, HIDDEN = 4, 8, 16, 12
 WINDOWS = CHUNK - WIDTH + 1
 # Chunks of a block, whose windows fit a core's cache, and of a stretch of a long text.
 BLOCK, STRETCH = 64, 2048
-STEPS, BATCH = 1000, 32
+STEPS, BATCH = 400, 32
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
