@@ -253,6 +253,8 @@ ORACLES: dict[str, str] = {
         CAST(to_json(string_split(url, '/')) AS VARCHAR) AS parts,
         '{"size":' || length(html) || '}' AS facts FROM pages""",
     "topic_counts": _with(_ALL_TOPICS, "SELECT topic, n_records, n_keys FROM counts"),
+    "uti_lookup": _with(REPORTS, """SELECT roff AS log_offset, report_id, uti, action AS action_type
+        FROM reports WHERE roff // 4 IN (7, 20, 21, 999)"""),
     "rewritten_log": _with(_ALL_TOPICS, "SELECT topic, n_records, n_keys FROM counts"),
     "written_topic": _with(_ALL_TOPICS, "SELECT * FROM counts"),
     "fields_as_text": """SELECT page_id, CAST(length(html) AS VARCHAR) AS size,
@@ -598,5 +600,6 @@ ORACLES: dict[str, str] = {
         FROM current_state c JOIN fills f ON c.off = f.off"""),
 }
 
-# The same report, collected another way.
+# The same rows, found another way.
 ORACLES["observed_conformance"] = ORACLES["conformance_report"]
+ORACLES["stream_state_positions"] = ORACLES["stream_net_positions"]

@@ -18,7 +18,7 @@ from tapeline.plans import prefix
 from tapeline.plans.shared import fresh_path
 from tapeline.sources import tables, topics
 from tapeline.sources.contracts import CONTRACTS_REF, EXECUTIONS, POSITIONS, text_schema
-from tapeline.streaming import continuous, tables as sinks
+from tapeline.streaming import continuous, state as stream_state, tables as sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,6 +214,15 @@ def written_topic(spark, sf):
     )
 
 
+def uti_lookup(spark, sf):
+    """The reports of some trades, from a store that skips what cannot hold them."""
+    path = fresh_path(spark, "lookup")
+    topics.save_for_lookup(tables.reports(spark, sf).drop("reporting_timestamp"), path, "uti")
+    wanted = [f"UTI{n}" for n in (7, 20, 21, 999)]
+    return topics.lookup(spark, path, "uti", wanted).withColumnRenamed("offset", "log_offset").select(
+        "log_offset", "report_id", "uti", "action_type")
+
+
 def rewritten_log(spark, sf):
     """A log of two runs, one of which is written again: it holds each record once."""
     log = topics.RunLog(spark, fresh_path(spark, "runs"))
@@ -710,6 +719,16 @@ def stream_dedup(spark, sf):
     return sinks.append_table(spark, once, "stream-dedup").select("exec_id", "exec_time")
 
 
+def stream_state_positions(spark, sf):
+    """Net positions as the state of a stopped stream holds them; nothing of its output is read."""
+    net = continuous.net_positions_stream(tables.fills_from(_event_stream(spark, sf)))
+    checkpoint = fresh_path(spark, "stream-state")
+    sinks.run_available(net, lambda batch, _: batch.write.format("noop").mode("overwrite").save(),
+                        "update", checkpoint)
+    return stream_state.state_rows(spark, checkpoint).select(
+        *POSITION_KEY, F.col("sum").alias("net_quantity"))
+
+
 def stream_log_dedup(spark, sf):
     """The stored log's executions, each sent again a minute later, and once more at once: kept
     once. Keys are forgotten an hour after they were logged."""
@@ -752,6 +771,7 @@ QUERIES: dict[str, Query] = {
     "assign_offsets": assign_offsets,
     "written_topic": written_topic,
     "rewritten_log": rewritten_log,
+    "uti_lookup": uti_lookup,
     "field_drift": field_drift,
     "type_drift": type_drift,
     "variant_fields": variant_fields,
@@ -851,6 +871,7 @@ QUERIES: dict[str, Query] = {
     "stream_latest": stream_latest,
     "stream_net_positions": stream_net_positions,
     "stream_topic_positions": stream_topic_positions,
+    "stream_state_positions": stream_state_positions,
     "stream_fills_by_date": stream_fills_by_date,
     "stream_dedup": stream_dedup,
     "stream_log_dedup": stream_log_dedup,

@@ -8,7 +8,7 @@ so reading one topic prunes the others.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -189,6 +189,32 @@ def save_bucketed(
     )
 
 
+def save_for_lookup(
+    df: DataFrame, path: str, key: str, most_keys: int = 1_000_000, group_bytes: int = 16 << 20
+) -> None:
+    """A decoded topic, stored to be asked for single keys.
+
+    Rows are dealt to files by ranges of the key and sorted, so a file's limits rule most
+    files out; a Bloom filter in each row group rules out groups whose limits span a key that
+    they do not hold. ``most_keys`` is the number of keys of a row group the filter is sized
+    for. The rows of a key that has very many are dealt to several files.
+    """
+    (
+        df.repartitionByRange(F.col(key), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]))
+        .sortWithinPartitions(key)
+        .write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{key}", str(most_keys))
+        .option("parquet.block.size", str(group_bytes))
+        .parquet(path)
+    )
+
+
+def lookup(spark: SparkSession, path: str, key: str, wanted: Sequence[str]) -> DataFrame:
+    """The rows of some keys. Row groups that cannot hold one of them are not read. Lists
+    longer than ``spark.sql.parquet.pushdown.inFilterThreshold`` are pushed as limits only."""
+    return spark.read.parquet(path).filter(F.col(key).isin(list(wanted)))
+
+
 def field_drift(envelopes: DataFrame, contract: Contract) -> DataFrame:
     """Payload fields against the declared ones, over all records of a topic.
 

@@ -185,3 +185,19 @@ def test_shared_folder_comes_from_the_session(spark):
     if named:
         assert shared_base(spark) == named.rstrip("/")
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_state_is_spread_over_its_partitions(spark, tmp_path):
+    """All keys of a stopped stream, and no state partition with far more than its share."""
+    from tapeline.streaming import state
+
+    spark.range(4000).select((F.col("id") % 1000).alias("k"), F.lit(1).alias("v")).write.parquet(
+        f"{tmp_path}/in")
+    stream = spark.readStream.schema("k long, v int").parquet(f"{tmp_path}/in")
+    counts = stream.groupBy("k").agg(F.sum("v").alias("n"))
+    sinks.run_available(counts, lambda batch, _: batch.write.format("noop").mode("overwrite").save(),
+                        "update", f"{tmp_path}/checkpoint")
+    rows = state.state_rows(spark, f"{tmp_path}/checkpoint").collect()
+    assert sorted((r["k"], r["sum"]) for r in rows) == [(k, 4) for k in range(1000)]
+    spread = [r["n_keys"] for r in state.state_spread(spark, f"{tmp_path}/checkpoint").collect()]
+    assert sum(spread) == 1000 and max(spread) < 2 * sum(spread) / len(spread)

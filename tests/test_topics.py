@@ -224,3 +224,38 @@ def test_a_rerun_replaces_what_it_wrote(spark, tmp_path):
     part("x").write.partitionBy("topic").parquet(f"{tmp_path}/log/data-lost")
     assert keys() == ["a", "c", "y"]
     assert len(log.folders()) == 2
+
+
+def rows_scanned(df) -> int:
+    """Rows that the scan handed on, after running ``df``."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select(
+        F.sha1(F.col("id").cast("string")).alias("uti"), F.col("id").alias("n"))
+    path = f"{tmp_path}/lookup"
+    topics.save_for_lookup(rows, path, "uti", most_keys=5_000, group_bytes=1 << 18)
+    key = rows.filter("n = 777").first()["uti"]
+    one = topics.lookup(spark, path, "uti", [key])
+    assert [r["n"] for r in one.collect()] == [777]
+    assert rows_scanned(one) < 20_000
+    # A key that is nowhere, though inside the limits of some group.
+    assert rows_scanned(topics.lookup(spark, path, "uti", [key[:-1] + "x"])) < 20_000
+
+
+def test_bloom_filters_skip_groups_of_wide_limits(spark, tmp_path):
+    """In an unsorted store the limits of every group span the key; the filters still tell."""
+    rows = spark.range(100_000).select(
+        F.sha1(F.col("id").cast("string")).alias("uti"), F.col("id").alias("n")).coalesce(1)
+    key = rows.filter("n = 777").first()["uti"]
+    scanned = {}
+    for bloom in ("true", "false"):
+        path = f"{tmp_path}/{bloom}"
+        (rows.write.option("parquet.bloom.filter.enabled#uti", bloom)
+         .option("parquet.bloom.filter.expected.ndv#uti", "5000")
+         .option("parquet.enable.dictionary", "false").option("parquet.block.size", str(1 << 18)).parquet(path))
+        scanned[bloom] = rows_scanned(topics.lookup(spark, path, "uti", [key]))
+    assert scanned["true"] < 0.3 * scanned["false"]
