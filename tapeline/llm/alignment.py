@@ -265,34 +265,38 @@ def _blocks(a_path: str, b_path: str, classes: bytes, key_type: pa.DataType):
     def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, kind))
 
+    def of(part: pa.RecordBatch, own: Aligner, block: int) -> list[pa.RecordBatch]:
+        x = own.align(texts_of(part, "text"))
+        size = part.num_rows
+        codes, pairs = pd.factorize(x.a[x.link_a].astype(np.int64) << 32 | x.b[x.link_b])
+        held, times = np.unique(x.link_text * max(1, len(pairs)) + codes, return_counts=True)
+        holder, place = np.divmod(held, max(1, len(pairs)))
+        ends = np.searchsorted(holder, np.arange(size), "right")
+        steps = np.diff(place, prepend=0)
+        first = np.append(True, holder[1:] != holder[:-1])[: len(holder)]
+        steps[first] = place[first]
+        rows = pa.RecordBatch.from_arrays([
+            pa.array(np.full(size, block)), part.column("key"),
+            pa.array(np.diff(x.a_text, prepend=0), pa.int64()),
+            pa.array(np.diff(x.b_text, prepend=0), pa.int64()),
+            pa.array(np.diff(x.groups, prepend=0), pa.int64()),
+            pa.array(np.bincount(x.link_text, minlength=size), pa.int64()),
+            pa.array(own.digests(x), pa.string()),
+            lists(steps, ends, pa.int32()), lists(times, ends, pa.int32()),
+            pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.list_(pa.int64())),
+        ], _COLUMNS)
+        none = [pa.nulls(1, k) for k in (
+            key_type, *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int32())] * 2)]
+        return [rows, pa.RecordBatch.from_arrays([
+            pa.array([block]), *none, lists(pairs, np.array([len(pairs)]), pa.int64()),
+            lists(np.bincount(codes, minlength=len(pairs)), np.array([len(pairs)]), pa.int64())], _COLUMNS)]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path, classes)
         block = TaskContext.get().partitionId() << 32
         for part in slices(batches, "text", BLOCK_BYTES):
-            x = own.align(texts_of(part, "text"))
-            size = part.num_rows
-            codes, pairs = pd.factorize(x.a[x.link_a].astype(np.int64) << 32 | x.b[x.link_b])
-            held, times = np.unique(x.link_text * max(1, len(pairs)) + codes, return_counts=True)
-            holder, place = np.divmod(held, max(1, len(pairs)))
-            ends = np.searchsorted(holder, np.arange(size), "right")
-            steps = np.diff(place, prepend=0)
-            first = np.append(True, holder[1:] != holder[:-1])[: len(holder)]
-            steps[first] = place[first]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(size, block)), part.column("key"),
-                pa.array(np.diff(x.a_text, prepend=0), pa.int64()),
-                pa.array(np.diff(x.b_text, prepend=0), pa.int64()),
-                pa.array(np.diff(x.groups, prepend=0), pa.int64()),
-                pa.array(np.bincount(x.link_text, minlength=size), pa.int64()),
-                pa.array(own.digests(x), pa.string()),
-                lists(steps, ends, pa.int32()), lists(times, ends, pa.int32()),
-                pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.list_(pa.int64())),
-            ], _COLUMNS)
-            none = [pa.nulls(1, k) for k in (
-                key_type, *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int32())] * 2)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block]), *none, pa.array([pairs], pa.list_(pa.int64())),
-                pa.array([np.bincount(codes, minlength=len(pairs))], pa.list_(pa.int64()))], _COLUMNS)
+            # The arrays of a block are gone before those of the next are made.
+            yield from of(part, own, block)
             block += 1
 
     return run

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -115,11 +116,14 @@ class PieceEncoder:
     Pieces are found again by a 64-bit hash, and then compared character by character, so
     that pieces of one hash never get each other's ids. ``most_pieces`` bounds the memory of
     looked-up pieces; beyond it the memory is emptied and filled again, with the same result.
-    Pieces longer than ``LONG`` characters are always encoded by the library, never looked up.
+    They are held in arrays, some 70 bytes each. Pieces longer than ``LONG`` characters are
+    always encoded by the library and never held. Texts are worked on ``AT_ONCE`` characters
+    at a time, or one by one if they are longer, which bounds the arrays beside the ids.
     ``cut`` gives the positions where pieces start; a code point of class END is one.
     """
 
     LONG = 64
+    AT_ONCE = 1 << 18
 
     def __init__(
         self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray,
@@ -131,63 +135,76 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot_of: dict[int, int] = {}
-        self.texts: list[str] = []
+        # The hashes of held pieces, rising, and their slots.
+        self.known, self.slot = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         self.flat = np.empty(1 << 16, dtype=np.int32)
         self.first = np.empty(1 << 14, dtype=np.int64)
         self.count = np.empty(1 << 14, dtype=np.int32)
         self.slots = self.used = 0
+        # The characters of held pieces, and where they start and how many they are by slot.
+        self.points = np.empty(1 << 16, dtype=np.uint32)
+        self.at = np.empty(1 << 14, dtype=np.int64)
+        self.size = np.empty(1 << 14, dtype=np.int32)
+        self.spelled = 0
 
-    def _keep(self, pieces: list[str]) -> np.ndarray:
+    def _ids_of(self, pieces: list[str]) -> np.ndarray:
         """New slots for the ids of pieces."""
         encoded = self.encode(pieces)
         counts = np.fromiter(map(len, encoded), dtype=np.int32, count=len(encoded))
-        total = int(counts.sum())
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.first) < self.slots + len(encoded):
-            self.first = np.concatenate([self.first, np.empty_like(self.first)])
-            self.count = np.concatenate([self.count, np.empty_like(self.count)])
-        self.flat[self.used : self.used + total] = [i for ids in encoded for i in ids]
-        new = np.arange(self.slots, self.slots + len(encoded))
+        total, new = int(counts.sum()), np.arange(self.slots, self.slots + len(encoded))
+        self.flat = _room(self.flat, self.used + total)
+        self.first = _room(self.first, self.slots + len(encoded))
+        self.count = _room(self.count, self.slots + len(encoded))
+        self.flat[self.used : self.used + total] = np.fromiter(
+            chain.from_iterable(encoded), dtype=np.int32, count=total)
         self.first[new] = self.used + np.cumsum(counts) - counts
         self.count[new] = counts
-        self.texts += pieces
         self.slots, self.used = self.slots + len(encoded), self.used + total
         return new
 
+    def _hold(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
+              pieces: list[str]) -> np.ndarray:
+        """Slots of pieces of new hashes, each given once."""
+        slots = self._ids_of(pieces)
+        total = int(lengths.sum())
+        self.points = _room(self.points, self.spelled + total)
+        self.points[self.spelled : self.spelled + total] = points[spans(starts, lengths)]
+        self.at, self.size = _room(self.at, self.slots), _room(self.size, self.slots)
+        self.at[slots], self.size[slots] = self.spelled + np.cumsum(lengths) - lengths, lengths
+        self.spelled += total
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, place, hashes[order])
+        self.slot = np.insert(self.slot, place, slots[order])
+        return slots
+
     def _look_up(
         self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray
-    ) -> np.ndarray:
-        """Slots of the pieces between ``starts`` and ``ends``."""
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the pieces between ``starts`` and ``ends``, and which of them are another
+        piece of the same hash."""
         lengths = ends - starts
         codes, distinct = pd.factorize(self.hashes.of(points, starts, ends))
-        sample = np.empty(len(distinct), dtype=np.int64)
-        sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        pieces = [joined[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]
-        slot = np.fromiter(
-            map(self.slot_of.get, distinct.tolist(), [-1] * len(distinct)), np.int64, len(distinct))
+        place = np.searchsorted(self.known, distinct)
+        slot = np.full(len(distinct), -1)
+        if len(self.known):
+            met = self.known.take(place, mode="clip") == distinct
+            slot[met] = self.slot[place[met]]
         missing = np.flatnonzero(slot < 0)
         if len(missing):
-            slot[missing] = self._keep([pieces[k] for k in missing.tolist()])
-            self.slot_of.update(zip(distinct[missing].tolist(), slot[missing].tolist()))
-        texts = map(self.texts.__getitem__, slot.tolist())
-        for k in [k for k, (x, y) in enumerate(zip(pieces, texts)) if x != y]:
-            slot[k] = self._keep([pieces[k]])[0]
+            sample = np.empty(len(distinct), dtype=np.int64)
+            sample[codes[::-1]] = np.arange(len(codes))[::-1]
+            new = sample[missing]
+            pieces = [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())]
+            slot[missing] = self._hold(distinct[missing], points, starts[new], lengths[new], pieces)
         found = slot[codes]
-        # Pieces of one hash that are not the same piece.
-        like = sample[codes]
-        odd = lengths != lengths[like]
+        odd = lengths != self.size[found]
         shown = np.where(odd, 0, lengths)
-        place = spans(starts, shown)
-        differ = np.flatnonzero(points[place] != points[place + np.repeat(starts[like] - starts, shown)])
+        differ = np.flatnonzero(points[spans(starts, shown)] != self.points[spans(self.at[found], shown)])
         odd[np.searchsorted(np.cumsum(shown), differ, "right")] = True
-        for k in np.flatnonzero(odd).tolist():
-            found[k] = self._keep([joined[starts[k] : ends[k]]])[0]
-        return found
+        return found, odd
 
-    def encode_texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's ids end."""
+    def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.slots > self.most_pieces:
             self._forget()
         joined = "\n".join(texts) + "\n"
@@ -200,16 +217,41 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(points))
         text_end = np.searchsorted(starts, marks)
         of_piece = np.empty(len(starts), dtype=np.int64)
-        long = ends - starts > self.LONG
-        short = np.flatnonzero(~long)
-        of_piece[short] = self._look_up(joined, points, starts[short], ends[short])
-        for i in np.flatnonzero(long).tolist():
-            of_piece[i] = self._keep([joined[starts[i] : ends[i]]])[0]
+        alone = ends - starts > self.LONG
+        short = np.flatnonzero(~alone)
+        of_piece[short], alone[short] = self._look_up(joined, points, starts[short], ends[short])
+        held = self.slots, self.used
+        for i in np.flatnonzero(alone).tolist():
+            of_piece[i] = self._ids_of([joined[starts[i] : ends[i]]])[0]
         counts = self.count[of_piece]
         counts[text_end] = 0
         ids = self.flat[spans(self.first[of_piece], counts)]
+        # What is never looked up again is not held.
+        self.slots, self.used = held
         return ids, np.cumsum(counts)[text_end]
 
+    def encode_texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end."""
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        part = (np.cumsum(lengths + 1) - 1) // self.AT_ONCE
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(texts)).tolist()
+        ids, ends, before = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)], 0
+        for i, j in zip(cuts, cuts[1:]):
+            own, own_ends = self._encode(texts[i:j])
+            ids.append(own)
+            ends.append(own_ends + before)
+            before += len(own)
+        return np.concatenate(ids), np.concatenate(ends)
+
+
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` with room for ``size`` or more, by half as much again."""
+    if len(values) >= size:
+        return values
+    more = np.empty(max(size, len(values) * 3 // 2), dtype=values.dtype)
+    more[: len(values)] = values
+    return more
+
 
 def serial_library() -> None:
     """One thread for the library: Spark already runs a task for each core."""

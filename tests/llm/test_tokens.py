@@ -149,3 +149,38 @@ def test_buckets_are_folders(spark, documents, tokenizer_path, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.filter("length <> shiftleft(1, bucket)").count() == 0
     assert back.count() == packing.pack(documents, tokenizer_path).count()
+
+
+def test_held_pieces_take_little_memory(tokenizer_path):
+    """Short pieces take arrays alone, and long ones are not held."""
+    import tracemalloc
+
+    encoder = pieces.file_encoder(tokenizer_path, pieces.packed_classes())
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(1000)) for _ in range(20)]
+    encoder.encode_texts(["a " * 100_000])  # the arrays that last, by length
+    tracemalloc.start()
+    try:
+        encoder.encode_texts(texts)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert encoder.slots > 15_000 and held < 150 * encoder.slots
+    before = encoder.slots, encoder.used
+    long = ["".join(rng.choices("abcdefgh", k=900)) for _ in range(20)]
+    assert len(encoder.encode_texts(long)[1]) == 20 and (encoder.slots, encoder.used) == before
+
+
+def test_texts_are_encoded_in_bounded_parts(tokenizer_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path)
+    encoder, seen, cut = pieces.file_encoder(tokenizer_path, pieces.packed_classes()), [], pieces.cut
+    monkeypatch.setattr(pieces.PieceEncoder, "AT_ONCE", 100, raising=False)
+    encoder.cut = lambda points, classes: seen.append(len(points)) or cut(points, classes)
+    texts = random_texts(200)
+    ids, ends = encoder.encode_texts(texts)
+    assert max(seen) < 100 + 62 and len(seen) > 20
+    for text, own in zip(texts, np.split(ids, ends[:-1])):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in encoder.encode_texts([])] == [0, 0]
