@@ -348,3 +348,18 @@ def test_deep_vantage_trees_find_every_pair(spark):
             changed |= want[p] != low or want[q] != low
             want[p] = want[q] = low
     assert roots == want and len(near) > 200
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark, tmp_path):
+    """A worker never gets many long texts at once."""
+    import pyarrow as pa
+
+    from tapeline.llm import tables
+
+    spark.range(3000).selectExpr("id AS doc_id", "repeat('some text ', 1000) AS text").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    sizes = tables.read(spark, str(tmp_path), "documents").mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches),
+        "n long")
+    found = [r["n"] for r in sizes.collect()]
+    assert sum(found) > 30_000_000 and max(found) < 6_000_000
