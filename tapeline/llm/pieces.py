@@ -116,7 +116,7 @@ class PieceEncoder:
     Pieces are found again by a 64-bit hash, and then compared character by character, so
     that pieces of one hash never get each other's ids. ``most_pieces`` bounds the memory of
     looked-up pieces; beyond it the memory is emptied and filled again, with the same result.
-    They are held in arrays, some 70 bytes each. Pieces longer than ``LONG`` characters are
+    They are held in arrays, some 100 bytes each. Pieces longer than ``LONG`` characters are
     always encoded by the library and never held. Texts are worked on ``AT_ONCE`` characters
     at a time, or one by one if they are longer, which bounds the arrays beside the ids.
     ``cut`` gives the positions where pieces start; a code point of class END is one.
