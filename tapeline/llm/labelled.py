@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.batches import texts_of
+
 
 def remainder(key: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
@@ -45,16 +48,37 @@ def sample(
 
 def fitted(rows: DataFrame, column: str, fit: Callable[[list, list[int]], bytes]) -> bytes:
     """What ``fit`` makes of ``column`` and ``label`` of the bounded sample, in one task on an
-    executor, in an order that depends on the rows alone."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[column].tolist()
-        order = sorted(range(len(own)), key=lambda k: (_sortable(own[k]), frame["label"][k]))
-        model = fit([own[k] for k in order], [int(frame["label"][k]) for k in order])
-        return pd.DataFrame({"model": [model]})
-
-    found = rows.groupBy().applyInPandas(run, "model binary").collect()
+    executor, in an order that depends on the rows alone. Lists come as arrays, which are
+    views of the batches that the task gets, so the sample is in memory once."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, labels = [], []
+        for batch in batches:
+            own += _values(batch, column)
+            labels += batch.column("label").to_pylist()
+        if own:
+            order = _order(own, labels)
+            model = fit([own[k] for k in order], [labels[k] for k in order])
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    found = rows.select(column, "label").repartition(1).mapInArrow(run, "model binary").collect()
     return bytes(found[0]["model"]) if found else fit([], [])
 
 
+def _values(batch: pa.RecordBatch, name: str) -> list:
+    column = batch.column(name)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return texts_of(batch, name)
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return [flat[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _order(own: list, labels: list[int]) -> list[int]:
+    """Row numbers by bytes, then by label. Whole rows are only compared where their
+    beginnings are equal."""
+    begin = lambda k: _sortable(own[k][:64])
+    return [k for _, alike in groupby(sorted(range(len(own)), key=begin), begin)
+            for k in sorted(alike, key=lambda k: (_sortable(own[k]), labels[k]))]
+
+
 def _sortable(value) -> bytes:
     return value.encode("utf-8", "replace") if isinstance(value, str) else value.tobytes()

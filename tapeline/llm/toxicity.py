@@ -141,14 +141,13 @@ def fit_features(
         size = np.maximum(np.abs(own) - penalty, 0.0)
         return -np.sign(own) * size / ((beta + np.sqrt(n[at])) / alpha + l2)
 
-    texts = [np.append(own, bias).astype(np.int32) for own in rows]
     rng = np.random.default_rng(seed)
     share = [len(labels) / (2 * max(1, sum(x == y for x in labels))) for y in (0, 1)]
     order: list[int] = []
-    while texts and len(order) < examples:
-        order += rng.permutation(len(texts)).tolist()
+    while rows and len(order) < examples:
+        order += rng.permutation(len(rows)).tolist()
     for k in order[:examples]:
-        at = texts[k]
+        at = np.append(rows[k], bias)
         w = weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
         g *= share[labels[k]]
@@ -156,8 +155,8 @@ def fit_features(
         z[at] += g - step * w
         n[at] += g * g
     # Without examples nothing is toxic.
-    w = weights(np.arange((1 << BITS) + 1)) if texts else np.zeros((1 << BITS) + 1)
-    start = float(w[bias]) if texts else -1e-6
+    w = weights(np.arange((1 << BITS) + 1)) if rows else np.zeros((1 << BITS) + 1)
+    start = float(w[bias]) if rows else -1e-6
     kept = np.flatnonzero(w[:bias])
     return pickle.dumps((kept.astype(np.int32), w[kept].astype(np.float32), start))
 
@@ -194,8 +193,7 @@ def model(
                 [pa.array(found, pa.list_(pa.int32())), part.column("label")], ["found", "label"])
 
     made = chosen.mapInArrow(run, "found array<int>, label int")
-    return fitted(made, "found", lambda rows, labels: fit_features(
-        [np.asarray(x, dtype=np.int64) for x in rows], labels))
+    return fitted(made, "found", fit_features)
 
 
 def score(docs: DataFrame, fitted_model: bytes, key: str = "doc_id", text: str = "text",

@@ -363,3 +363,40 @@ def test_batches_of_long_texts_are_bounded_by_bytes(spark, tmp_path):
         "n long")
     found = [r["n"] for r in sizes.collect()]
     assert sum(found) > 30_000_000 and max(found) < 6_000_000
+
+
+def test_learning_does_not_copy_the_features_of_the_sample():
+    import tracemalloc
+
+    import numpy as np
+
+    from tapeline.llm import toxicity
+
+    own = np.arange(2000, dtype=np.int32)
+    tracemalloc.start()
+    try:
+        toxicity.fit_features([own] * 20_000, [0, 1] * 10_000, examples=10)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120_000_000
+
+
+def test_the_sample_is_learned_from_in_an_order_of_its_rows(spark):
+    """Also where long rows begin alike; lists come as arrays, of several batches."""
+    import pickle
+    import random
+
+    from tapeline.llm.labelled import fitted
+
+    texts = ["é" * 70 + end for end in ("", "b", "a", "a")] + ["é", "", "z" * 200, "z" * 64]
+    rows = [(t, [ord(c) for c in t], k % 2) for k, t in enumerate(texts)]
+    random.Random(1).shuffle(rows)
+    made = spark.createDataFrame(rows, "text string, found array<int>, label int").repartition(3)
+    show = lambda own, labels: pickle.dumps(
+        [(x if isinstance(x, str) else "".join(map(chr, x)), y) for x, y in zip(own, labels)])
+    by_text = sorted(((t, y) for t, _, y in rows), key=lambda r: (r[0].encode(), r[1]))
+    assert pickle.loads(fitted(made, "text", show)) == by_text
+    by_array = sorted(((t, y) for t, _, y in rows), key=lambda r: (r[0].encode("utf-32-le"), r[1]))
+    assert pickle.loads(fitted(made, "found", show)) == by_array
+    assert pickle.loads(fitted(made.limit(0), "text", show)) == []
