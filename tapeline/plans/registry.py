@@ -224,9 +224,12 @@ def uti_lookup(spark, sf):
 
 
 def rewritten_log(spark, sf):
-    """A log of two runs, one of which is written again: it holds each record once."""
+    """A log of two runs, one of which is written again: it holds each record once.
+
+    The runs read the topics as stored, so no run derives and encodes the records anew.
+    """
+    envelopes = topics.read_log(spark, _stored_log(spark, sf))
     log = topics.RunLog(spark, fresh_path(spark, "runs"))
-    envelopes = tables.topic_log(spark, sf)
     reference = F.col("topic") == CONTRACTS_REF.topic
     log.write(envelopes.filter(~reference), "daily")
     log.write(envelopes.filter(reference), "reference")

@@ -3,6 +3,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from paths import SF_SMALL
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,6 +227,23 @@ def test_a_rerun_replaces_what_it_wrote(spark, tmp_path):
     assert len(log.folders()) == 2
 
 
+def test_runs_take_the_records_as_stored(spark, monkeypatch):
+    """Neither the run nor its repetition derives and encodes the records anew."""
+    from tapeline.plans.registry import QUERIES
+
+    seen, write = [], topics.RunLog.write
+
+    def noted(log, envelopes, run):
+        seen.append((run, envelopes._jdf.queryExecution().optimizedPlan().toString()))
+        write(log, envelopes, run)
+
+    monkeypatch.setattr(topics.RunLog, "write", noted)
+    rows = {r["topic"]: r["n_records"] for r in QUERIES["rewritten_log"](spark, SF_SMALL).collect()}
+    assert [run for run, _ in seen] == ["daily", "reference", "daily"]
+    assert all("Window" not in text and "to_json" not in text for _, text in seen)
+    assert rows == {r["topic"]: r["n_records"] for r in QUERIES["topic_counts"](spark, SF_SMALL).collect()}
+
+
 def rows_scanned(df) -> int:
     """Rows that the scan handed on, after running ``df``."""
     df.collect()
